@@ -14,8 +14,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: Words after A-Z has been lower-cased, as the contracts state them.
 ASCII_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same words in a text whose A-Z is still there.
-RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What lies between the same words in a text whose A-Z is still there.
+BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import RAW_WORD, a_to_z_lower, read
+from .common import BETWEEN_WORDS, a_to_z_lower, read
 
 WINDOW, GRAM = 13, 5
 #: Bits of the table of fingerprints: 16 for each one, within these bounds.
@@ -24,7 +24,8 @@ LEAST_BITS, MOST_BITS = 1 << 12, 1 << 17
 
 
 def raw_words(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(RAW_WORD), F.lit(0))
+    # regexp_extract_all copies the whole text for each word that it finds; split does not
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), BETWEEN_WORDS), "")
 
 
 def _fingerprints(df: DataFrame, n: int) -> DataFrame:
