@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, langid, linededup, simhash, toxicity
 from .common import Query
 
 _MODULES = {
     "op1_decontaminate": decontaminate,
+    "op2_langid": langid,
+    "op4_linededup": linededup,
+    "op7_simhash": simhash,
+    "op9_toxicity": toxicity,
 }
 
 
