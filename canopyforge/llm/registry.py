@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, linededup, simhash, toxicity
+from . import decontaminate, langid, linededup, pages, simhash, topk, toxicity
 from .common import Query
 
 _MODULES = {
     "op1_decontaminate": decontaminate,
     "op2_langid": langid,
     "op4_linededup": linededup,
+    "op5_topk": topk,
+    "op6_pages": pages,
     "op7_simhash": simhash,
     "op9_toxicity": toxicity,
 }
