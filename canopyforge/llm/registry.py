@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, linededup, pages, simhash, topk, toxicity
+from . import decontaminate, langid, linededup, pages, simhash, tokenfiles, topk, toxicity
 from .common import Query
 
 _MODULES = {
     "op1_decontaminate": decontaminate,
     "op2_langid": langid,
+    "op3_tokenfiles": tokenfiles,
     "op4_linededup": linededup,
     "op5_topk": topk,
     "op6_pages": pages,
