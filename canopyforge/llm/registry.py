@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, linededup, pages, simhash, tokenfiles, topk, toxicity
+from . import decontaminate, langid, linededup, pages, pieces, secretscan, simhash, tokenfiles, topk, toxicity
 from .common import Query
 
 _MODULES = {
@@ -13,7 +13,9 @@ _MODULES = {
     "op5_topk": topk,
     "op6_pages": pages,
     "op7_simhash": simhash,
+    "op8_pieces": pieces,
     "op9_toxicity": toxicity,
+    "op10_secretscan": secretscan,
 }
 
 
