@@ -61,3 +61,25 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 Query = Callable[[SparkSession, str], DataFrame]
+
+
+def annotate(df: DataFrame, inputs: list[str], fields: dict[str, str], make: Callable, rows: int = 500) -> DataFrame:
+    """df with the columns of fields (name: type) made by make(*lists of the inputs), which returns one Arrow array a field.
+
+    All other columns pass through as they are; one of df's that has the name of a new one is replaced.
+    """
+    kept = [c for c in df.columns if c not in fields]
+    at = [df.columns.index(n) for n in inputs]
+    passed = [df.columns.index(n) for n in kept]
+    names = [*kept, *fields]
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    schema = ", ".join([f"`{c}` {types[c]}" for c in kept] + [f"`{n}` {t}" for n, t in fields.items()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, rows):
+                part = batch.slice(start, rows)
+                made = make(*[part.column(i).to_pylist() for i in at])
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in passed), *made], names)
+
+    return df.mapInArrow(run, schema)

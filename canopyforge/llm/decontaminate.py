@@ -76,8 +76,13 @@ def _runs(df: DataFrame, n: int, shift: int, table: str) -> DataFrame:
     return df.withColumn("runs", F.transform(pairs, lambda r: F.struct(F.get("prints", r.starts).alias("print"), r.starts.alias("at"), (r.ends - r.starts).alias("n"), F.slice("words", r.starts + 1, r.ends - r.starts + n - 1).alias("covers"))))
 
 
+def digest_of(text: Column) -> Column:
+    """What decontaminate() names a text by."""
+    return F.md5(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def decontaminate(documents: DataFrame, benchmark: DataFrame, least_share: float = 0.05) -> DataFrame:
-    """For each row of documents (doc_id, text): n_words, n_hit (words within an occurrence of any item's window), items (ids
+    """For each row of documents (doc_id, text): digest, n_words, n_hit (words within an occurrence of any item's window), items (ids
     of the items with occurring windows, sorted as strings), contaminated (n_hit > 0 and n_hit >= least_share of the words).
 
     Null and empty texts have no words and aren't contaminated. Rows with one doc_id and one text each get the same result;
@@ -87,7 +92,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, least_share: float
     parts = 1 / least_share
     sizes = benchmark.where(F.col("item_id").isNotNull()).select(F.least(F.size(raw_words(F.col("text"))), F.lit(WINDOW)).alias("n"))
     lengths = sorted(r.n for r in sizes.where("n > 0").distinct().collect())  # 13 at most
-    docs = documents.select("doc_id", F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("digest"), raw_words(F.col("text")).alias("words"))
+    docs = documents.select("doc_id", digest_of(F.col("text")).alias("digest"), raw_words(F.col("text")).alias("words"))
     columns, wins = [], []
     for n in lengths:
         wins.append(windows_of(benchmark, n, whole=n < WINDOW))
@@ -126,8 +131,8 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, least_share: float
         lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(a["upto"], s["at"]))).alias("n"), F.greatest(a["upto"], s["end"]).alias("upto")),
         lambda a: a["n"],
     )
-    out = hits.select("doc_id", F.col("n_words").cast("long"), covered.cast("long").alias("n_hit"), F.array_sort(F.transform("ids", lambda i: i.cast("string"))).alias("items"), F.explode(F.expr("sequence(1L, copies)")).alias("copy"))
-    return out.select("doc_id", "n_words", "n_hit", "items", ((F.col("n_hit") > 0) & (F.lit(round(parts)) * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+    out = hits.select("doc_id", "digest", F.col("n_words").cast("long"), covered.cast("long").alias("n_hit"), F.array_sort(F.transform("ids", lambda i: i.cast("string"))).alias("items"), F.explode(F.expr("sequence(1L, copies)")).alias("copy"))
+    return out.select("doc_id", "digest", "n_words", "n_hit", "items", ((F.col("n_hit") > 0) & (F.lit(round(parts)) * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column_lists, cut, read
+from .common import annotate, column_lists, cut, read
 
 LEAST_CHARS = 10
 BLANKS = " \t\n\r\x0b\x0c"
@@ -125,24 +125,23 @@ def _suspects(twice):
     return run
 
 
-def _drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, texts, drops in column_lists(batches, "doc_id", "text", "lines", rows=500):
-        kept, n_lines, n_dropped = [], [], []
-        for t, d in zip(texts, drops, strict=True):
-            lines = (t or "").split("\n")
-            left = lines
-            if d:
-                gone = set(d)
-                left = [x for x in lines if (k := line_key(x)) is None or hashlib.sha256(k).digest() not in gone]
-            kept.append("\n".join(left))
-            n_lines.append(len(lines))
-            n_dropped.append(len(lines) - len(left))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kept, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], ["doc_id", "kept", "n_lines", "n_dropped"])
+def _drop(texts: list[str | None], drops: list[list[bytes] | None]) -> list[pa.Array]:
+    kept, n_lines, n_dropped = [], [], []
+    for t, d in zip(texts, drops, strict=True):
+        lines = (t or "").split("\n")
+        left = lines
+        if d:
+            gone = set(d)
+            left = [x for x in lines if (k := line_key(x)) is None or hashlib.sha256(k).digest() not in gone]
+        kept.append("\n".join(left))
+        n_lines.append(len(lines))
+        n_dropped.append(len(lines) - len(left))
+    return [pa.array(kept, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())]
 
 
-def drop_repeated_lines(documents: DataFrame) -> DataFrame:
+def drop_repeated_lines(documents: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """For each row of documents (doc_id, text): kept (its text without lines that a document of smaller doc_id also has),
-    n_lines, n_dropped.
+    n_lines, n_dropped, and after doc_id the columns named in keep.
 
     Lines are compared without ASCII white space at the ends and without case of A-Z; those of under 10 characters stay.
     A null or empty text is one empty line. Rows with one doc_id are one document: each keeps what the document keeps. A null
@@ -156,7 +155,9 @@ def drop_repeated_lines(documents: DataFrame) -> DataFrame:
     repeated = suspects.groupBy("line").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("unnamed"))
     repeated = repeated.where("first < last or (unnamed and first is not null)").select("line", "first")
     drops = suspects.join(repeated, "line").where("doc_id is null or doc_id > first").groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
-    return docs.join(drops.withColumnRenamed("doc_id", "of"), F.col("doc_id").eqNullSafe(F.col("of")), "left").select("doc_id", "text", "lines").mapInArrow(_drop, "doc_id long, kept string, n_lines long, n_dropped long")
+    rows = documents.select(F.col("doc_id").cast("long"), *keep, F.col("text").cast("string").alias("_text"))
+    rows = rows.join(drops.select(F.col("doc_id").alias("_of"), F.col("lines").alias("_lines")), F.col("doc_id").eqNullSafe(F.col("_of")), "left").drop("_of")
+    return annotate(rows, ["_text", "_lines"], {"kept": "string", "n_lines": "long", "n_dropped": "long"}, _drop).drop("_text", "_lines")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

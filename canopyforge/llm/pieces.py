@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column_lists, read
+from .common import annotate, column_lists, read
 
 SPACE = "▁"
 #: What an unknown character scores less than the least piece; segments that a task remembers.
@@ -210,18 +210,16 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
 
 
-def digest(decoded: DataFrame) -> DataFrame:
-    """(doc_id, n_pieces, ids_crc32, text_sha256): the crc of the ids as little-endian 32-bit numbers, and the decoded text's hash."""
+def digest(decoded: DataFrame, keep_ids: bool = False) -> DataFrame:
+    """(doc_id, n_pieces, ids_crc32, text_sha256) of (doc_id, ids, text): the crc of the ids as little-endian 32-bit numbers, the
+    text's hash; with keep_ids also ids."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(1)
-            flat, ends = lists.values.to_numpy(zero_copy_only=False).astype("<u4"), lists.offsets.to_numpy()
-            crcs = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends).astype(np.int64)), pa.array(crcs, pa.int64()), batch.column(2)], ["doc_id", "n_pieces", "ids_crc32", "text"])
+    def make(lists: list[list[int] | None]) -> list[pa.Array]:
+        raw = [np.array(x or [], "<u4").tobytes() for x in lists]
+        return [pa.array([len(r) // 4 for r in raw], pa.int64()), pa.array(list(map(zlib.crc32, raw)), pa.int64())]
 
-    made = decoded.select("doc_id", "ids", "text").mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, text string")
-    return made.select("doc_id", "n_pieces", "ids_crc32", F.sha2("text", 256).alias("text_sha256"))
+    made = annotate(decoded.select("doc_id", "ids", "text"), ["ids"], {"n_pieces": "long", "ids_crc32": "long"}, make)
+    return made.select("doc_id", *["ids"] * keep_ids, "n_pieces", "ids_crc32", F.sha2("text", 256).alias("text_sha256"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
 
@@ -24,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column_lists, crc_of_id, read
+from .common import annotate, crc_of_id, read
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 PREFIXES = range(4, 9)
@@ -272,8 +271,9 @@ def fit_sample(documents: DataFrame, labels: DataFrame, sample_toxic: int = SAMP
     return fit([rows["text"][i] for i in order], [rows["toxic"][i] for i in order])
 
 
-def score(documents: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score in 0..1, spans) for each row of documents (doc_id, text); nothing but the text is looked at.
+def score(documents: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, score in 0..1, spans), and after doc_id the columns named in keep, for each row of documents (doc_id, text);
+    nothing but the text is looked at.
 
     spans: array of (start, end, marginal), code points of the text, end exclusive. Null and empty texts and texts without words
     have no spans and the score of a text without toxic words. Repeated rows each get their row.
@@ -281,14 +281,14 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     held = documents.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("marginal", pa.float64())]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        remembered: dict[str, float] = {}
-        for ids, texts in column_lists(batches, "doc_id", "text", rows=400):
-            scores, spans = held.value.tag(texts, remembered)
-            found = [[{"start": a, "end": b, "marginal": p} for a, b, p in x] for x in spans]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(scores), pa.array(found, kind)], ["doc_id", "score", "spans"])
+    remembered: dict[str, float] = {}
+
+    def make(texts: list[str | None]) -> list[pa.Array]:
+        scores, spans = held.value.tag(texts, remembered)
+        return [pa.array(scores), pa.array([[{"start": a, "end": b, "marginal": p} for a, b, p in x] for x in spans], kind)]
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double, spans array<struct<start:int,end:int,marginal:double>>")
+    rows = documents.select(F.col("doc_id").cast("long"), *keep, F.col("text").cast("string").alias("_text"))
+    return annotate(rows, ["_text"], {"score": "double", "spans": "array<struct<start:int,end:int,marginal:double>>"}, make, rows=400).drop("_text")
 
 
 def held_out(doc_id):
