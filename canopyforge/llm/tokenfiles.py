@@ -15,6 +15,8 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +31,20 @@ LANES, BLOCK, EVERY = 512, 1 << 18, 128
 LOW, WORD = 1 << 31, 32
 END_ID = 2
 #: Units of text whose ids a task remembers.
-MEMORY = 600_000
+MEMORY = 500_000
 
 _BLANK_BEFORE_SPACE = re.compile(r"\s ")
 #: Latin letters and then punctuation, which the vocabulary's rule splits just there. No apostrophes: they bind letters.
-_LETTERS_THEN_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?|%$#&*()]+)")
+_LETTERS_THEN_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?|%$#&*()]*)")
+
+
+def _shown_bytes() -> dict[int, str]:
+    """How byte-level vocabularies show bytes: printable ones as they are, the others as the characters from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
+
+
+_SHOWN = _shown_bytes()
 
 
 class Encoder:
@@ -48,21 +59,33 @@ class Encoder:
 
         self.tokenizer, self.width = Tokenizer.from_file(path), width
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
+        self.raw = [i.to_bytes(int(width[2]), "little") for i in range(self.tokenizer.get_vocab_size())]
         self.known: dict[str, bytes] = {}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.width).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
-    def _learn(self, units: set[str]) -> dict[str, bytes]:
-        """Ids of units that aren't known; a unit stands for a space and itself, or after a NUL for itself."""
-        split = {u: m.groups() for u in units if (m := _LETTERS_THEN_MARKS.fullmatch(u))}
-        need = list((units.difference(split) | {a for a, _ in split.values()} | {"\0" + b for _, b in split.values()}).difference(self.known))
-        found = dict(zip(need, self._plain([u[1:] if u[:1] == "\0" else " " + u for u in need]), strict=True))
-        get = lambda u: found[u] if u in found else self.known[u]
-        found |= {u: get(a) + get("\0" + b) for u, (a, b) in split.items()}
-        if len(self.known) < MEMORY:
-            self.known |= found
-        return found
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of a space and a word of letters, for each: one word of the vocabulary's rule, so that the model alone codes it."""
+        tokenize, raw, space = self.tokenizer.model.tokenize, self.raw, _SHOWN[32]
+        shown = [space + (w if w.isascii() else w.encode().decode("latin-1").translate(_SHOWN)) for w in words]
+        return [b"".join([raw[t.id] for t in tokenize(w)]) for w in shown]
+
+    def _learn(self, units: set[str]) -> None:
+        """Adds units; a unit stands for a space and itself, or after a NUL for itself."""
+        known, words, other, split = self.known, set(), set(), []
+        for u in units:
+            if m := _LETTERS_THEN_MARKS.fullmatch(u):
+                if m[2]:
+                    split.append((u, m[1], "\0" + m[2]))
+                    other.add("\0" + m[2])
+                words.add(m[1])
+            else:
+                other.add(u)
+        words, other = list(words.difference(known)), list(other.difference(known))
+        known.update(zip(words, self._words(words), strict=True))
+        known.update(zip(other, self._plain([u[1:] if u[:1] == "\0" else " " + u for u in other]), strict=True))
+        known.update([(u, known[a] + known[b]) for u, a, b in split])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian numbers of this encoder's width."""
@@ -79,10 +102,20 @@ class Encoder:
                 if parts[0] == "\0":
                     del parts[0]
             units.append(parts)
-        new = self._learn({u for p in units if p for u in p}.difference(self.known))
-        get = self.known.__getitem__ if all(u in self.known for u in new) else lambda u: self.known[u] if u in self.known else new[u]
-        whole = iter(self._plain(odd))
-        return [next(whole) if p is None else b"".join(map(get, p)) for p in units]
+        before = len(self.known)
+        self._learn(set().union(*[p for p in units if p]).difference(self.known))
+        get, whole = self.known.__getitem__, iter(self._plain(odd))
+        out = [next(whole) if p is None else b"".join(map(get, p)) for p in units]
+        if len(self.known) > MEMORY:  # what came last is forgotten: frequent units came first
+            for u in list(islice(reversed(self.known), len(self.known) - before)):
+                del self.known[u]
+        return out
+
+
+@lru_cache(1)
+def encoder(path: str, width: str) -> Encoder:
+    """A Python worker's encoder: it remembers units from task to task."""
+    return Encoder(path, width)
 
 
 def scaled(counts: np.ndarray) -> tuple[np.ndarray, int]:
@@ -180,9 +213,9 @@ def tokenize(documents: DataFrame, tokenizer: str, end_id: int | None = END_ID)
     end = b"" if end_id is None else np.array([end_id], width).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard, before = Encoder(tokenizer, width), TaskContext.get().partitionId(), 0
+        own, shard, before = encoder(tokenizer, width), TaskContext.get().partitionId(), 0
         for ids, texts in column_lists(batches, "doc_id", "text", rows=500):
-            made = [x + end for x in encoder.encode(texts)]
+            made = [x + end for x in own.encode(texts)]
             n = np.array([len(x) // int(width[2]) for x in made], np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([shard] * len(made), pa.int32()), pa.array(before + np.cumsum(n) - n), pa.array(ids, pa.int64()), pa.array(n), pa.array(made, pa.binary())], ["shard", "before", "doc_id", "n", "ids"])
             before += int(n.sum())
@@ -199,6 +232,7 @@ def frequencies(tokens: DataFrame, width: str) -> DataFrame:
     """(id, count) over all ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder.cache_clear()
         counts = np.zeros(0, np.int64)
         for b in batches:
             for at in range(0, b.num_rows, 1000):
