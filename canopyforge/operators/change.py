@@ -35,7 +35,7 @@ def pairs(epochs: DataFrame, mode: str, baseline: int = 0) -> DataFrame:
         after = F.lead("epoch").over(Window.orderBy("epoch"))
         return e.select(F.col("epoch").alias("e1"), after.alias("e2")).where("e2 is not null")
     if mode == "pairwise":
-        both = e.withColumn("j", F.explode(F.sequence(F.col("i"), n))).where("j > i")
+        both = e.withColumn("last", n).withColumn("j", F.explode(F.sequence("i", "last"))).where("j > i")
     elif mode == "baseline":
         base = F.greatest(F.lit(0), F.least(F.lit(baseline), n))
         both = e.withColumn("b", base).where("i <> b").select(F.col("b").alias("i"), F.col("i").alias("j"))

@@ -103,7 +103,7 @@ def flow_accumulation(receivers: DataFrame, tile: int = 512, rounds: int = 10_00
         for i in order[::-1].tolist():
             leaves[i] = i if to[i] == -2 else leaves[to[i]] if to[i] >= 0 else -1
         out = [i for i in range(len(col)) if leaves[i] >= 0]
-        return pa.table({"col": col[out], "row": row[out], "own": [int(acc[i]) if to[i] == -2 else 0 for i in out], "to_col": pa.array([to_c[leaves[i]] for i in out], pa.int32()), "to_row": pa.array([to_r[leaves[i]] for i in out], pa.int32())})
+        return pa.table({"col": col[out], "row": row[out], "own": pa.array([int(acc[i]) if to[i] == -2 else 0 for i in out], pa.int64()), "to_col": pa.array([to_c[leaves[i]] for i in out], pa.int32()), "to_row": pa.array([to_r[leaves[i]] for i in out], pa.int32())})
 
     from canopyforge.functions.storage import written
 

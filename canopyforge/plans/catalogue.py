@@ -7,16 +7,592 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from canopyforge.functions.points import POINTS_SQL, cell, points, with_cells
+from canopyforge.functions import sensors
+from canopyforge.operators import cells, change, crowns, focal, ground, lookup, regions, surface, terrain, tiles, trees
+
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+# Tables that several queries start from, as SQL.
+PTS = f"pts as ({POINTS_SQL})"
+CELLS = f"{PTS}, c as (select floor(x/2)::int as ix, floor(y/2)::int as iy, max(z) as value from pts group by all)"
+DEM = f"{PTS}, dem as (select floor(x/2)::int as col, floor((48-y)/2)::int as row, min(z) as z from pts where classification = 2 group by all)"
+MASK = f"{PTS}, m as (select floor(x/2)::int as ix, floor(y/2)::int as iy from pts group by all having max(z) >= 133)"
+
+
+def _cells(spark: SparkSession, sf: str) -> DataFrame:
+    return with_cells(points(spark, sf), 2.0).groupBy("ix", "iy").agg(F.max("z").alias("value"))
+
+
+def _dem(spark: SparkSession, sf: str) -> DataFrame:
+    p = points(spark, sf).where("classification = 2")
+    return p.groupBy(cell("x", 2.0).alias("col"), F.floor((48 - F.col("y")) / 2).cast("int").alias("row")).agg(F.min("z").alias("z"))
+
+
+def _mask(spark: SparkSession, sf: str) -> DataFrame:
+    return _cells(spark, sf).where("value >= 133").select("ix", "iy")
+
+
+def _unique(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct points with a key of their values."""
+    p = points(spark, sf).select("x", "y", "z", "classification").distinct()
+    return p.withColumn("key", F.struct("x", "y", "z", "classification"))
+
+
+def _crowns(spark: SparkSession, sf: str) -> DataFrame:
+    c = spark.read.parquet(f"{sf}/customer.parquet")
+    x, y = (F.col("c_custkey") * 7 % 180) * 0.25, (F.col("c_custkey") * 11 % 176) * 0.25
+    w, h = 1 + (F.col("c_custkey") % 5) * 0.5, 1 + (F.col("c_custkey") % 3) * 0.5
+    return c.where("c_custkey <= 400").select(F.col("c_custkey").cast("int").alias("crown_id"), x.alias("xmin"), y.alias("ymin"), (x + w).alias("xmax"), (y + h).alias("ymax"), (w * h).alias("area"), (x + w / 2).alias("cx"), (y + h / 2).alias("cy"))
+
+
+CROWNS = """crowns as (select crown_id, x as xmin, y as ymin, x + w as xmax, y + h as ymax, w * h as area, x + w / 2 as cx, y + h / 2 as cy from (
+  select c_custkey::int as crown_id, (c_custkey * 7 % 180) * 0.25e0 as x, (c_custkey * 11 % 176) * 0.25e0 as y, 1 + (c_custkey % 5) * 0.5e0 as w, 1 + (c_custkey % 3) * 0.5e0 as h
+  from customer where c_custkey <= 400) t)"""
+
+
+def _epochs(spark: SparkSession, sf: str) -> DataFrame:
+    return points(spark, sf).groupBy("epoch", cell("x", 4.0).alias("col"), cell("y", 4.0).alias("row")).agg(F.max("z").alias("v"))
+
+
+EPOCHS = f"{PTS}, r as (select epoch, floor(x/4)::int as col, floor(y/4)::int as row, max(z) as v from pts group by all), e as (select epoch, row_number() over (order by epoch) - 1 as i from (select distinct epoch from r))"
+
+
+def _add(name: str, sql: str | None = None):
+    def keep(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return keep
+
+
+# --- aggregates by cell ---------------------------------------------------------------------------------------------
+
+
+@_add("cell_stats", f"with {PTS} select floor(x/2)::int as ix, floor(y/2)::int as iy, count(*) as n, min(z) as z_min, max(z) as z_max, round(avg(z), 9) as z_mean, round(quantile_cont(z, 0.99), 10) as z_pct from pts group by 1, 2")
+def _(spark, sf):
+    return cells.cell_stats(points(spark, sf), 2.0, 0.99)
+
+
+@_add("nearest_in_cell", f"""with {PTS}, t as (select *, floor(x/2)::int as ix, floor(y/2)::int as iy from pts),
+ d as (select ix, iy, (x-(ix+0.5e0)*2)*(x-(ix+0.5e0)*2)+(y-(iy+0.5e0)*2)*(y-(iy+0.5e0)*2) as d2, z from t)
+ select ix, iy, d2, z from (select *, row_number() over (partition by ix, iy order by d2, z) as r from d) where r = 1""")
+def _(spark, sf):
+    return cells.nearest_in_cell(points(spark, sf), 2.0)
+
+
+@_add("candidate_layer", f"with {PTS}, t as (select point_id, x, y, z, floor(x/2)::int as ix, floor(y/2)::int as iy, classification from pts) select point_id, ix, iy, x, y, z, z_low from (select *, min(z) over (partition by ix, iy) as z_low from t) where z <= z_low + 0.75e0")
+def _(spark, sf):
+    return cells.candidate_layer(points(spark, sf), 2.0, 0.75).select("point_id", "ix", "iy", "x", "y", "z", "z_low")
+
+
+@_add("remove_outliers", f"""with {PTS}, m as (select median(z) as mid, count(*) as n from pts), d as (select median(abs(z - mid)) as mad from pts, m)
+ select point_id, x, y, z from pts, m, d where n < 10 or abs(z - mid) / (1.4826e0 * (mad + 1e-12)) <= 1.5""")
+def _(spark, sf):
+    return cells.remove_outliers(points(spark, sf), 1.5).select("point_id", "x", "y", "z")
+
+
+@_add("density_stats", f"""with {PTS}, k as (select floor(x/2)::int as ix, floor(y/2)::int as iy, count(*) as n from pts group by all)
+ select count(*) as occupied, ((max(ix)-min(ix)+1)*(max(iy)-min(iy)+1))::bigint as cells, round(count(*)::double / ((max(ix)-min(ix)+1)*(max(iy)-min(iy)+1)), 9) as occupancy,
+ median(n) as n_median, round(avg(n), 9) as n_mean, round(quantile_cont(n, 0.25), 9) as n_q25, round(quantile_cont(n, 0.75), 9) as n_q75 from k""")
+def _(spark, sf):
+    return cells.density_stats(points(spark, sf), 2.0)
+
+
+_ENTROPY = """b as (select floor(x/4)::int as ix, floor(y/4)::int as iy, floor(h/2)::int as bin, count(*) as n, max(h) as top from pts where h >= {least} group by 1, 2, 3),
+ en as (select ix, iy, sum(n)::bigint as n, sum(n * ln(n)) as nln, count(*) as bins, max(top) as top from b group by 1, 2),
+ ent as (select ix, iy, round(case when top > 0 then abs(ln(n) - nln / n) end, 6) as fhd, round(case when top > 0 then case when bins > 1 then abs(ln(n) - nln / n) / ln(greatest(bins, 2)) else 0 end end, 6) as vci from en)"""
+
+
+@_add("height_entropy", f"with {PTS}, {_ENTROPY.format(least=0)} select * from ent")
+def _(spark, sf):
+    return cells.entropy(points(spark, sf), 4.0, 2.0)
+
+
+@_add("structure_metrics", f"""with {PTS}, {_ENTROPY.format(least=2)}, s as (select floor(x/4)::int as ix, floor(y/4)::int as iy, count(*) as n, round(avg(h), 6) as h_mean, max(h) as h_max,
+ round(stddev_pop(h), 6) as h_sd, round(avg((h >= 10)::int::double), 6) as cover from pts where h >= 2 group by 1, 2) select s.*, fhd, vci from s join ent using (ix, iy)""")
+def _(spark, sf):
+    return cells.structure_metrics(points(spark, sf), 4.0, 2.0, 10.0, 2.0)
+
+
+@_add("otsu_threshold", f"""with {PTS}, e as (select min(z) as lo, max(z) as hi, count(*) as n from pts), w as (select *, (hi - lo) / 256 as width from e),
+ hist as (select least(255, floor((z - lo) / width)::int) as bin, lo, width, n, count(*) as c from pts, w group by all),
+ s as (select *, sum(c) over u as w0, sum(c * (lo + (bin + 0.5e0) * width)) over u as m0, sum(c * (lo + (bin + 0.5e0) * width)) over () as mt from hist window u as (order by bin rows between unbounded preceding and current row)),
+ q as (select n, bin, round(lo + (bin + 0.5e0) * width, 9) as mid, round(w0 * (n - w0) * power(m0 / w0 - (mt - m0) / nullif(n - w0, 0), 2), 3) as between_ from s)
+ select case when n >= 1000 then mid end as threshold from q where between_ is not null order by between_ desc, bin limit 1""")
+def _(spark, sf):
+    return cells.otsu(points(spark, sf), "z")
+
+
+@_add("lowest_m", f"with {PTS} select * from (select floor(x/2)::int as ix, floor(y/2)::int as iy, z, row_number() over (partition by floor(x/2)::int, floor(y/2)::int order by z)::int as rank from pts) where rank <= 4")
+def _(spark, sf):
+    return cells.top_m(points(spark, sf), 2.0, 4)
+
+
+@_add("layer_envelope", f"with {PTS} select floor(x/2)::int as ix, floor(y/2)::int as iy, max(z) as value from pts where h >= 5 or h < 2 group by 1, 2")
+def _(spark, sf):
+    p = with_cells(points(spark, sf), 2.0)
+    layers = [p.where(w).groupBy("ix", "iy").agg(F.max("z").alias("value")) for w in ("h < 2", "h >= 5 and h < 15", "h >= 15")]
+    return cells.envelope(layers[0].unionByName(layers[1]).unionByName(layers[2]), True)
+
+
+# --- neighbourhoods -------------------------------------------------------------------------------------------------
+
+
+@_add("focal_median", f"with {CELLS} select a.ix, a.iy, a.value, median(b.value) as mid from c a join c b on abs(a.ix-b.ix) <= 1 and abs(a.iy-b.iy) <= 1 group by all")
+def _(spark, sf):
+    return focal.focal(_cells(spark, sf), 1, F.median("value"), "mid")
+
+
+@_add("focal_mean", f"with {CELLS} select a.ix, a.iy, round(sum(b.value) / count(*), 9) as mean from c a join c b on abs(a.ix-b.ix) <= 3 and abs(a.iy-b.iy) <= 3 group by all")
+def _(spark, sf):
+    c = _cells(spark, sf)
+    total, n = (focal.running(c, 3, w).select("ix", "iy", F.col("focal").alias(w)) for w in ("sum", "count"))
+    return total.join(n, ["ix", "iy"]).select("ix", "iy", F.round(F.col("sum") / F.col("count"), 9).alias("mean"))
+
+
+@_add("local_maxima", f"with {CELLS}, f as (select a.ix, a.iy, a.value, max(b.value) as top from c a join c b on abs(a.ix-b.ix) <= 1 and abs(a.iy-b.iy) <= 1 group by all) select ix, iy, value from f where value = top and value >= 120")
+def _(spark, sf):
+    return focal.local_maxima(_cells(spark, sf), 3, 120.0)
+
+
+@_add("dilate", f"with {MASK}, n(dx, dy) as (values (0,0),(1,0),(-1,0),(0,1),(0,-1),(1,1),(1,-1),(-1,1),(-1,-1),(2,0),(-2,0),(0,2),(0,-2)) select distinct (ix+dx)::int as ix, (iy+dy)::int as iy from m, n")
+def _(spark, sf):
+    return focal.dilate(_mask(spark, sf), 2)
+
+
+@_add("robust_vote", f"""with {CELLS}, u as (select distinct a.ix + dx as ix, a.iy + dy as iy from c a, (select unnest(range(-1, 2))::int as dx) x, (select unnest(range(-1, 2))::int as dy) y),
+ near as (select u.ix, u.iy, b.value from u join c b on abs(u.ix-b.ix) <= 1 and abs(u.iy-b.iy) <= 1), m as (select ix, iy, median(value) as mid from near group by 1, 2),
+ d as (select ix, iy, median(abs(value - mid)) as mad from near join m using (ix, iy) group by 1, 2),
+ k as (select ix, iy, value from near join m using (ix, iy) join d using (ix, iy) where abs(value - mid) / (1.4826e0 * greatest(mad, 0.05e0)) <= 1.5)
+ select ix, iy, count(*) as n, case when count(*) >= 4 then median(value) end as value from k group by 1, 2""")
+def _(spark, sf):
+    return focal.robust_vote(_cells(spark, sf), 1, 1.5, 4, 0.05)
+
+
+@_add("fix_pits", f"with {CELLS}, f as (select a.ix, a.iy, a.value, median(b.value) as mid from c a join c b on abs(a.ix-b.ix) <= 1 and abs(a.iy-b.iy) <= 1 group by all) select ix, iy, case when value < mid - 1 then mid else value end as value from f")
+def _(spark, sf):
+    return focal.fix_pits(_cells(spark, sf), 1.0)
+
+
+@_add("gaussian", f"""with {CELLS}, w as (select k::int as k, exp(-0.5e0 * k * k) as w from (select unnest(range(-3, 4)) as k)),
+ h as (select a.ix, a.iy, sum(b.value * w) / sum(w) as value from c a, w join c b on b.ix = a.ix - w.k and b.iy = a.iy group by all)
+ select a.ix, a.iy, round(sum(b.value * w) / sum(w), 6) as value from h a, w join h b on b.iy = a.iy - w.k and b.ix = a.ix group by all""")
+def _(spark, sf):
+    return focal.smooth(_cells(spark, sf), 1.0).select("ix", "iy", F.round("value", 6).alias("value"))
+
+
+@_add("fill_idw", f"""with {CELLS}, v as (select * from c where (ix * 5 + iy) % 7 <> 0), holes as (select ix, iy from c where (ix * 5 + iy) % 7 = 0)
+ select h.ix, h.iy, round(sum(value / ((v.ix-h.ix)*(v.ix-h.ix)+(v.iy-h.iy)*(v.iy-h.iy))) / sum(1e0 / ((v.ix-h.ix)*(v.ix-h.ix)+(v.iy-h.iy)*(v.iy-h.iy))), 9) as value
+ from holes h join v on abs(v.ix-h.ix) <= 2 and abs(v.iy-h.iy) <= 2 group by all having count(*) >= 3""")
+def _(spark, sf):
+    c = _cells(spark, sf)
+    hole = (F.col("ix") * 5 + F.col("iy")) % 7 == 0
+    return focal.fill_local(c.where(~hole), c.where(hole), 2, "idw", 3).select("ix", "iy", F.round("value", 9).alias("value"))
+
+
+# --- lookups --------------------------------------------------------------------------------------------------------
+
+_CORNERS = """q as (select *, floor(x/2 - {s})::int as i, floor(y/2 - {s})::int as j from p), ab as (select *, x/2 - {s} - i as a, y/2 - {s} - j as b from q),
+ v as (select x, y, z, classification, c0.value as v0, case when c0.value is not null and c1.value is not null and c2.value is not null and c3.value is not null then (1-a)*(1-b)*c0.value + a*(1-b)*c1.value + (1-a)*b*c2.value + a*b*c3.value end as v
+   from ab left join c c0 on c0.ix = i and c0.iy = j left join c c1 on c1.ix = i+1 and c1.iy = j left join c c2 on c2.ix = i and c2.iy = j+1 left join c c3 on c3.ix = i+1 and c3.iy = j+1)"""
+
+
+@_add("bilinear_corner", f"with {CELLS}, p as (select distinct x, y, z, classification from pts), {_CORNERS.format(s='0')} select x, y, z, classification, round(coalesce(v, v0), 9) as value from v")
+def _(spark, sf):
+    return lookup.bilinear(_unique(spark, sf), _cells(spark, sf), 2.0, "corner", "key").select("x", "y", "z", "classification", F.round("value", 9).alias("value"))
+
+
+@_add("bilinear_centre", f"with {CELLS}, p as (select distinct x, y, z, classification from pts), {_CORNERS.format(s='0.5e0')} select x, y, z, classification, round(v, 9) as value from v")
+def _(spark, sf):
+    return lookup.bilinear(_unique(spark, sf), _cells(spark, sf), 2.0, "centre", "key").select("x", "y", "z", "classification", F.round("value", 9).alias("value"))
+
+
+_LOW = f"{PTS}, c as (select floor(x/2)::int as ix, floor(y/2)::int as iy, min(z) as value from pts where classification = 2 group by all)"
+
+
+@_add("normalize_heights", f"with {_LOW}, p as (select distinct x, y, z, classification from pts), {_CORNERS.format(s='0.5e0')} select x, y, z, classification, round(case when classification = 2 then 0 else greatest(0, z - coalesce(v, z)) end, 9) as height from v")
+def _(spark, sf):
+    low = with_cells(points(spark, sf).where("classification = 2"), 2.0).groupBy("ix", "iy").agg(F.min("z").alias("value"))
+    return lookup.normalize_heights(_unique(spark, sf), low, 2.0, "key").select("x", "y", "z", "classification", F.round("height", 9).alias("height"))
+
+
+@_add("idw_k8", f"""with {PTS}, g as (select distinct x, y, z from pts where classification = 2), c as (select distinct floor(x/4)::int as ix, floor(y/4)::int as iy from pts),
+ d as (select ix, iy, (x-(ix+0.5e0)*4)*(x-(ix+0.5e0)*4)+(y-(iy+0.5e0)*4)*(y-(iy+0.5e0)*4) as d2, z from c, g), r as (select *, row_number() over (partition by ix, iy order by d2, z) as r from d)
+ select ix, iy, round(sum(z / power(greatest(sqrt(d2), 1e-6), 2)) / sum(1 / power(greatest(sqrt(d2), 1e-6), 2)), 6) as value from r where r <= 8 group by 1, 2""")
+def _(spark, sf):
+    p = points(spark, sf)
+    return lookup.idw(p.where("classification = 2").select("x", "y", "z").distinct(), with_cells(p, 4.0).select("ix", "iy").distinct(), 4.0, reach=1).select("ix", "iy", F.round("value", 6).alias("value"))
+
+
+@_add("nearest_cell", f"""with {CELLS}, v as (select * from c where value >= 136), d as (select c.ix, c.iy, v.value, ((v.ix-c.ix)*(v.ix-c.ix)+(v.iy-c.iy)*(v.iy-c.iy))::bigint as d2, v.ix as sx, v.iy as sy from c, v)
+ select ix, iy, value, d2 from (select *, row_number() over (partition by ix, iy order by d2, sx, sy) as r from d) where r = 1""")
+def _(spark, sf):
+    c = _cells(spark, sf)
+    return lookup.nearest_cell(c, c.where("value >= 136"), 2)
+
+
+# --- terrain --------------------------------------------------------------------------------------------------------
+
+
+def _slope_sql(t: str, value: str, axis: str, name: str) -> str:
+    """A derivative of a raster t, as SQL."""
+    dx, dy = ("1", "0") if axis == "col" else ("0", "1")
+    return (
+        f"{name} as (select a.*, coalesce((f.{value} - p.{value}) / 4, (f.{value} - a.{value}) / 2, (a.{value} - p.{value}) / 2, 0) as {name}_ from {t} a "
+        f"left join {t} f on f.col = a.col + {dx} and f.row = a.row + {dy} left join {t} p on p.col = a.col - {dx} and p.row = a.row - {dy})"
+    )
+
+
+GRADS = f"{DEM}, {_slope_sql('dem', 'z', 'col', 'gx')}, {_slope_sql('gx', 'z', 'row', 'gy')}"
+
+
+@_add("slope_aspect_hillshade", f"""with {GRADS}, s as (select col, row, gx_ as gx, gy_ as gy, sqrt(gx_*gx_+gy_*gy_) as s, atan(sqrt(gx_*gx_+gy_*gy_)) as lean from gy)
+ select col, row, round(100*s, 6) as slope_pct, round(degrees(lean), 6) as slope_deg, round(case when s >= 1e-8 then (90 - degrees(atan2(gy, -gx)) + 720) % 360 end, 6) as aspect,
+ round(255 * greatest(0, least(1, sin(radians(45)) * cos(lean) + cos(radians(45)) * sin(lean) * cos(radians(135) - atan2(gy, -gx)))), 5) as hillshade from s""")
+def _(spark, sf):
+    t = terrain.slope_aspect_shade(_dem(spark, sf), 2.0)
+    return t.select("col", "row", *[F.round(c, 6).alias(c) for c in ("slope_pct", "slope_deg", "aspect")], F.round("hillshade", 5).alias("hillshade"))
+
+
+@_add("curvature", f"with {GRADS}, {_slope_sql('gy', 'gx_', 'col', 'gxx')}, {_slope_sql('gxx', 'gy_', 'row', 'gyy')} select col, row, round(gxx_ + gyy_, 6) as curvature from gyy")
+def _(spark, sf):
+    return terrain.curvature(_dem(spark, sf), 2.0).select("col", "row", F.round("curvature", 6).alias("curvature"))
+
+
+@_add("topographic_position", f"with {DEM} select a.col, a.row, round(a.z - sum(b.z) / count(*), 9) as tpi from dem a join dem b on abs(a.col-b.col) <= 3 and abs(a.row-b.row) <= 3 group by a.col, a.row, a.z")
+def _(spark, sf):
+    return terrain.tpi(_dem(spark, sf), 3).select("col", "row", F.round("tpi", 9).alias("tpi"))
+
+
+@_add("convergence", f"""with {GRADS}, s as (select *, sqrt(gx_*gx_+gy_*gy_) as s from gy), u as (select *, case when s > 1e-12 then -gx_/s else 0 end as ux, case when s > 1e-12 then -gy_/s else 0 end as uy from s),
+ {_slope_sql('u', 'ux', 'col', 'a')}, {_slope_sql('a', 'uy', 'row', 'b')} select col, row, round(case when s > 1e-12 then -(a_ + b_) end, 6) as tci from b""")
+def _(spark, sf):
+    return terrain.tci(_dem(spark, sf), 2.0).select("col", "row", F.round("tci", 6).alias("tci"))
+
+
+D8 = f"""{DEM}, n(k, dx, dy) as (values (0,-1,-1),(1,0,-1),(2,1,-1),(3,-1,0),(4,1,0),(5,-1,1),(6,0,1),(7,1,1)),
+ pr as (select a.col, a.row, b.col as to_col, b.row as to_row, (a.z - b.z) / (2 * sqrt(dx*dx + dy*dy)) as s, k from dem a, n join dem b on b.col = a.col + dx and b.row = a.row + dy where a.z > b.z),
+ d8 as (select dem.col, dem.row, z, to_col, to_row from dem left join (select *, row_number() over (partition by col, row order by s desc, k) as r from pr) p on p.col = dem.col and p.row = dem.row and r = 1)"""
+
+
+@_add("d8_receivers", f"with {D8} select * from d8")
+def _(spark, sf):
+    return terrain.d8_receivers(_dem(spark, sf), 2.0)
+
+
+ACC = f"""{D8}, w(src_c, src_r, col, row) as (select col, row, col, row from d8 union all select src_c, src_r, to_col, to_row from w join d8 using (col, row) where to_col is not null),
+ acc as (select col, row, count(*)::bigint as acc from w group by 1, 2)"""
+
+
+@_add("flow_accumulation", f"with recursive {ACC} select * from acc")
+def _(spark, sf):
+    return terrain.flow_accumulation(terrain.d8_receivers(_dem(spark, sf), 2.0), tile=8)
+
+
+@_add("wetness_index", f"with recursive {ACC}, {_slope_sql('dem', 'z', 'col', 'gx')}, {_slope_sql('gx', 'z', 'row', 'gy')} select acc.col, acc.row, acc, round(ln((acc * 2 + 1e-6) / greatest(tan(radians(greatest(degrees(atan(sqrt(gx_*gx_+gy_*gy_))), 0.001))), 1e-6)), 6) as twi from acc join gy using (col, row)")
+def _(spark, sf):
+    return terrain.twi(_dem(spark, sf), 2.0).select("col", "row", "acc", F.round("twi", 6).alias("twi"))
+
+
+@_add("depth_to_water", f"""with recursive {ACC}, hi as (select col, row from acc where acc * 2 >= 500), top as (select quantile_cont(acc * 2.0::double, 0.99) as t from acc),
+ wet as (select col, row from hi union all select col, row from acc, top where acc * 2 >= t and not exists (select 1 from hi)),
+ wz as (select wet.col, wet.row, z from wet join dem using (col, row)),
+ d as (select a.col, a.row, a.z, b.z as wz, row_number() over (partition by a.col, a.row order by (a.col-b.col)*(a.col-b.col)+(a.row-b.row)*(a.row-b.row), b.col, b.row) as r from dem a, wz b)
+ select col, row, greatest(0, z - wz) as dtw from d where r = 1""")
+def _(spark, sf):
+    return terrain.depth_to_water(_dem(spark, sf), 2.0)
+
+
+# --- change ---------------------------------------------------------------------------------------------------------
+
+_PAIRS = {"pairwise": "a.i < b.i", "sequential": "b.i = a.i + 1", "baseline": "a.i = 1 and b.i <> 1"}
+_CHANGE = """p as (select a.epoch as e1, b.epoch as e2 from e a, e b where {on}), d as (select e1, e2, x.col, x.row, y.v - x.v as delta from p join r x on x.epoch = e1 join r y on y.epoch = e2 and y.col = x.col and y.row = x.row)"""
+_SUMMARY = """select e1, e2, count(*) as valid_cells, min(delta) as delta_min, max(delta) as delta_max, round(avg(delta), 6) as delta_mean, round(stddev_pop(delta), 6) as delta_std,
+ (count(*) filter (abs(delta) > 0.5) * 16)::double as changed_area, (count(*) filter (abs(delta) <= 0.5) * 16)::double as stable_area, (count(*) filter (delta > 0.5) * 16)::double as gain_area, (count(*) filter (delta < -0.5) * 16)::double as loss_area,
+ round(coalesce(sum(delta) filter (delta > 0.5), 0) * 16, 6) as gain_volume, round(coalesce(sum(delta) filter (delta < -0.5), 0) * 16, 6) as loss_volume, round(coalesce(sum(delta) filter (abs(delta) > 0.5), 0) * 16, 6) as net_volume from d group by 1, 2"""
+
+
+def _changes(spark: SparkSession, sf: str, mode: str) -> DataFrame:
+    r = _epochs(spark, sf)
+    return change.change(r, change.pairs(r, mode, 1), 0.5)
+
+
+for _mode, _on in _PAIRS.items():
+    _add(f"change_summary_{_mode}", f"with {EPOCHS}, {_CHANGE.format(on=_on)} {_SUMMARY}")(lambda spark, sf, m=_mode: change.summary(_changes(spark, sf, m), 16.0))
+
+
+@_add("change_cells", f"with {EPOCHS}, {_CHANGE.format(on=_PAIRS['sequential'])} select *, abs(delta) as absolute, delta > 0.5 as gain, delta < -0.5 as loss, abs(delta) <= 0.5 as stable, abs(delta) > 0.5 as detected from d")
+def _(spark, sf):
+    return _changes(spark, sf, "sequential")
+
+
+@_add("order_names", "with t as (select p_name || '_' || p_partkey || '_v' || (p_size % 7) || '.tif' as name from part) select name, list_transform(regexp_extract_all(name, '\\d+'), lambda x: x::bigint)[-2] as stamp from t")
+def _(spark, sf):
+    t = spark.read.parquet(f"{sf}/part.parquet").select(F.concat("p_name", F.lit("_"), "p_partkey", F.lit("_v"), F.col("p_size") % 7, F.lit(".tif")).alias("name"))
+    return change.order_key(t).select("name", F.element_at("sort_key", -2).alias("stamp"))
+
+
+# --- tiles ----------------------------------------------------------------------------------------------------------
+
+
+@_add("tile_halo", f"""with {PTS}, t as (select tx::int as tx, ty::int as ty from (select unnest(range(-1, 4)) as tx) a, (select unnest(range(-1, 4)) as ty) b)
+ select tx, ty, count(*) as n, count(*) filter (x >= tx*16 and x < tx*16+16 and y >= ty*16 and y < ty*16+16) as n_core, max(z) as z_max from pts join t on x >= tx*16-2 and x <= tx*16+18 and y >= ty*16-2 and y <= ty*16+18 group by 1, 2""")
+def _(spark, sf):
+    return tiles.assign(points(spark, sf), 16.0, 2.0).groupBy("tx", "ty").agg(F.count("*").alias("n"), F.count_if("is_core").alias("n_core"), F.max("z").alias("z_max"))
+
+
+@_add("mosaic_first", f"""with {PTS}, t as (select tx, ty from (select unnest(range(-1, 4)) as tx) a, (select unnest(range(-1, 4)) as ty) b),
+ v as (select (tx + 1) * 10 + ty + 1 as tile, floor(x/2)::int as col, floor(y/2)::int as row, max(z) as value from pts join t on x >= tx*16-2 and x <= tx*16+18 and y >= ty*16-2 and y <= ty*16+18 group by all)
+ select col, row, value, tile::int as tile from (select *, row_number() over (partition by col, row order by tile) as r from v) where r = 1""")
+def _(spark, sf):
+    t = tiles.assign(points(spark, sf), 16.0, 2.0).withColumn("tile", ((F.col("tx") + 1) * 10 + F.col("ty") + 1).cast("int"))
+    return tiles.mosaic(t.groupBy("tile", cell("x", 2.0).alias("col"), cell("y", 2.0).alias("row")).agg(F.max("z").alias("value")))
+
+
+@_add("tile_sources", """with s as (select 'f' || s_suppkey as path, (s_suppkey * 7 % 40)::double as x, (s_suppkey * 13 % 40)::double as y, 1.0 + s_suppkey % 9 as w from supplier),
+ t as (select tx * 4 + ty as tile, tx * 12.0 - 1 as x0, ty * 12.0 - 1 as y0 from (select unnest(range(0, 4)) as tx) a, (select unnest(range(0, 4)) as ty) b)
+ select 't' || tile as tile, count(*) as n, string_agg(path, ',' order by path) as paths from t join s on x <= x0 + 14 and x + w >= x0 and y <= y0 + 14 and y + w >= y0 group by 1""")
+def _(spark, sf):
+    s = spark.read.parquet(f"{sf}/supplier.parquet").select(F.concat(F.lit("f"), "s_suppkey").alias("path"), (F.col("s_suppkey") * 7 % 40).cast("double").alias("x"), (F.col("s_suppkey") * 13 % 40).cast("double").alias("y"), (1.0 + F.col("s_suppkey") % 9).alias("w"))
+    files = s.select("path", F.struct(F.col("x").alias("xmin"), F.col("y").alias("ymin"), (F.col("x") + F.col("w")).alias("xmax"), (F.col("y") + F.col("w")).alias("ymax")).alias("bounds"))
+    plan = [tiles.Tile(f"t{i * 4 + j}", (i * 12.0, j * 12.0, i * 12.0 + 12, j * 12.0 + 12), (i * 12.0 - 1, j * 12.0 - 1, i * 12.0 + 13, j * 12.0 + 13)) for i in range(4) for j in range(4)]
+    out = tiles.sources_of_tiles(tiles.as_table(spark, plan), files, 12.0)
+    return out.select("tile", F.size("paths").cast("long").alias("n"), F.array_join("paths", ",").alias("paths"))
+
+
+# --- regions --------------------------------------------------------------------------------------------------------
+
+_LABEL = """e as (select a.ix as ax, a.iy as ay, b.ix as bx, b.iy as by_ from m a join m b on {near}), w(sx, sy, ix, iy) as (select ix, iy, ix, iy from m union select sx, sy, bx, by_ from w join e on ax = ix and ay = iy),
+ l as (select ix, iy, min(sx::bigint * 4294967296 + sy + 2147483648) as label from w group by 1, 2)"""
+_EIGHT, _FOUR = "abs(a.ix-b.ix) <= 1 and abs(a.iy-b.iy) <= 1", "abs(a.ix-b.ix) + abs(a.iy-b.iy) <= 1"
+
+
+@_add("components_8", f"with recursive {MASK}, {_LABEL.format(near=_EIGHT)} select * from l")
+def _(spark, sf):
+    return regions.components(_mask(spark, sf), True, tile=8)
+
+
+@_add("components_4", f"with recursive {MASK}, {_LABEL.format(near=_FOUR)} select * from l")
+def _(spark, sf):
+    return regions.components(_mask(spark, sf), False, tile=8)
+
+
+_HOLES = """v as (select ix, iy, value from c where value >= 128), x as (select min(ix) as x0, max(ix) as x1, min(iy) as y0, max(iy) as y1 from v),
+ m as (select a.ix::int as ix, b.iy::int as iy from x, unnest(range(x0, x1 + 1)) a(ix), unnest(range(y0, y1 + 1)) b(iy) where not exists (select 1 from v where v.ix = a.ix and v.iy = b.iy)),
+ {label}, big as (select label from l, x group by label having count(*) <= 12 and not bool_or(ix in (x0, x1) or iy in (y0, y1))), h as (select ix, iy, label from l join big using (label))"""
+
+
+@_add("small_holes", f"with recursive {CELLS}, {_HOLES.format(label=_LABEL.format(near=_FOUR))} select * from h")
+def _(spark, sf):
+    return regions.small_holes(_cells(spark, sf).where("value >= 128"), 12, False)
+
+
+@_add("fill_small_voids", f"""with recursive {CELLS}, {_HOLES.format(label=_LABEL.format(near=_FOUR))}, f as (select h.ix, h.iy, median(v.value) as value from h join v on abs(v.ix-h.ix) <= 1 and abs(v.iy-h.iy) <= 1 group by 1, 2)
+ select ix, iy, value from v union all select ix, iy, value from f""")
+def _(spark, sf):
+    return regions.fill_small_voids(_cells(spark, sf).where("value >= 128"), "median", 12, 1, diagonal=False)
+
+
+# --- crowns ---------------------------------------------------------------------------------------------------------
+
+_PIP = f"""{PTS}, {CROWNS}, p as (select distinct x, y, z, h from pts), i as (select p.*, crown_id, row_number() over (partition by p.x, p.y, p.z, p.h order by area, crown_id) as r
+ from p left join crowns c on p.x between xmin and xmax and p.y between ymin and ymax)"""
+
+
+def _tree_points(spark: SparkSession, sf: str) -> DataFrame:
+    p = points(spark, sf).select("x", "y", "z", F.col("h").alias("height")).distinct()
+    return p.withColumn("key", F.struct("x", "y", "z", "height"))
+
+
+@_add("crown_of_point", f"with {_PIP} select x, y, z, h as height, crown_id from i where r = 1")
+def _(spark, sf):
+    return crowns.assign(_tree_points(spark, sf), _crowns(spark, sf), 4.0, True, "key").select("x", "y", "z", "height", "crown_id")
+
+
+@_add("tree_points", f"""with {_PIP}, o as (select x, y, z, h, crown_id from i where r = 1 and h >= 5), far as (select o.x, o.y, o.z, o.h, c.crown_id as near, row_number() over (partition by o.x, o.y, o.z, o.h order by (x-cx)*(x-cx)+(y-cy)*(y-cy), c.crown_id) as r from o, crowns c where o.crown_id is null)
+ select o.x, o.y, o.z, o.h as height, coalesce(crown_id, near) as crown_id, case when crown_id is not null then 'inside' else 'nearest' end as how from o left join far on o.x = far.x and o.y = far.y and o.z = far.z and o.h = far.h and r = 1""")
+def _(spark, sf):
+    return crowns.segment(_tree_points(spark, sf), _crowns(spark, sf), 4.0, 5.0, True, "key").select("x", "y", "z", "height", "crown_id", "how")
+
+
+@_add("ring_contains", f"with {_PIP} select x, y, z, h as height, crown_id from i where r = 1 and x * 16 % 4 <> 0 and y * 16 % 4 <> 0")
+def _(spark, sf):
+    # rectangles as rings; points off the quarter-metre lines aren't on an edge, where sides would be open to choice
+    c, xy = _crowns(spark, sf), lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    c = c.withColumn("ring", F.array(xy("xmin", "ymin"), xy("xmax", "ymin"), xy("xmax", "ymax"), xy("xmin", "ymax")))
+    p = _tree_points(spark, sf).where((F.col("x") * 16 % 4 != 0) & (F.col("y") * 16 % 4 != 0))
+    return crowns.assign(p, c, 4.0, False, "key").select("x", "y", "z", "height", "crown_id")
+
+# --- surfaces -------------------------------------------------------------------------------------------------------
+
+RASTER = f"{PTS}, g as (select floor(x/2)::int as col, floor((48-y)/2)::int as row, h, z, x, y, classification, return_number from pts)"
+
+
+@_add("canopy_p2r", f"with {RASTER} select col, row, case when max(h) <= 0 then 0 when max(h) < 2 then 0 else max(h) end as value from g group by 1, 2")
+def _(spark, sf):
+    return surface.canopy_model(points(spark, sf), 2.0, 48.0, method="p2r", least_height=2.0)
+
+
+@_add("canopy_p99", f"with {RASTER} select col, row, round(case when max(h) <= 0 then 0 else quantile_cont(h, 0.99) end, 9) as value from g group by 1, 2")
+def _(spark, sf):
+    return surface.canopy_model(points(spark, sf), 2.0, 48.0, method="p99").select("col", "row", F.round("value", 9).alias("value"))
+
+
+@_add("canopy_band", f"with {RASTER} select col, row, max(h) as value from g where h between 5 and 15 and return_number = 1 group by 1, 2")
+def _(spark, sf):
+    p = surface.select_heights(points(spark, sf), "band", low=15.0, high=5.0, first_returns=True)
+    return surface.canopy_model(p, 2.0, 48.0)
+
+
+@_add("canopy_minus_ground", f"with {RASTER} select a.col, a.row, greatest(0, a.v - b.v) as value from (select col, row, max(z) as v from g group by 1, 2) a join (select col, row, min(z) as v from g where classification = 2 group by 1, 2) b using (col, row)")
+def _(spark, sf):
+    top = surface._stat(points(spark, sf), 2.0, 48.0, 0.0, F.max("z"))
+    low = surface._stat(points(spark, sf).where("classification = 2"), 2.0, 48.0, 0.0, F.min("z")).withColumnRenamed("value", "low")
+    return top.join(low, ["col", "row"]).select("col", "row", F.greatest(F.lit(0.0), F.col("value") - F.col("low")).alias("value"))
+
+
+@_add("resample_average", f"with {RASTER}, t as (select col, row, max(z) as v from g group by 1, 2) select floor(col/3)::int as col, floor(row/3)::int as row, round(avg(v), 9) as value from t group by 1, 2")
+def _(spark, sf):
+    return surface.resample(surface._stat(points(spark, sf), 2.0, 48.0, 0.0, F.max("z")), 3).select("col", "row", F.round("value", 9).alias("value"))
+
+
+@_add("clip_polygon", f"with {RASTER} select col, row, max(z) as value from g where (col + 0.5) * 2 + (48 - (row + 0.5) * 2) < 39.5 group by 1, 2")
+def _(spark, sf):
+    return surface.clip(surface._stat(points(spark, sf), 2.0, 48.0, 0.0, F.max("z")), [(-60.0, -60.0), (99.5, -60.0), (-60.0, 99.5)], 2.0, 48.0)
+
+
+@_add("elevation_min")
+def _(spark, sf):
+    return surface.elevation_model(points(spark, sf).where("classification = 2"), 1.0, 48.0)
+
+
+@_add("elevation_nearest")
+def _(spark, sf):
+    return surface.elevation_model(points(spark, sf).where("classification = 2"), 1.0, 48.0, method="nearest")
+
+
+@_add("elevation_tin")
+def _(spark, sf):
+    return surface.elevation_model(points(spark, sf).where("classification = 2 and point_id % 4 = 0"), 1.0, 48.0, method="tin")
+
+
+@_add("surface_spikefree")
+def _(spark, sf):
+    return surface.surface_model(points(spark, sf), 1.0, 48.0, method="spikefree")
+
+
+@_add("canopy_pitfree")
+def _(spark, sf):
+    return surface.canopy_model(points(spark, sf), 1.0, 48.0, method="pitfree", pit_threshold=1.0, smooth="median")
+
+
+@_add("canopy_cloth")
+def _(spark, sf):
+    return surface.canopy_model(points(spark, sf), 1.0, 48.0, method="cloth")
+
+
+# --- trees ----------------------------------------------------------------------------------------------------------
+
+
+def _canopy(spark: SparkSession, sf: str) -> DataFrame:
+    return surface.filtered(surface.canopy_model(points(spark, sf), 0.5, 48.0), "gaussian", sigma=2.0)
+
+
+for _method in ("lmf", "watershed", "yun2021"):
+    _add(f"trees_{_method}")(lambda spark, sf, m=_method: trees.detect(_canopy(spark, sf), 0.5, m)[0])
+
+
+@_add("crown_table")
+def _(spark, sf):
+    canopy = _canopy(spark, sf)
+    peaks, crown = trees.detect(canopy, 0.5, "watershed")
+    return trees.crown_table(crown, canopy, peaks, 0.5)
+
+
+@_add("crown_outlines")
+def _(spark, sf):
+    return trees.outlines(trees.detect(_canopy(spark, sf), 0.5, "watershed")[1], 0.5, 48.0)
+
+
+@_add("tree_point_segments")
+def _(spark, sf):
+    p = crowns.segment(_tree_points(spark, sf), _crowns(spark, sf), 4.0, 5.0, True, "key").where("how = 'nearest'")
+    return crowns.residual_segments(p.drop("key"), 0.5)
+
+
+# --- ground ---------------------------------------------------------------------------------------------------------
+
+
+@_add("swept_surface", f"""with {PTS}, o as (select i * 0.5e0 as ox, j * 0.5e0 as oy from (values (0),(1)) a(i), (values (0),(1)) b(j)),
+ l as (select x, y, z, row_number() over (partition by ox, oy, floor(x + ox), floor(y + oy) order by z, x, y) as r from pts, o)
+ select floor(x)::int as ix, floor(y)::int as iy, min(z) as value from l where r = 1 group by 1, 2""")
+def _(spark, sf):
+    return ground.swept_surface(points(spark, sf), 1.0)
+
+
+@_add("snapped_surface", f"""with {PTS}, s as (select floor(x/2)::int as ix, floor(y/2)::int as iy, median(z) as s from pts group by 1, 2), d as (select ix, iy, z, abs(z - s) as d, z < s as below from pts join s on floor(x/2)::int = ix and floor(y/2)::int = iy)
+ select ix, iy, z as value from (select *, row_number() over (partition by ix, iy order by d, below, z) as r from d) where r = 1""")
+def _(spark, sf):
+    p = points(spark, sf)
+    return ground.snapped(p, with_cells(p, 2.0).groupBy("ix", "iy").agg(F.median("z").alias("value")), 2.0)
+
+
+@_add("demote_high_cells", f"""with {PTS}, l as (select floor(x)::int as ix, floor(y)::int as iy, count(*) as n, min(z) as low from pts where classification = 2 group by 1, 2),
+ m as (select a.ix, a.iy, a.n, a.low, median(b.low) as around from l a join l b on abs(a.ix-b.ix) <= 1 and abs(a.iy-b.iy) <= 1 and (a.ix, a.iy) <> (b.ix, b.iy) group by all),
+ bad as (select ix, iy from m where n <= 2 and low - around > 1) select point_id, x, y, z, case when bad.ix is not null and classification = 2 then 1 else classification end as classification from pts left join bad on floor(x)::int = bad.ix and floor(y)::int = bad.iy""")
+def _(spark, sf):
+    return ground.demote_high_cells(points(spark, sf), 1.0).select("point_id", "x", "y", "z", "classification")
+
+
+_POINT = ["x", "y", "z", "classification"]
+
+
+def _cloud(spark: SparkSession, sf: str) -> DataFrame:
+    return _unique(spark, sf).drop("classification")
+
+
+@_add("classify_als")
+def _(spark, sf):
+    return ground.classify(_cloud(spark, sf), "ALS", "key").select(*_POINT)
+
+
+@_add("classify_tls")
+def _(spark, sf):
+    return ground.classify(_cloud(spark, sf), "TLS", "key").select(*_POINT)
+
+
+@_add("fix_false_ground")
+def _(spark, sf):
+    return ground.fix_false_ground(_unique(spark, sf), "key", 1.0).select(*_POINT)
+
+
+@_add("adaptive_scale", """with t as (select s_suppkey as tile, (s_suppkey * 37 % 400)::double as c, (s_suppkey * 11 % 90)::double as d, (s_suppkey % 10) / 10.0e0 as o from supplier)
+ select tile, round(greatest(0.8, least(1.8, 1.2 + greatest(-0.1, least(0.12,
+  case when c / 50 < 0.5 then 0.1 when c / 50 < 0.8 then 0.05 when c / 50 > 2.5 then -0.08 when c / 50 > 1.8 then -0.05 else 0 end +
+  case when o - 0.5 < -0.2 then 0.05 when o - 0.5 < -0.1 then 0.025 when o - 0.5 > 0.2 then -0.03 when o - 0.5 > 0.1 then -0.015 else 0 end +
+  case when d / 20 < 0.5 then 0.04 when d / 20 > 2 then -0.03 else 0 end)))), 9)::double as scale from t""")
+def _(spark, sf):
+    t = spark.read.parquet(f"{sf}/supplier.parquet").select(F.col("s_suppkey").alias("tile"), (F.col("s_suppkey") * 37 % 400).cast("double").alias("c"), (F.col("s_suppkey") * 11 % 90).cast("double").alias("d"), ((F.col("s_suppkey") % 10) / F.lit(10.0)).alias("o"))
+    k = sensors.scale("ALS", F.lit(50.0), F.lit(20.0), F.col("c"), F.col("d"), F.col("o"), F.lit(0.5))
+    return t.select("tile", F.round(k, 9).alias("scale"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").agg(F.count("*").alias("n"))
+    """Statistics, candidate points and canopy percentile of every 2 m cell."""
+    p = points(spark, sf_dir)
+    stats = cells.cell_stats(p, 2.0, 0.99)
+    low = cells.candidate_layer(p, 2.0, 0.75).groupBy("ix", "iy").agg(F.count("*").alias("n_candidates"))
+    return stats.join(low, ["ix", "iy"])
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
