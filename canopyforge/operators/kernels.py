@@ -200,17 +200,19 @@ def prune(peaks: list[tuple[int, int]], res: float, apart: float) -> list[tuple[
 def valley_angle(a: np.ndarray, p: tuple[int, int], q: tuple[int, int], res: float, band: int = 1) -> float:
     """Angle in degrees at the lowest cell of the band between two peaks; 180 where nothing lies between."""
     steps = max(abs(q[0] - p[0]), abs(q[1] - p[1]))
-    best: tuple[float, int, int] | None = None
+    best: tuple | None = None
     for i in range(1, steps):
         r, c = round(p[0] + (q[0] - p[0]) * i / steps), round(p[1] + (q[1] - p[1]) * i / steps)
         for dr in range(-band, band + 1):
             for dc in range(-band, band + 1):
                 rr, cc = r + dr, c + dc
                 if 0 <= rr < a.shape[0] and 0 <= cc < a.shape[1] and np.isfinite(a[rr, cc]) and (rr, cc) not in (p, q):
-                    best = min(best, (float(a[rr, cc]), rr, cc)) if best else (float(a[rr, cc]), rr, cc)
+                    # of equally low cells the one on the line and next to its middle
+                    here = (float(a[rr, cc]), abs(dr) + abs(dc), abs(2 * i - steps), rr, cc)
+                    best = min(best, here) if best else here
     if best is None:
         return 180.0
-    z, r, c = best
+    z, _, _, r, c = best
     legs = [((t[0] - r) * res, (t[1] - c) * res, max(0.0, float(a[t]) - z)) for t in (p, q)]
     size = [sqrt(sum(k * k for k in leg)) for leg in legs]
     if min(size) == 0:
