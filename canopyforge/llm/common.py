@@ -56,6 +56,22 @@ def column_lists(batches: Iterator[pa.RecordBatch], *names: str, rows: int = 200
             yield [part.column(part.schema.get_field_index(n)).to_pylist() for n in names]
 
 
+_lasting: dict[tuple, object] = {}
+
+
+def lasting(key: tuple, make: Callable):
+    """A Python worker's one object that lasts from task to task, such as a cache; another key's replaces it."""
+    if key not in _lasting:
+        _lasting.clear()
+        _lasting[key] = make()
+    return _lasting[key]
+
+
+def forget() -> None:
+    """Frees what the worker kept for other operators; workers serve one after another."""
+    _lasting.clear()
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -76,6 +92,7 @@ def annotate(df: DataFrame, inputs: list[str], fields: dict[str, str], make: Cal
     schema = ", ".join([f"`{c}` {types[c]}" for c in kept] + [f"`{n}` {t}" for n, t in fields.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for start in range(0, batch.num_rows, rows):
                 part = batch.slice(start, rows)

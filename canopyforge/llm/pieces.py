@@ -5,8 +5,9 @@ position's best score from the one at the piece's start. A position that no piec
 piece at the vocabulary's penalty, written as bytes where the vocabulary has them. The result is the segmentation with the
 greatest sum of piece scores, ties to the longer last piece: what the library's unigram model gives for these pieces and scores.
 
-No piece of such a vocabulary has the space mark after another character, so that a text falls into segments at each
-mark that follows one, whose best segmentations are the text's; frequent segments are solved once.
+Where two neighbouring characters are together in no piece, no piece can lie over them, so that a text falls into segments
+there whose best segmentations are the text's. A space mark after another character is such a place, unless a piece has it.
+Segments are cut at those first, what is met for the first time at all others, and frequent ones are solved once.
 """
 
 from __future__ import annotations
@@ -15,18 +16,18 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import annotate, column_lists, read
+from .common import column_lists, forget, lasting, read
 
 SPACE = "▁"
 #: What an unknown character scores less than the least piece; segments that a task remembers.
-PENALTY, MEMORY = 10.0, 500_000
+PENALTY, MEMORY = 10.0, 400_000
 # Kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 
@@ -62,8 +63,6 @@ class Model:
     """The pieces of a SentencePiece model file, as a unigram vocabulary."""
 
     def __init__(self, path: str) -> None:
-        import ahocorasick
-
         self.pieces: list[tuple[str, float, int]] = []
         self.prefix, self.strip = True, True
         with open(path, "rb") as f:
@@ -77,18 +76,26 @@ class Model:
                 self.prefix, self.strip = bool(own.get(3, 1)), bool(own.get(4, 1))
                 if own.get(2):
                     raise ValueError("only models without a character map are read")
-        self.automaton = ahocorasick.Automaton()
-        for i, (piece, score, kind) in enumerate(self.pieces):
-            if kind in (NORMAL, USER):
-                self.automaton.add_word(piece, (len(piece), score, i))
-        self.automaton.make_automaton()
         self.unknown_score = min((s for _, s, kind in self.pieces if kind == NORMAL), default=0.0) - PENALTY
         self.unknown = next((i for i, p in enumerate(self.pieces) if p[2] == UNKNOWN), 0)
         self.byte_ids = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(self.pieces) if kind == BYTE}
         self.cuts = not any(SPACE in p.lstrip(SPACE) for p, _, kind in self.pieces if kind in (NORMAL, USER))
-        self.lines = not any("\n" in p for p, _, kind in self.pieces if kind in (NORMAL, USER))
+        #: Neighbours that some piece has.
+        self.together = {p[i : i + 2] for p, _, kind in self.pieces if kind in (NORMAL, USER) for i in range(len(p) - 1)}
         self.bytes_of = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else " ⁇ ".encode() if kind == UNKNOWN else p.replace(SPACE, " ").encode() for p, _, kind in self.pieces]
 
+    @cached_property
+    def automaton(self):
+        """Made by whoever encodes; decoding has no use for it."""
+        import ahocorasick
+
+        out = ahocorasick.Automaton()
+        for i, (piece, score, kind) in enumerate(self.pieces):
+            if kind in (NORMAL, USER):
+                out.add_word(piece, (len(piece), score, i))
+        out.make_automaton()
+        return out
+
     def viterbi(self, text: str) -> list[int]:
         """Ids of the best segmentation of a normalized text."""
         n = len(text)
@@ -103,8 +110,6 @@ class Model:
             while nxt is not None and nxt[0] == end - 1:  # longest first: ties stay with it
                 length, score, piece = nxt[1]
                 s = best[end - length] + score
-                if s > 1.6e7 or s < -1.6e7:
-                    s = float(np.float32(s))  # sums are kept in 32 bits there; smaller ones are exact
                 if top is None or s > top:
                     top, back[end] = s, (length, piece)
                 if length == 1:
@@ -112,7 +117,6 @@ class Model:
                 nxt = next(found, None)
             if not single[end]:
                 s = best[end - 1] + self.unknown_score
-                s = float(np.float32(s)) if s < -1.6e7 else s
                 if top is None or s > top:
                     top, back[end] = s, (1, -1)
             best[end] = top
@@ -148,35 +152,39 @@ def model(path: str) -> Model:
 _SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
-class Encoder:
-    """Encodes texts one after another and remembers frequent segments."""
+class Segments(dict):
+    """Ids, as bytes, of segments; frequent ones are remembered."""
 
     def __init__(self, path: str) -> None:
-        self.model, self.known = model(path), {}
-
-    def _segment(self, s: str) -> bytes:
-        ids = self.known.get(s)
-        if ids is None:
-            if self.model.lines and "\n" in s and len(s) > 1:
-                head, line, tail = s.partition("\n")
-                return (self._segment(head) if head else b"") + self._segment(line) + (self._segment(tail) if tail else b"")
+        self.model = model(path)
+
+    def __missing__(self, s: str) -> bytes:
+        together = self.model.together
+        ends = [i for i in range(1, len(s)) if s[i - 1 : i + 1] not in together]
+        if ends:
+            ids = b"".join([self[s[a:b]] for a, b in zip([0, *ends], [*ends, len(s)], strict=True)])
+        else:
             ids = np.array(self.model.viterbi(s), np.uint32).tobytes()
-            if len(self.known) < MEMORY:
-                self.known[s] = ids
+        if len(self) < MEMORY:
+            self[s] = ids
         return ids
 
+
+class Encoder:
+    """Encodes texts one after another."""
+
+    def __init__(self, path: str) -> None:
+        self.model, self.known = model(path), Segments(path)
+
     def encode(self, text: str | None) -> np.ndarray:
         text = self.model.normalized(text or "")
         if not self.model.cuts:
-            return np.frombuffer(self._segment(text) if text else b"", np.uint32)
+            return np.frombuffer(self.known[text] if text else b"", np.uint32)
         if SPACE + SPACE in text or text[:1] != SPACE or text[-1:] == SPACE:
             parts = _SEGMENT.findall(text)
         else:
             parts = [SPACE + p for p in text[1:].split(SPACE)]
-        try:
-            return np.frombuffer(b"".join(map(self.known.__getitem__, parts)), np.uint32)
-        except KeyError:
-            return np.frombuffer(b"".join(map(self._segment, parts)), np.uint32)
+        return np.frombuffer(b"".join(map(self.known.__getitem__, parts)), np.uint32)
 
 
 def encode(documents: DataFrame, path: str) -> DataFrame:
@@ -186,7 +194,7 @@ def encode(documents: DataFrame, path: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Encoder(path)
+        own = lasting(("pieces", path), lambda: Encoder(path))
         for ids, texts in column_lists(batches, "doc_id", "text", rows=500):
             made = [own.encode(t) for t in texts]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in made])]).astype(np.int32)
@@ -197,29 +205,34 @@ def encode(documents: DataFrame, path: str) -> DataFrame:
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """(doc_id, ids, text) of each row of (doc_id, ids); null ids give an empty text. A space mark in a text comes back as a space."""
+    """(doc_id, ids, text, n_pieces, ids_crc32) of each row of (doc_id, ids): the text, and the crc of the ids as little-endian
+    32-bit numbers. Null ids give an empty text. A space mark in a text comes back as a space."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = model(path)
+        forget()
+        piece = model(path).bytes_of.__getitem__
+        first = model(path).prefix
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                texts = [own.decode(x) if x else "" for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
+            flat, ends = _flat(batch.column(1))
+            raw, texts, crcs = flat.astype("<u4").tobytes(), [], []
+            for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                text = b"".join(map(piece, flat[a:b].tolist())).decode("utf-8", "replace")
+                texts.append(text[1:] if first and text[:1] == " " else text)
+                crcs.append(zlib.crc32(raw[4 * a : 4 * b]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(np.diff(ends).astype(np.int64)), pa.array(crcs, pa.int64())], ["doc_id", "ids", "text", "n_pieces", "ids_crc32"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string, n_pieces long, ids_crc32 long")
 
 
-def digest(decoded: DataFrame, keep_ids: bool = False) -> DataFrame:
-    """(doc_id, n_pieces, ids_crc32, text_sha256) of (doc_id, ids, text): the crc of the ids as little-endian 32-bit numbers, the
-    text's hash; with keep_ids also ids."""
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all lists, and where each list's end is among them (null lists are empty)."""
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return lists.flatten().fill_null(0).to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(sizes)])
 
-    def make(lists: list[list[int] | None]) -> list[pa.Array]:
-        raw = [np.array(x or [], "<u4").tobytes() for x in lists]
-        return [pa.array([len(r) // 4 for r in raw], pa.int64()), pa.array(list(map(zlib.crc32, raw)), pa.int64())]
 
-    made = annotate(decoded.select("doc_id", "ids", "text"), ["ids"], {"n_pieces": "long", "ids_crc32": "long"}, make)
-    return made.select("doc_id", *["ids"] * keep_ids, "n_pieces", "ids_crc32", F.sha2("text", 256).alias("text_sha256"))
+def digest(decoded: DataFrame, keep_ids: bool = False) -> DataFrame:
+    """(doc_id, n_pieces, ids_crc32, text_sha256) of what decode() gives; with keep_ids also ids."""
+    return decoded.select("doc_id", *["ids"] * keep_ids, "n_pieces", "ids_crc32", F.sha2("text", 256).alias("text_sha256"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
