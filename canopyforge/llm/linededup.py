@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import annotate, column_lists, cut, read
+from .common import annotate, column_lists, cut, forget, read
 
 LEAST_CHARS = 10
 BLANKS = " \t\n\r\x0b\x0c"
@@ -49,6 +49,7 @@ def _document_hashes(text: str | None) -> set[int]:
 
 def _fill(slabs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         known: list[np.ndarray] = []
         for (texts,) in column_lists(batches, "text"):
             for t in texts:
@@ -103,6 +104,7 @@ def twice_seen(documents: DataFrame) -> dict[int, bytes]:
 
 def _suspects(twice):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         held = twice.value
         slabs = held["slabs"]
         bits = np.zeros((slabs, SLAB // 8), np.uint8)
@@ -153,7 +155,8 @@ def drop_repeated_lines(documents: DataFrame, keep: tuple[str, ...] = ()) -> Dat
     twice = spark.sparkContext.broadcast(twice_seen(docs))
     suspects = cut(docs.mapInArrow(_suspects(twice), "line binary, doc_id long"), "suspected-lines")
     repeated = suspects.groupBy("line").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("unnamed"))
-    repeated = repeated.where("first < last or (unnamed and first is not null)").select("line", "first")
+    # written, so that the join below deals both sides anew and can split a line that very many documents have
+    repeated = cut(repeated.where("first < last or (unnamed and first is not null)").select("line", "first"), "repeated-lines")
     drops = suspects.join(repeated, "line").where("doc_id is null or doc_id > first").groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
     rows = documents.select(F.col("doc_id").cast("long"), *keep, F.col("text").cast("string").alias("_text"))
     rows = rows.join(drops.select(F.col("doc_id").alias("_of"), F.col("lines").alias("_lines")), F.col("doc_id").eqNullSafe(F.col("_of")), "left").drop("_of")
