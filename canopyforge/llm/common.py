@@ -69,7 +69,21 @@ def lasting(key: tuple, make: Callable):
 
 def forget() -> None:
     """Frees what the worker kept for other operators; workers serve one after another."""
-    _lasting.clear()
+    if _lasting:
+        _lasting.clear()
+        give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, where the C library can; a worker that waits would keep it."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

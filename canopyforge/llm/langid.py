@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column_lists, crc_of_id, cut, read
+from .common import column_lists, crc_of_id, cut, forget, read
 
 #: Orders of the n-grams, whose words get a blank at each end.
 ORDERS = (3, 4)
@@ -157,6 +157,7 @@ def identify(documents: DataFrame, filters: Filters) -> DataFrame:
     model = documents.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for ids, texts in column_lists(batches, "doc_id", "text", rows=200):
             langs, scores = model.value.predict(texts)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs), pa.array(scores)], ["doc_id", "lang_pred", "score"])

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column_lists, cut, read
+from .common import column_lists, cut, forget, read
 from .components import components
 
 #: Bits that one level of prefixes has, and the fingerprints that may meet in one prefix.
@@ -53,6 +53,7 @@ def fingerprints(documents: DataFrame, words: int = 4, seed: int = 42) -> DataFr
     """(doc_id, fp): fp is the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for ids, texts in column_lists(batches, "doc_id", "text"):
             fps = np.fromiter((fingerprint(t, words, seed) for t in texts), np.uint64, len(texts)).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fps)], ["doc_id", "fp"])

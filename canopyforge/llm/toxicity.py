@@ -29,10 +29,10 @@ WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 PREFIXES = range(4, 9)
 #: Bound of the sample that the model is fitted on: labelled documents of each class, in expectation.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1500, 2500
-#: A feature marks tokens if it is so many times as common in toxic documents and occurs in so many of them.
-LEAST_RATIO, LEAST_SUPPORT = 8.0, 4
+#: A feature marks tokens if it is so many times as common in toxic documents and occurs in so many and such a share of them.
+LEAST_RATIO, LEAST_SUPPORT, SUPPORT_SHARE = 8.0, 4, 0.03
 #: Words of a training sequence, sequences, steps and rate of the fit, weight of its penalty, words that a task remembers.
-CHUNK, MOST_CHUNKS, STEPS, RATE, PENALTY, MEMORY = 48, 12_000, 60, 0.25, 1e-4, 300_000
+CHUNK, MOST_CHUNKS, STEPS, RATE, PENALTY, MEMORY = 48, 5_000, 100, 0.25, 1e-4, 300_000
 THRESHOLD = 0.7
 
 
@@ -111,12 +111,16 @@ class Model:
         starts[begin[lengths > 0]] = True
         p = marginals(e, starts, self.transitions, self.first)
         spans: list[list[tuple[int, int, float]]] = [[] for _ in texts]
-        distinct = np.zeros(len(texts))
+        distinct, evidence = np.zeros(len(texts)), np.zeros(len(texts))
         marked = np.nonzero(p >= 0.5)[0]
         owner = np.searchsorted(begin + lengths, marked, side="right")
         for i in np.unique(owner).tolist():
             at = marked[owner == i] - begin[i]
-            distinct[i] = len({words[i][k].lower() for k in at.tolist()})
+            best: dict[str, float] = {}
+            for k in at.tolist():
+                w = words[i][k].lower()
+                best[w] = max(best.get(w, 0.0), float(p[begin[i] + k]))
+            distinct[i], evidence[i] = len(best), -sum(np.log(1 - q + 1e-4) for q in best.values())
             places = [m.span() for m in WORD.finditer(texts[i])]
             for k in at.tolist():
                 q = float(p[begin[i] + k])
@@ -125,22 +129,24 @@ class Model:
                     spans[i][-1] = (start, places[k][1], max(before, q))
                 else:
                     spans[i].append((*places[k], q))
-        x = _document_features(p, lengths, distinct)
+        x = _document_features(p, lengths, distinct, evidence)
         if raw:
             return x
         return 1 / (1 + np.exp(-np.clip(x @ self.document, -40, 40))), spans
 
 
-def _document_features(p: np.ndarray, lengths: np.ndarray, distinct: np.ndarray) -> np.ndarray:
-    """By document: 1, greatest marginal, log of their sum, log of their share of the words, log of distinct marked words."""
+def _document_features(p: np.ndarray, lengths: np.ndarray, distinct: np.ndarray, evidence: np.ndarray) -> np.ndarray:
+    """By document: 1, log odds of the greatest marginal, log of the share that marked words have, log of the number of distinct
+    ones, and how unlikely it is that none of these is toxic."""
     ends = np.cumsum(lengths)
-    total = np.diff(np.concatenate([[0.0], np.concatenate([[0.0], np.cumsum(p)])[ends]]))
+    total = np.diff(np.concatenate([[0.0], np.concatenate([[0.0], np.cumsum(np.where(p >= 0.5, p, 0.0))])[ends]]))
     greatest = np.zeros(len(lengths))
     full = np.nonzero(lengths)[0]
     if len(full):
         greatest[full] = np.maximum.reduceat(p, (ends - lengths)[full])
     share = np.maximum(total, 0) / np.maximum(lengths, 1)
-    return np.stack([np.ones(len(lengths)), greatest, np.log1p(np.maximum(total, 0)), np.log(share + 1e-3) + np.log(1e3), np.log1p(distinct)], 1)
+    odds = np.clip(np.log((greatest + 1e-6) / (1 - greatest + 1e-6)), -6, 8)
+    return np.stack([np.ones(len(lengths)), odds, np.log(share + 1e-3) + np.log(1e3), np.log1p(distinct), np.minimum(evidence, 30.0)], 1)
 
 
 def _different(texts: list[list[str]]) -> list[bool]:
@@ -165,8 +171,8 @@ def _lexicon(texts: list[list[str]], toxic: np.ndarray) -> set[str]:
         totals[y] += len(ws)
         if y:
             support.update(own.keys())
-    rate = totals[0] / totals[1]
-    return {f for f, n in support.items() if n >= LEAST_SUPPORT and (counts[1][f] + 0.5) / (counts[0][f] + 0.5) * rate >= LEAST_RATIO}
+    rate, least = totals[0] / totals[1], max(LEAST_SUPPORT, SUPPORT_SHARE * int(toxic.sum()))
+    return {f for f, n in support.items() if n >= least and (counts[1][f] + 0.5) / (counts[0][f] + 0.5) * rate >= LEAST_RATIO}
 
 
 def fit(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
