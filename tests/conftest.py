@@ -41,12 +41,18 @@ def duck():
 def same():
     """Compares a Spark result with a DuckDB one, whatever their order."""
 
+    import numbers
+
+    import pandas as pd
+
+    def plain(v):
+        if not isinstance(v, (list, tuple, dict)) and pd.isna(v):
+            return None
+        return float(v) if isinstance(v, numbers.Number) and not isinstance(v, bool) else str(v)
+
     def rows(frame):
         columns = sorted(frame.columns)
-        out = []
-        for r in frame[columns].itertuples(index=False):
-            out.append(tuple(None if v is None or v != v or str(v) == "<NA>" else float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) or type(v).__module__ == "numpy" and not isinstance(v, (str, bytes)) and v.dtype.kind in "iuf" else str(v) for v in r))
-        return columns, sorted(out, key=repr)
+        return columns, sorted((tuple(map(plain, r)) for r in frame[columns].itertuples(index=False)), key=repr)
 
     def check(df, con, sql):
         a, b = rows(df.toPandas()), rows(con.sql(sql).df())
