@@ -118,3 +118,24 @@ def compatible(headers: DataFrame, *columns: str) -> None:
     kinds = headers.select(*columns).distinct().limit(2).collect()
     if len(kinds) > 1:
         raise ValueError(f"sources differ in {', '.join(c for c in columns if kinds[0][c] != kinds[1][c])}")
+
+
+def overlaps(files: DataFrame, cell: float) -> DataFrame:
+    """(a, b, area) of files (path, bounds) whose bounds overlap by an area; by cells, so that only near ones meet."""
+    gx = F.explode(F.sequence(F.floor(F.col("bounds.xmin") / cell), F.floor(F.col("bounds.xmax") / cell)))
+    gy = F.explode(F.sequence(F.floor(F.col("bounds.ymin") / cell), F.floor(F.col("bounds.ymax") / cell)))
+    f = files.select("path", "bounds").withColumn("gx", gx).withColumn("gy", gy)
+    a, b = f.select("gx", "gy", F.col("path").alias("a"), F.col("bounds").alias("p")), f.select("gx", "gy", F.col("path").alias("b"), F.col("bounds").alias("q"))
+    w = F.least("p.xmax", "q.xmax") - F.greatest("p.xmin", "q.xmin")
+    h = F.least("p.ymax", "q.ymax") - F.greatest("p.ymin", "q.ymin")
+    return a.join(b, ["gx", "gy"]).where((F.col("a") < F.col("b")) & (w > 0) & (h > 0)).select("a", "b", (w * h).alias("area")).distinct()
+
+
+def diagnosis(files: DataFrame, cell: float) -> DataFrame:
+    """One row: files, their area, that of the extent, its covered share (by sums), pairs that overlap, and whether gaps are likely."""
+    area = (F.col("bounds.xmax") - F.col("bounds.xmin")) * (F.col("bounds.ymax") - F.col("bounds.ymin"))
+    whole = (F.max("bounds.xmax") - F.min("bounds.xmin")) * (F.max("bounds.ymax") - F.min("bounds.ymin"))
+    one = files.agg(F.count("*").alias("files"), F.sum(area).alias("area"), whole.alias("extent"))
+    pairs = overlaps(files, cell).agg(F.count("*")).scalar()
+    share = F.col("area") / F.nullif("extent", F.lit(0.0))
+    return one.select("files", "area", "extent", F.round(share, 9).alias("covered"), pairs.alias("overlapping"), (share < 0.98).alias("gaps"))

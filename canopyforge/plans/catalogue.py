@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canopyforge.functions.points import POINTS_SQL, cell, points, with_cells
-from canopyforge.functions import sensors
-from canopyforge.operators import cells, change, crowns, focal, ground, lookup, regions, surface, terrain, tiles, trees
+from canopyforge.functions import names, sensors
+from canopyforge.operators import cells, change, crowns, focal, ground, lookup, outliers, regions, surface, terrain, tiles, trees
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -582,6 +582,59 @@ def _(spark, sf):
     return t.select("tile", F.round(k, 9).alias("scale"))
 
 
+
+# --- names, outliers, files -----------------------------------------------------------------------------------------
+
+
+@_add("safe_names", r"""with t as (select '/data/' || p_name || ' #' || p_partkey || '/' || p_type || '_CHM_' || p_brand || '.tif' as path from part), u as (select path, regexp_replace(regexp_extract(path, '([^/]+)$', 1), '\.[^.]*$', '') as stem from t)
+ select path, stem, regexp_replace(stem, '[^A-Za-z0-9_]+', '_', 'g') as label, regexp_extract(lower(stem), '_chm_(.+)$', 1) as variant from u""")
+def _(spark, sf):
+    t = spark.read.parquet(f"{sf}/part.parquet").select(F.concat(F.lit("/data/"), "p_name", F.lit(" #"), "p_partkey", F.lit("/"), "p_type", F.lit("_CHM_"), "p_brand", F.lit(".tif")).alias("path"))
+    return t.select("path", names.stem(F.col("path")).alias("stem"), names.dataset_label(F.col("path")).alias("label"), names.surface_of(F.col("path"))["variant"].alias("variant"))
+
+
+@_add("isolated_points", f"""with {PTS}, p as (select distinct x, y, z from pts) select a.x, a.y, a.z from p a left join p b on (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z) <= 0.25e0
+ and (a.x <> b.x or a.y <> b.y or a.z <> b.z) group by 1, 2, 3 having count(b.x) < 2""")
+def _(spark, sf):
+    p = points(spark, sf).select("x", "y", "z").distinct().withColumn("key", F.struct("x", "y", "z"))
+    return outliers.isolated(p, 0.5, 2, "key").select("x", "y", "z")
+
+
+@_add("statistical_outliers")
+def _(spark, sf):
+    p = points(spark, sf).where("point_id % 8 = 0").select("x", "y", "z").distinct().withColumn("key", F.struct("x", "y", "z"))
+    return outliers.statistical_outliers(p, 8, 2.0, 1.0, "key").select("x", "y", "z")
+
+
+@_add("robust_z", f"""with {PTS}, t as (select floor(x/4)::int as ix, floor(y/4)::int as iy, z from pts), m as (select ix, iy, median(z) as mid from t group by 1, 2), d as (select ix, iy, median(abs(z - mid)) as mad from t join m using (ix, iy) group by 1, 2)
+ select ix, iy, z, round((z - mid) / (1.4826e0 * mad + 1e-12), 6) as robust_z from t join m using (ix, iy) join d using (ix, iy)""")
+def _(spark, sf):
+    return outliers.robust_z(with_cells(points(spark, sf), 4.0).select("ix", "iy", "z"), "z", "ix", "iy").select("ix", "iy", "z", F.round("robust_z", 6).alias("robust_z"))
+
+
+@_add("quantiles", f"with {PTS} select epoch, round(quantile_cont(h, 0.1), 9) as q0, round(quantile_cont(h, 0.5), 9) as q1, round(quantile_cont(h, 0.9), 9) as q2 from pts group by 1")
+def _(spark, sf):
+    q = outliers.quantiles(points(spark, sf), "h", (0.1, 0.5, 0.9), "epoch")
+    return q.select("epoch", *[F.round(c, 9).alias(c) for c in ("q0", "q1", "q2")])
+
+
+@_add("file_overlaps", """with s as (select 'f' || s_suppkey as path, (s_suppkey * 7 % 40)::double as x, (s_suppkey * 13 % 40)::double as y, 1.0e0 + s_suppkey % 9 as w from supplier)
+ select a.path as a, b.path as b, (least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * (least(a.y + a.w, b.y + b.w) - greatest(a.y, b.y)) as area from s a join s b on a.path < b.path
+ and least(a.x + a.w, b.x + b.w) > greatest(a.x, b.x) and least(a.y + a.w, b.y + b.w) > greatest(a.y, b.y)""")
+def _(spark, sf):
+    return tiles.overlaps(_files(spark, sf), 8.0)
+
+
+@_add("file_diagnosis")
+def _(spark, sf):
+    return tiles.diagnosis(_files(spark, sf), 8.0)
+
+
+def _files(spark: SparkSession, sf: str) -> DataFrame:
+    s = spark.read.parquet(f"{sf}/supplier.parquet").select(F.concat(F.lit("f"), "s_suppkey").alias("path"), (F.col("s_suppkey") * 7 % 40).cast("double").alias("x"), (F.col("s_suppkey") * 13 % 40).cast("double").alias("y"), (F.lit(1.0) + F.col("s_suppkey") % 9).alias("w"))
+    return s.select("path", F.struct(F.col("x").alias("xmin"), F.col("y").alias("ymin"), (F.col("x") + F.col("w")).alias("xmax"), (F.col("y") + F.col("w")).alias("ymax")).alias("bounds"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics, candidate points and canopy percentile of every 2 m cell."""
     p = points(spark, sf_dir)
