@@ -27,7 +27,7 @@ from .common import column_lists, forget, lasting, read
 
 SPACE = "▁"
 #: What an unknown character scores less than the least piece; segments that a task remembers.
-PENALTY, MEMORY = 10.0, 400_000
+PENALTY, MEMORY = 10.0, 200_000
 # Kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 
@@ -187,6 +187,15 @@ class Encoder:
         return np.frombuffer(b"".join(map(self.known.__getitem__, parts)), np.uint32)
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    own = lasting(("pieces", path), lambda: Encoder(path))
+    for ids, texts in column_lists(batches, "doc_id", "text", rows=500):
+        made = [own.encode(t) for t in texts]
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in made])]).astype(np.int32)
+        flat = np.concatenate([*made, np.zeros(0, np.uint32)]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "ids"])
+
+
 def encode(documents: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids: array<int>) of each row of documents (doc_id, text) by the model file at path.
 
@@ -194,34 +203,48 @@ def encode(documents: DataFrame, path: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = lasting(("pieces", path), lambda: Encoder(path))
-        for ids, texts in column_lists(batches, "doc_id", "text", rows=500):
-            made = [own.encode(t) for t in texts]
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in made])]).astype(np.int32)
-            flat = np.concatenate([*made, np.zeros(0, np.uint32)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "ids"])
+        yield from _encoded(batches, path)
 
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
+_DECODED = "ids array<int>, text string, n_pieces long, ids_crc32 long"
+
+
+def _decoded(ids: pa.Array, lists: pa.ListArray, path: str) -> pa.RecordBatch:
+    """A batch of (doc_id, ids) with what decode() adds."""
+    piece, first = model(path).bytes_of.__getitem__, model(path).prefix
+    flat, ends = _flat(lists)
+    raw, texts, crcs = flat.astype("<u4").tobytes(), [], []
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        text = b"".join(map(piece, flat[a:b].tolist())).decode("utf-8", "replace")
+        texts.append(text[1:] if first and text[:1] == " " else text)
+        crcs.append(zlib.crc32(raw[4 * a : 4 * b]))
+    return pa.RecordBatch.from_arrays([ids, lists, pa.array(texts, pa.string()), pa.array(np.diff(ends).astype(np.int64)), pa.array(crcs, pa.int64())], ["doc_id", "ids", "text", "n_pieces", "ids_crc32"])
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids, text, n_pieces, ids_crc32) of each row of (doc_id, ids): the text, and the crc of the ids as little-endian
     32-bit numbers. Null ids give an empty text. A space mark in a text comes back as a space."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
-        piece = model(path).bytes_of.__getitem__
-        first = model(path).prefix
         for batch in batches:
-            flat, ends = _flat(batch.column(1))
-            raw, texts, crcs = flat.astype("<u4").tobytes(), [], []
-            for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                text = b"".join(map(piece, flat[a:b].tolist())).decode("utf-8", "replace")
-                texts.append(text[1:] if first and text[:1] == " " else text)
-                crcs.append(zlib.crc32(raw[4 * a : 4 * b]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(np.diff(ends).astype(np.int64)), pa.array(crcs, pa.int64())], ["doc_id", "ids", "text", "n_pieces", "ids_crc32"])
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                yield _decoded(part.column(0), part.column(1), path)
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id long, {_DECODED}")
+
+
+def encode_and_decode(documents: DataFrame, path: str) -> DataFrame:
+    """decode(encode(documents)) by one Python worker a task, where two would each hold memory and pass the ids on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _encoded(batches, path):
+            yield _decoded(part.column(0), part.column(1), path)
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string, n_pieces long, ids_crc32 long")
+    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, f"doc_id long, {_DECODED}")
 
 
 def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -239,4 +262,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    return digest(decode(encode(read(spark, sf_dir, "documents"), path), path))
+    return digest(encode_and_decode(read(spark, sf_dir, "documents"), path))

@@ -55,7 +55,7 @@ def as_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    return pieces.digest(pieces.decode(pieces.encode(docs, path), path), keep_ids=True)
+    return pieces.digest(pieces.encode_and_decode(docs, path), keep_ids=True)
 
 
 STAGES = [
