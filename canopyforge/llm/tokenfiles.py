@@ -15,8 +15,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,16 +22,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column_lists, read, shared_path
+from .common import column_lists, forget, lasting, read, shared_path
 
-LANES, BLOCK, EVERY = 512, 1 << 18, 128
+LANES, BLOCK, EVERY = 2048, 1 << 19, 128
 #: The least state, and the bits of a word.
 LOW, WORD = 1 << 31, 32
 END_ID = 2
 #: Units of text whose ids a task remembers.
-MEMORY = 500_000
+MEMORY = 1_200_000
 
-_BLANK_BEFORE_SPACE = re.compile(r"\s ")
 #: Latin letters and then punctuation, which the vocabulary's rule splits just there. No apostrophes: they bind letters.
 _LETTERS_THEN_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?|%$#&*()]*)")
 
@@ -47,77 +44,73 @@ def _shown_bytes() -> dict[int, str]:
 _SHOWN = _shown_bytes()
 
 
+class Units(dict):
+    """Ids, as bytes, of units of text; frequent ones are remembered. A unit is what stands here, with a space before it or bare."""
+
+    def __init__(self, owner: Encoder, space: str) -> None:
+        self.owner, self.space = owner, space
+
+    def __missing__(self, unit: str) -> bytes:
+        own = self.owner
+        # a space and letters are one word of the vocabulary's rule, which the model alone codes
+        if self.space and unit.isascii() and unit.isalpha():
+            ids = b"".join([own.raw[t.id] for t in own.tokenize(_SHOWN[32] + unit)])
+        elif self.space and (m := _LETTERS_THEN_MARKS.fullmatch(unit)):
+            if m[2]:
+                ids = self[m[1]] + own.bare[m[2]]
+            else:
+                ids = b"".join([own.raw[t.id] for t in own.tokenize(_SHOWN[32] + unit.encode().decode("latin-1").translate(_SHOWN))])
+        elif not unit or unit[-1].isspace():
+            raise BlankBeforeSpace
+        else:
+            ids = own.plain(self.space + unit)
+        if len(self) < MEMORY:
+            self[unit] = ids
+        return ids
+
+
+class BlankBeforeSpace(Exception):
+    """The text can't be cut at its spaces alone."""
+
+
 class Encoder:
     """Ids of texts by a byte-level BPE file of the tokenizers library.
 
     Such a vocabulary's rule never joins a space to the character before it. So a text falls into units at each space that
-    follows a non-blank, the units' ids are the text's, and frequent units are coded once.
+    follows a non-blank, the units' ids are the text's, and frequent units are coded once. Texts with a blank before a space are
+    coded whole.
     """
 
     def __init__(self, path: str, width: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.width = Tokenizer.from_file(path), width
+        self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
+        self.tokenize = self.tokenizer.model.tokenize
         self.raw = [i.to_bytes(int(width[2]), "little") for i in range(self.tokenizer.get_vocab_size())]
-        self.known: dict[str, bytes] = {}
-
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.width).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of a space and a word of letters, for each: one word of the vocabulary's rule, so that the model alone codes it."""
-        tokenize, raw, space = self.tokenizer.model.tokenize, self.raw, _SHOWN[32]
-        shown = [space + (w if w.isascii() else w.encode().decode("latin-1").translate(_SHOWN)) for w in words]
-        return [b"".join([raw[t.id] for t in tokenize(w)]) for w in shown]
-
-    def _learn(self, units: set[str]) -> None:
-        """Adds units; a unit stands for a space and itself, or after a NUL for itself."""
-        known, words, other, split = self.known, set(), set(), []
-        for u in units:
-            if m := _LETTERS_THEN_MARKS.fullmatch(u):
-                if m[2]:
-                    split.append((u, m[1], "\0" + m[2]))
-                    other.add("\0" + m[2])
-                words.add(m[1])
-            else:
-                other.add(u)
-        words, other = list(words.difference(known)), list(other.difference(known))
-        known.update(zip(words, self._words(words), strict=True))
-        known.update(zip(other, self._plain([u[1:] if u[:1] == "\0" else " " + u for u in other]), strict=True))
-        known.update([(u, known[a] + known[b]) for u, a, b in split])
+        self.known, self.bare = Units(self, " "), Units(self, "")
+
+    def plain(self, text: str) -> bytes:
+        return b"".join([self.raw[i] for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian numbers of this encoder's width."""
-        units: list[list[str] | None] = []
-        odd: list[str] = []
+        get, bare, out = self.known.__getitem__, self.bare, []
         for t in texts:
-            if t and (_BLANK_BEFORE_SPACE.search(t) or "\0" in t):
-                odd.append(t)
-                units.append(None)
+            if not t:
+                out.append(b"")
                 continue
-            parts = t.split(" ") if t else []
-            if parts:
-                parts[0] = "\0" + parts[0]
-                if parts[0] == "\0":
-                    del parts[0]
-            units.append(parts)
-        before = len(self.known)
-        self._learn(set().union(*[p for p in units if p]).difference(self.known))
-        get, whole = self.known.__getitem__, iter(self._plain(odd))
-        out = [next(whole) if p is None else b"".join(map(get, p)) for p in units]
-        if len(self.known) > MEMORY:  # what came last is forgotten: frequent units came first
-            for u in list(islice(reversed(self.known), len(self.known) - before)):
-                del self.known[u]
+            first, *parts = t.split(" ")
+            last = b""
+            try:
+                if parts and (not parts[-1] or parts[-1][-1].isspace()) and not (parts[-2] if len(parts) > 1 else first)[-1:].isspace():
+                    last = self.plain(" " + parts.pop())  # blanks that nothing follows
+                out.append((bare[first] if first else b"") + b"".join(map(get, parts)) + last)
+            except BlankBeforeSpace:
+                out.append(self.plain(t))
         return out
 
 
-@lru_cache(1)
-def encoder(path: str, width: str) -> Encoder:
-    """A Python worker's encoder: it remembers units from task to task."""
-    return Encoder(path, width)
-
-
 def scaled(counts: np.ndarray) -> tuple[np.ndarray, int]:
     """Frequencies that add up to a power of two, at least 1 for each id that occurs; and that power."""
     used = int((counts > 0).sum())
@@ -213,7 +206,7 @@ def tokenize(documents: DataFrame, tokenizer: str, end_id: int | None = END_ID)
     end = b"" if end_id is None else np.array([end_id], width).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, shard, before = encoder(tokenizer, width), TaskContext.get().partitionId(), 0
+        own, shard, before = lasting(("tokens", tokenizer, width), lambda: Encoder(tokenizer, width)), TaskContext.get().partitionId(), 0
         for ids, texts in column_lists(batches, "doc_id", "text", rows=500):
             made = [x + end for x in own.encode(texts)]
             n = np.array([len(x) // int(width[2]) for x in made], np.int64)
@@ -222,7 +215,11 @@ def tokenize(documents: DataFrame, tokenizer: str, end_id: int | None = END_ID)
 
     docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     spark = documents.sparkSession
-    ordered = docs.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), F.col("doc_id").asc()).sortWithinPartitions("doc_id", "text")
+    # ranges come from the ids alone; a range partitioner would read all texts to sample them
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bounds = docs.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 100 * n)).first()[0] or []
+    place = F.coalesce(F.aggregate(F.array(*map(F.lit, sorted(set(bounds)))), F.lit(0), lambda s, b: s + (F.col("doc_id") > b).cast("int")), F.lit(0)) if bounds else F.lit(0)
+    ordered = docs.repartitionById(n, place).sortWithinPartitions("doc_id", "text")
     path = shared_path(spark, "token-ids")
     ordered.mapInArrow(run, _TOKENS).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(_TOKENS).parquet(path), width
@@ -232,7 +229,7 @@ def frequencies(tokens: DataFrame, width: str) -> DataFrame:
     """(id, count) over all ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder.cache_clear()
+        forget()
         counts = np.zeros(0, np.int64)
         for b in batches:
             for at in range(0, b.num_rows, 1000):
@@ -267,6 +264,7 @@ def write(documents: DataFrame, path: str, tokenizer: str, end_id: int | None =
     held = spark.sparkContext.broadcast((freq, bits, first))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         freq, bits, first = held.value
         coder = Coder(freq, bits)
         docs: list[tuple] = []
@@ -300,6 +298,7 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
     held = spark.sparkContext.broadcast((freq, max(0, int(freq.sum()).bit_length() - 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         coder = Coder(*held.value)
         names = ("first", "n_tokens", "doc_ids", "lengths", "lanes", "states", "places", "words", "crc32")
         for rows in column_lists(batches, *names, rows=1):
