@@ -69,9 +69,8 @@ def lasting(key: tuple, make: Callable):
 
 def forget() -> None:
     """Frees what the worker kept for other operators; workers serve one after another."""
-    if _lasting:
-        _lasting.clear()
-        give_back()
+    _lasting.clear()
+    give_back()
 
 
 def give_back() -> None:

@@ -27,7 +27,7 @@ from .common import column_lists, forget, lasting, read
 
 SPACE = "▁"
 #: What an unknown character scores less than the least piece; segments that a task remembers.
-PENALTY, MEMORY = 10.0, 200_000
+PENALTY, MEMORY = 10.0, 120_000
 # Kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 

@@ -32,7 +32,7 @@ SAMPLE_TOXIC, SAMPLE_CLEAN = 1500, 2500
 #: A feature marks tokens if it is so many times as common in toxic documents and occurs in so many and such a share of them.
 LEAST_RATIO, LEAST_SUPPORT, SUPPORT_SHARE = 8.0, 4, 0.03
 #: Words of a training sequence, sequences, steps and rate of the fit, weight of its penalty, words that a task remembers.
-CHUNK, MOST_CHUNKS, STEPS, RATE, PENALTY, MEMORY = 48, 5_000, 100, 0.25, 1e-4, 300_000
+CHUNK, MOST_CHUNKS, STEPS, RATE, PENALTY, MEMORY = 48, 5_000, 100, 0.25, 1e-4, 150_000
 THRESHOLD = 0.7
 
 
