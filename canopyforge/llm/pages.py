@@ -1,17 +1,16 @@
 """Main text of web pages: site templates removed by recurring element subtrees, furniture by role, the article kept.
 
-Each page becomes a tree. Every element outside the page's own content is hashed with all below it; Spark counts, for each
-host, the pages that have a subtree, and subtrees on many pages of a host are its template and are deleted from all its
-pages. What menus, headers, footers, side bars, notices, adverts, forms and reader comments are called (tags, roles, class
-and id words) removes those that differ from page to page. Content elements (article, main) are never counted, so
-that a passage many articles share stays in them; without such an element all of body is counted and all that is left is text.
+Each page becomes a tree. Every element of the body that can be a template is hashed with all below it; Spark counts, for each
+host, the pages of different text that have a subtree, and subtrees on some pages of a host are its template and are deleted
+from all its pages, before the content is chosen. What menus, headers, footers, side bars, notices, adverts, forms and reader
+comments are called (tags, roles, class and id words) removes those that differ from page to page. Within content elements (article,
+main) only containers are counted, so that a paragraph many articles share stays; without such an element all that is left is text.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,10 +20,10 @@ from pyspark.sql import functions as F
 
 from .common import column_lists, cut, read
 
-#: A subtree is a template if it is on so many pages of a host and on such a share of them.
-LEAST_PAGES, LEAST_SHARE = 5, 0.1
-#: Most templates (host and subtree) that are broadcast; beyond, pages are joined with their host's by a shuffle.
-MOST_BROADCAST = 500_000
+#: A subtree is a template if it is on so many pages of a host whose texts differ.
+LEAST_PAGES = 5
+#: Most templates (host and subtree), and most of a host, that are broadcast; beyond, pages are joined with those they hold by a shuffle.
+MOST_BROADCAST, MOST_OF_HOST = 500_000, 1_000
 
 # Element names of the HTML standard by how a parser treats them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -36,6 +35,8 @@ BLOCKS = frozenset(
 CLOSES_P = BLOCKS - frozenset("body br caption col colgroup dd dt head html legend li optgroup option summary tbody td tfoot th thead title tr".split())
 #: Elements that can be a template: not those within a line of text.
 COUNTED = BLOCKS - frozenset("body br col colgroup head hr html".split())
+#: Those that can be one within a content element: not what holds a passage of its text.
+CONTAINERS = frozenset("article aside center details dialog dir div dl fieldset footer form header main menu nav ol section select table ul".split())
 #: A start tag ends an open element of these names, unless one of the second group is nearer.
 ENDS = {
     "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu"])),
@@ -163,15 +164,15 @@ def _is_furniture(node: Node, inside: bool) -> bool:
     return bool(named & FURNITURE_WORDS) and not (node.tag == "article" and not named & {"comment", "comments", "reply", "replies"})
 
 
-def _content(root: Node) -> list[Node]:
-    """The page's content elements, outermost ones only, that aren't furniture; empty if it names none."""
+def _content(root: Node, gone: set[int] | frozenset[int] = frozenset()) -> list[Node]:
+    """The page's content elements, outermost ones only, that aren't furniture or gone; empty if it names none."""
     found: dict[str, list[Node]] = {"article": [], "main": [], "named": []}
     todo = [(root, False)]
     while todo:
         node, inside = todo.pop()
         kind = None
         if node is not root:
-            if _is_furniture(node, True):
+            if id(node) in gone or _is_furniture(node, True):
                 continue
             own = _attributes(node.attributes) if node.attributes.strip(" /") else {}
             role = own.get("role", "").lower()
@@ -189,32 +190,25 @@ def _content(root: Node) -> list[Node]:
     return found["article"] or found["main"] or found["named"]
 
 
-def _hashes(root: Node, content: set[int]) -> dict[int, int]:
-    """By id of each element of the body that is outside content and holds none: the hash of its subtree."""
-    out: dict[int, int | None] = {}
+def _hashes(root: Node) -> dict[int, int]:
+    """By id of each element that can be a template: the hash of its subtree, as a signed number."""
+    content = {id(x) for x in _content(root)}
+    out: dict[int, int] = {}
     counted: set[int] = set()
-    todo: list[tuple[Node, bool]] = [(root, False)]
+    todo: list[tuple[Node, bool, bool]] = [(root, False, False)]
     while todo:
-        node, left = todo.pop()
-        if id(node) in content:
-            out[id(node)] = None
-            continue
+        node, inside, left = todo.pop()
         if not left:
-            todo.append((node, True))
-            todo += [(c, False) for c in node.children if isinstance(c, Node)]
+            inside = inside or id(node) in content
+            todo.append((node, inside, True))
+            todo += [(c, inside, False) for c in node.children if isinstance(c, Node)]
             continue
-        parts, whole = [node.tag], True
-        for c in node.children:
-            if isinstance(c, str):
-                parts.append(" ".join(c.split()))
-            else:
-                h = out[id(c)]
-                whole = whole and h is not None
-                parts.append(f"<{h}>")
-        out[id(node)] = xxhash.xxh3_64_intdigest("\x00".join(parts).encode("utf-8", "surrogatepass")) if whole and node.tag not in ("#root", "html", "body") else None
-        if node.tag in COUNTED:
+        parts = [node.tag, *(" ".join(c.split()) if isinstance(c, str) else f"<{out[id(c)]}>" for c in node.children)]
+        h = xxhash.xxh3_64_intdigest("\x00".join(parts).encode("utf-8", "surrogatepass"))
+        out[id(node)] = h - (1 << 64) if h >> 63 else h
+        if node.tag in (CONTAINERS if inside else COUNTED):
             counted.add(id(node))
-    return {k: h for k, h in out.items() if h is not None and k in counted}
+    return {k: out[k] for k in counted}
 
 
 def host_of(url: str | None) -> str:
@@ -225,17 +219,17 @@ def host_of(url: str | None) -> str:
 
 def subtrees(page: str | None) -> set[int]:
     """Hashes of the subtrees that count for the host's template."""
-    root = parse(page or "")
-    return {h - (1 << 64) if h >> 63 else h for h in _hashes(root, {id(x) for x in _content(root)}).values()}
+    return set(_hashes(parse(page or "")).values())
 
 
 def main_text(page: str | None, template: set[int] | frozenset[int] = frozenset()) -> str:
     """The page's main text without the subtrees whose hashes are in template: one line a block."""
     root = parse(page or "")
-    content = _content(root)
-    gone: set[int] = set()
-    if template:
-        gone = {k for k, h in _hashes(root, {id(x) for x in content}).items() if (h - (1 << 64) if h >> 63 else h) in template}
+    return _text(root, {k for k, h in _hashes(root).items() if h in template} if template else set())
+
+
+def _text(root: Node, gone: set[int]) -> str:
+    content = _content(root, gone)
     lines: list[str] = []
     run: list[str] = []
 
@@ -268,54 +262,73 @@ def main_text(page: str | None, template: set[int] | frozenset[int] = frozenset(
     return "\n".join(lines)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, subtree, pages) of a task; subtree null: the host's pages."""
-    counts: Counter = Counter()
-
-    def rows() -> pa.RecordBatch:
-        keys = list(counts)
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([counts[k] for k in keys], pa.int64())], ["host", "subtree", "pages"])
+def _holders(least_pages: int):
+    """(host, subtree, text: a hash of the page's text): of a task, at most least_pages texts of each subtree."""
 
-    for urls, pages in column_lists(batches, "url", "html", rows=500):
-        for u, p in zip(urls, pages, strict=True):
-            host = host_of(u)
-            counts[host, None] += 1
-            for h in subtrees(p):
-                counts[host, h] += 1
-        if len(counts) > 200_000:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[str, int], set[int]] = {}
+
+        def rows() -> pa.RecordBatch:
+            keys = [(*k, t) for k, texts in found.items() for t in texts]
+            return pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int64()))], ["host", "subtree", "text"])
+
+        for urls, pages in column_lists(batches, "url", "html", rows=500):
+            for u, p in zip(urls, pages, strict=True):
+                host, root = host_of(u), parse(p or "")
+                text = xxhash.xxh3_64_intdigest(_text(root, set()).encode("utf-8", "surrogatepass")) >> 1
+                for h in set(_hashes(root).values()):
+                    texts = found.setdefault((host, h), set())
+                    if len(texts) < least_pages:
+                        texts.add(text)
+            if len(found) > 200_000:
+                yield rows()
+                found.clear()
+        if found:
             yield rows()
-            counts.clear()
-    if counts:
-        yield rows()
+
+    return run
+
+
+def templates(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """(host, subtree) of the subtrees that are on least_pages pages of a host whose texts differ. Copies of a page count once, so
+    that they don't make its content a template."""
+    held = pages.select(F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(_holders(least_pages), "host string, subtree long, text long")
+    return held.groupBy("host", "subtree").agg(F.count_distinct("text").alias("pages")).where(F.col("pages") >= least_pages).select("host", "subtree")
 
 
-def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """(host, subtrees: array of hashes) of each host that has a template."""
-    counts = pages.select(F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(_count, "host string, subtree long, pages long")
-    counts = cut(counts.groupBy("host", "subtree").agg(F.sum("pages").alias("pages")).where(F.col("subtree").isNull() | (F.col("pages") >= least_pages)), "subtrees")
-    sizes = counts.where("subtree is null").select("host", F.col("pages").alias("size"))
-    often = counts.where("subtree is not null").join(sizes, "host").where(F.col("pages") >= least_share * F.col("size"))
-    return often.groupBy("host").agg(F.collect_set("subtree").alias("subtrees"))  # at most subtrees of a page / least_share
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, digest, subtree) of pages (host, digest, html)."""
+    for hosts, digests, pages in column_lists(batches, "host", "digest", "html", rows=500):
+        rows = [(h, d, s) for h, d, p in zip(hosts, digests, pages, strict=True) for s in subtrees(p)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int64()))], ["host", "digest", "subtree"])
 
 
-def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
+def extract(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     """(page_id, url, text) of each row of pages (page_id, url, html).
 
     A null or empty html gives an empty text; a null url, or one without a host, belongs to the host named by an empty
     string; a null page_id is kept and repeated rows each get their row. Very long pages are read whole. Other columns are not looked at.
     """
-    known = cut(templates(pages, least_pages, least_share), "templates").withColumnRenamed("host", "of")
-    size = known.agg(F.sum(F.size("subtrees"))).first()[0] or 0
+    known = cut(templates(pages, least_pages), "templates")
+    sizes = known.groupBy("host").count().agg(F.sum("count"), F.max("count")).first()
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#\\]*@)?([^/?#\\:@]*)", 1))
     rows = pages.select("page_id", F.col("url").cast("string"), F.col("html").cast("string"), host.alias("host"))
-    rows = rows.join(F.broadcast(known) if size <= MOST_BROADCAST else known, F.col("host") == F.col("of"), "left")
+    by_host = (sizes[0] or 0) <= MOST_BROADCAST and (sizes[1] or 0) <= MOST_OF_HOST
+    if by_host:
+        of = known.groupBy(F.col("host").alias("of")).agg(F.collect_set("subtree").alias("subtrees"))
+        rows = rows.join(F.broadcast(of), F.col("host") == F.col("of"), "left")
+    else:  # a page gets those of its host's templates that it holds
+        rows = rows.withColumn("digest", F.md5(F.col("html").cast("binary")))
+        held = rows.select("host", "digest", "html").mapInArrow(_held, "host string, digest string, subtree long").distinct()
+        of = held.join(known, ["host", "subtree"]).groupBy("host", "digest").agg(F.collect_set("subtree").alias("subtrees"))
+        rows = rows.join(of, ["host", "digest"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, urls, bodies, hosts, known in column_lists(batches, "page_id", "url", "html", "host", "subtrees", rows=500):
             sets: dict[str, frozenset] = {}
             texts = []
             for p, h, k in zip(bodies, hosts, known, strict=True):
-                if h not in sets:
+                if h not in sets or not by_host:
                     sets[h] = frozenset(k or ())
                 texts.append(main_text(p, sets[h]))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string())], ["page_id", "url", "text"])

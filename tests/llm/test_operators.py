@@ -256,6 +256,27 @@ def test_templates_are_deleted_and_repeated_passages_stay(spark):
     assert pages.extract(df.limit(0)).count() == 0
 
 
+def _host_page(i, host="inner"):
+    return (i, f"http://{host}/{i}", f"<html><body><article><h1>Title {i}</h1><p>Own {i}</p><div class=\"x1\"><p>Read our</p><ul><li>Guide</ul></div></article></body></html>")
+
+
+def test_templates_within_articles_and_of_large_hosts_are_deleted(spark, monkeypatch):
+    rare = lambda i: (200 + i, f"http://large/{i}", f"<html><body><section><p>Text {i}</p></section>{'<div>Season greetings</div>' if i < 6 else ''}</body></html>")
+    copy = lambda i: (400 + i, f"http://copies/{i}", "<html><body><article><div><p>Whole text</p></div></article></body></html>")
+    teaser = lambda i: (500 + i, f"http://teaser/{i}", f"<html><body><article><p>Teaser</p></article><article><p>Piece {i}</p></article></body></html>")
+    rows = [_host_page(i) for i in range(8)] + [rare(i) for i in range(80)] + [copy(i) for i in range(9)] + [teaser(i) for i in range(7)] + [_host_page(600 + i, "small") for i in range(4)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for most in (pages.MOST_OF_HOST, 0):  # by broadcast, by shuffle
+        monkeypatch.setattr(pages, "MOST_OF_HOST", most)
+        got = {r.page_id: r.text for r in pages.extract(df).collect()}
+        assert len(got) == len(rows)
+        assert got[3] == "Title 3\nOwn 3"
+        assert got[601] == "Title 601\nOwn 601\nRead our\nGuide"
+        assert got[203] == "Text 3" and got[250] == "Text 50"
+        assert got[404] == "Whole text"
+        assert got[502] == "Piece 2"
+
+
 # --- op 7 -----------------------------------------------------------------------------------------------------------
 
 
