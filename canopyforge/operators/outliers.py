@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from canopyforge.functions.points import finite
+from canopyforge.functions.storage import written
+
 
 def isolated(points: DataFrame, radius: float, least: int = 2, key: str = "point_id") -> DataFrame:
     """points with fewer than `least` others within radius (in space). Each looks at the 27 cells of that size around it."""
@@ -18,22 +21,47 @@ def isolated(points: DataFrame, radius: float, least: int = 2, key: str = "point
 
 
 def neighbour_distance(points: DataFrame, k: int, reach: float, key: str = "point_id") -> DataFrame:
-    """(key, n, mean_d): the mean distance to the k nearest points within reach, and how many there were."""
-    cell = [F.floor(F.col(c) / reach).cast("long").alias(f"g{c}") for c in "xyz"]
-    p = points.select(key, "x", "y", "z", *cell)
+    """(key, n, mean_d): the mean distance to the k nearest points, whatever their distance, and how many there were: k, or all others
+    of a smaller cloud. Points without finite coordinates take no part.
+
+    Each looks at the 27 cells around it; the first size is `reach`, or less where its cells are full. That finds the k nearest only
+    where they are within a cell's size; other points look again with twice the size, until none is left or it covers all.
+    """
+    p = written(finite(points.select(key, *(F.col(c).cast("double").alias(c) for c in "xyz")), *"xyz").dropna(subset=list("xyz")), "neighbour-points")
+    ends = p.agg(F.count("*").alias("n"), F.sqrt(sum((F.max(c) - F.min(c)) ** 2 for c in "xyz")).alias("whole")).first()
+
+    def cell(size: float) -> list[Column]:
+        return [F.floor(F.col(c) / size).cast("long").alias(f"g{c}") for c in "xyz"]
+
+    held = p.select(*cell(reach)).distinct().count()
+    reach = reach * min(1.0, (k * held / max(1, ends.n)) ** 0.5)
     moves = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(m).alias("k")) for i in (-1, 0, 1) for j in (-1, 0, 1) for m in (-1, 0, 1)])
-    wide = p.withColumn("m", F.explode(moves)).select(F.col(key).alias("of"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("z").alias("z2"), (F.col("gx") + F.col("m.i")).alias("gx"), (F.col("gy") + F.col("m.j")).alias("gy"), (F.col("gz") + F.col("m.k")).alias("gz"))
-    d = F.sqrt((F.col("x") - F.col("x2")) ** 2 + (F.col("y") - F.col("y2")) ** 2 + (F.col("z") - F.col("z2")) ** 2)
-    near = p.join(wide, ["gx", "gy", "gz"]).where(F.col(key) != F.col("of")).select(F.col("of").alias(key), d.alias("d")).where(F.col("d") <= reach)
-    ranked = near.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy("d"))).where(F.col("r") <= k)
-    return ranked.groupBy(key).agg(F.count("*").alias("n"), F.avg("d").alias("mean_d"))
+    left, found = p, None
+    while True:
+        wide = left.select("*", *cell(reach)).withColumn("m", F.explode(moves)).select(F.col(key).alias("of"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("z").alias("z2"), (F.col("gx") + F.col("m.i")).alias("gx"), (F.col("gy") + F.col("m.j")).alias("gy"), (F.col("gz") + F.col("m.k")).alias("gz"))
+        d = F.sqrt((F.col("x") - F.col("x2")) ** 2 + (F.col("y") - F.col("y2")) ** 2 + (F.col("z") - F.col("z2")) ** 2)
+        near = p.select("*", *cell(reach)).join(wide, ["gx", "gy", "gz"]).where(F.col(key) != F.col("of")).select(F.col("of").alias(key), d.alias("d")).where(F.col("d") <= reach)
+        ranked = near.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy("d"))).where(F.col("r") <= k)
+        last = reach > (ends.whole or 0.0)
+        done = ranked.groupBy(key).agg(F.count("*").alias("n"), F.avg("d").alias("mean_d")).where((F.col("n") >= k) | F.lit(last))
+        done = written(done, "neighbour-distances")
+        found = done if found is None else found.unionByName(done)
+        if last:
+            return found
+        left = written(left.join(done, key, "left_anti"), "neighbours-open")
+        if left.isEmpty():
+            return found
+        reach = 2 * reach
 
 
 def statistical_outliers(points: DataFrame, k: int = 20, most: float = 3.0, reach: float = 5.0, key: str = "point_id") -> DataFrame:
-    """points whose mean neighbour distance is more than `most` standard deviations above the mean of all, or that have none within reach."""
+    """points whose mean distance to the k nearest is more than `most` standard deviations (of a sample) above the mean of all, and those
+    without finite coordinates; none of clouds of up to k + 1 points. reach: where the search starts."""
     d = neighbour_distance(points, k, reach, key)
-    mean, sd = d.agg(F.avg("mean_d")).scalar(), d.agg(F.stddev_pop("mean_d")).scalar()
-    fine = d.where((F.col("mean_d") - mean) <= most * sd).select(key)
+    n, mean, sd = d.agg(F.count("*"), F.avg("mean_d"), F.stddev_samp("mean_d")).first()
+    if n <= k + 1:
+        return points.limit(0)
+    fine = d.where((F.col("mean_d") - mean <= most * sd) | F.lit(sd == 0)).select(key)
     return points.join(fine, key, "left_anti")
 
 

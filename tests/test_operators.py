@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from canopyforge.functions import sensors
 from canopyforge.functions.points import Grid, finite
-from canopyforge.operators import cells, change, crowns, focal, ground, lookup, regions, surface, terrain, tiles, trees
+from canopyforge.operators import cells, change, crowns, focal, ground, lookup, outliers, regions, surface, terrain, tiles, trees
 from canopyforge.plans import cli, workflow
 from canopyforge.sources import gtiff, las, vectors
 from canopyforge.streaming import ingest
@@ -228,3 +228,19 @@ def test_whole_run(spark):
     assert any(abs(c - 6) <= 1 and abs(r - 14) <= 1 for c, r in top) and any(abs(c - 15) <= 1 and abs(r - 6) <= 1 for c, r in top)
     assert out["TREECLOUDS"].where("tree is null").count() == 0
     assert set(out["TERRAIN"].columns) == {"col", "row", *workflow.TERRAIN}
+
+
+def test_outliers_equal_brute_force_whatever_the_distance(spark):
+    rng = np.random.default_rng(9)
+    clump = np.array([500.0, 500.0, 90.0]) + rng.random((3, 3)) * 0.1
+    xyz = np.concatenate([rng.random((400, 3)) * 10, rng.random((30, 3)) * 60, clump, [[-900.0, 0.0, 0.0]]])
+    pts = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(xyz)], "point_id long, x double, y double, z double")
+    d = np.sort(np.linalg.norm(xyz[:, None] - xyz[None], axis=2), 1)[:, 1:]
+    for k, reach in ((8, 4.0), (20, 5.0)):
+        mean = d[:, :k].mean(1)
+        got = {r.point_id: (r.n, r.mean_d) for r in outliers.neighbour_distance(pts, k, reach).collect()}
+        assert len(got) == len(xyz) and all(got[i][0] == k and math.isclose(got[i][1], mean[i]) for i in got)
+        want = set(np.nonzero(mean - mean.mean() > 2 * mean.std(ddof=1))[0].tolist())
+        assert {r.point_id for r in outliers.statistical_outliers(pts, k, 2.0, reach).collect()} == want
+        assert {430, 431, 432, 433} <= want
+    assert outliers.statistical_outliers(pts.limit(9), 8).count() == 0
