@@ -11,7 +11,8 @@ import numpy as np
 
 def delaunay(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Triangles (m, 3) of distinct points, by insertion. Cocircular points, as in grids, are told apart by a shift of 1e-9 of the
-    extent that follows from their order, so that equal inputs give equal triangles."""
+    extent that follows from their order, so that equal inputs give equal triangles. Points come in strips from the left; triangles
+    whose circle lies left of the strip are final and no longer looked at."""
     n = len(x)
     if n < 3:
         return np.zeros((0, 3), np.int64)
@@ -31,8 +32,14 @@ def delaunay(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         ox, oy = (cy * b2 - by * c2) / d, (bx * c2 - cx * b2) / d
         return np.stack([ax + ox, ay + oy, ox * ox + oy * oy], 1)
 
-    circle = circles(tri)
-    for i in np.lexsort((v[:n], np.round(u[:n] * sqrt(n)))):
+    circle, final, strip = circles(tri), [], -1.0
+    strips = np.round(u[:n] * sqrt(n))
+    for i in np.lexsort((v[:n], strips)):
+        if strips[i] > strip:
+            strip = strips[i]
+            over = circle[:, 0] + np.sqrt(circle[:, 2]) < (strip - 0.5) / sqrt(n) - 1e-7
+            final.append(tri[over])
+            tri, circle = tri[~over], circle[~over]
         bad = (u[i] - circle[:, 0]) ** 2 + (v[i] - circle[:, 1]) ** 2 < circle[:, 2]
         gone = tri[bad]
         edges = np.concatenate([gone[:, [0, 1]], gone[:, [1, 2]], gone[:, [2, 0]]])
@@ -41,6 +48,7 @@ def delaunay(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         rim = edges[at[count == 1]]
         new = np.concatenate([rim, np.full((len(rim), 1), i)], 1)
         tri, circle = np.concatenate([tri[~bad], new]), np.concatenate([circle[~bad], circles(new)])
+    tri = np.concatenate([*final, tri])
     return tri[(tri < n).all(1)]
 
 

@@ -478,7 +478,7 @@ def _(spark, sf):
 
 @_add("elevation_tin")
 def _(spark, sf):
-    return surface.elevation_model(points(spark, sf).where("classification = 2 and point_id % 4 = 0"), 1.0, 48.0, method="tin")
+    return surface.elevation_model(points(spark, sf).where("classification = 2"), 1.0, 48.0, method="tin")
 
 
 @_add("surface_spikefree")
@@ -602,7 +602,7 @@ def _(spark, sf):
 
 @_add("statistical_outliers")
 def _(spark, sf):
-    p = points(spark, sf).where("point_id % 8 = 1").select("x", "y", "z").distinct().withColumn("key", F.struct("x", "y", "z"))
+    p = points(spark, sf).select("x", "y", "z").distinct().withColumn("key", F.struct("x", "y", "z"))
     return outliers.statistical_outliers(p, 8, 2.0, 4.0, "key").select("x", "y", "z")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from canopyforge.functions import sensors
 from canopyforge.functions.points import Grid, finite
 from canopyforge.operators import cells, change, crowns, focal, ground, lookup, outliers, regions, surface, terrain, tiles, trees
-from canopyforge.plans import cli, workflow
+from canopyforge.plans import catalogue, cli, workflow
 from canopyforge.sources import gtiff, las, vectors
 from canopyforge.streaming import ingest
 
@@ -244,3 +244,44 @@ def test_outliers_equal_brute_force_whatever_the_distance(spark):
         assert {r.point_id for r in outliers.statistical_outliers(pts, k, 2.0, reach).collect()} == want
         assert {430, 431, 432, 433} <= want
     assert outliers.statistical_outliers(pts.limit(9), 8).count() == 0
+
+
+def _small_cloud(spark, path, n=44):
+    lines = [(1 + i, 1 + i % 7, 1 + i * 53 % 199, 1 + i % 11, 1 + i * 7 % 15, "1995-01-01") for i in range(n)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity int, l_shipdate string").selectExpr("* except (l_shipdate)", "cast(l_shipdate as date) l_shipdate").write.parquet(f"{path}/lineitem.parquet")
+    return catalogue.points(spark, str(path)).select("x", "y", "z", "classification").toPandas()
+
+
+def test_outlier_query_judges_all_points(spark, tmp_path):
+    cloud = np.unique(_small_cloud(spark, tmp_path)[["x", "y", "z"]].to_numpy(), axis=0)
+    mean = np.sort(np.linalg.norm(cloud[:, None] - cloud[None], axis=2), 1)[:, 1:9].mean(1)
+    want = cloud[mean - mean.mean() > 2 * mean.std(ddof=1)]
+    got = catalogue.queries()["statistical_outliers"](spark, str(tmp_path)).collect()
+    assert len(want) and sorted(map(tuple, got)) == sorted(map(tuple, want.tolist()))
+
+
+def test_tin_query_has_the_triangles_of_all_ground_points(spark, tmp_path):
+    p = _small_cloud(spark, tmp_path)
+    assert (p.classification == 2).all()
+    x, y, z = p.groupby(["x", "y"], as_index=False).z.max().to_numpy().T
+    i, j, k = np.array([(a, b, c) for a in range(len(x)) for b in range(a) for c in range(b)]).T
+    det = (y[j] - y[k]) * (x[i] - x[k]) + (x[k] - x[j]) * (y[i] - y[k])
+    i, j, k, det = (v[np.abs(det) > 1e-9] for v in (i, j, k, det))
+    sq = x * x + y * y
+    cx = (sq[i] * (y[j] - y[k]) + sq[j] * (y[k] - y[i]) + sq[k] * (y[i] - y[j])) / (2 * det)
+    cy = (sq[i] * (x[k] - x[j]) + sq[j] * (x[i] - x[k]) + sq[k] * (x[j] - x[i])) / (2 * det)
+    r = np.hypot(x[i] - cx, y[i] - cy)
+    empty = (np.hypot(x[None] - cx[:, None], y[None] - cy[:, None]) >= r[:, None] - 1e-9).all(1)
+    i, j, k, det = (v[empty] for v in (i, j, k, det))
+    got = catalogue.queries()["elevation_tin"](spark, str(tmp_path)).collect()
+    within = 0
+    for g in got:
+        px, py = g.col + 0.5, 48 - (g.row + 0.5)
+        a = ((y[j] - y[k]) * (px - x[k]) + (x[k] - x[j]) * (py - y[k])) / det
+        b = ((y[k] - y[i]) * (px - x[k]) + (x[i] - x[k]) * (py - y[k])) / det
+        holds = (a >= -1e-8) & (b >= -1e-8) & (a + b <= 1 + 1e-8)
+        near = np.hypot(x - px, y - py)
+        want = (a * z[i] + b * z[j] + (1 - a - b) * z[k])[holds] if holds.any() else z[near <= near.min() + 1e-9]
+        within += holds.any()
+        assert np.abs(want - g.value).min() < 1e-6
+    assert within > 400
