@@ -40,8 +40,7 @@ def _filled(surface: DataFrame, rounds: int) -> DataFrame:
     """Cells that the vote left empty, from the medians of their neighbours; a round fills a ring, and a tile's halo is as wide."""
     cells = surface.select(F.col("ix").alias("col"), F.col("iy").alias("row"), "value")
     holes = surface.select(F.col("ix").alias("col"), F.col("iy").alias("row"))
-    halo = min(rounds, 32)
-    made = per_tile(cells.where("value is not null"), lambda a, c, r: {"value": kernels.fill_holes_by_median(a, halo)}, "value double", 256, halo)
+    made = per_tile(cells.where("value is not null"), lambda a, c, r: {"value": kernels.fill_holes_by_median(a, rounds)}, "value double", 256, rounds)
     return made.join(holes, ["col", "row"], "left_semi").select(F.col("col").alias("ix"), F.col("row").alias("iy"), "value")
 
 

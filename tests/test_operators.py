@@ -285,3 +285,10 @@ def test_tin_query_has_the_triangles_of_all_ground_points(spark, tmp_path):
         within += holds.any()
         assert np.abs(want - g.value).min() < 1e-6
     assert within > 400
+
+
+def test_holes_are_filled_for_all_rounds(spark):
+    rows = [(i, j, 5.0 if i < 2 or i > 250 else None) for i in range(320) for j in range(3)]
+    got = ground._filled(spark.createDataFrame(rows, "ix int, iy int, value double"), 80).collect()
+    filled = {r.ix for r in got}
+    assert {81, 171} <= filled and not {82, 170} & filled and all(r.value == 5.0 for r in got)
