@@ -52,13 +52,15 @@ def delaunay(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return tri[(tri < n).all(1)]
 
 
-def tin_raster(x: np.ndarray, y: np.ndarray, z: np.ndarray, gx: np.ndarray, gy: np.ndarray, longest: float | None = None) -> np.ndarray:
+def tin_raster(x: np.ndarray, y: np.ndarray, z: np.ndarray, gx: np.ndarray, gy: np.ndarray, longest: float | None = None, proven: np.ndarray | None = None, seen: tuple[float, ...] = (), bounds: tuple[float, ...] = ()) -> np.ndarray:
     """z at the crossings of columns gx (ascending) and rows gy (descending), linear in triangles without edges over longest; where
-    triangles overlap the greatest; NaN outside."""
+    triangles overlap the greatest; NaN outside. proven is set where a triangle lies whose circle no point of bounds (xmin, ymin, xmax, ymax)
+    outside seen can be in."""
     out = np.full((len(gy), len(gx)), np.nan)
     for a, b, c in delaunay(x, y).tolist():
         xs, ys = x[[a, b, c]], y[[a, b, c]]
-        if longest is not None and max(hypot(xs[i] - xs[j], ys[i] - ys[j]) for i, j in ((0, 1), (1, 2), (2, 0))) > longest:
+        short = longest is None or max(hypot(xs[i] - xs[j], ys[i] - ys[j]) for i, j in ((0, 1), (1, 2), (2, 0))) <= longest
+        if not short and proven is None:
             continue
         det = (ys[1] - ys[2]) * (xs[0] - xs[2]) + (xs[2] - xs[1]) * (ys[0] - ys[2])
         if abs(det) < 1e-12:
@@ -72,12 +74,54 @@ def tin_raster(x: np.ndarray, y: np.ndarray, z: np.ndarray, gx: np.ndarray, gy:
         w1 = ((ys[2] - ys[0]) * (px - xs[2]) + (xs[0] - xs[2]) * (py - ys[2])) / det
         w2 = 1 - w0 - w1
         inside = (w0 >= -1e-8) & (w1 >= -1e-8) & (w2 >= -1e-8)
+        if proven is not None and circle_within(xs, ys, seen, bounds):
+            proven[r0:r1, c0:c1] |= inside
+        if not short:
+            continue
         value = w0 * z[a] + w1 * z[b] + w2 * z[c]
         part = out[r0:r1, c0:c1]
         part[inside] = np.fmax(part[inside], value[inside])
     return out
 
 
+def circle_within(xs: np.ndarray, ys: np.ndarray, seen: tuple[float, ...], bounds: tuple[float, ...]) -> bool:
+    """Is the part within bounds of the circle through three points also within seen?"""
+    bx, by, cx, cy = xs[1] - xs[0], ys[1] - ys[0], xs[2] - xs[0], ys[2] - ys[0]
+    d = 2 * (bx * cy - by * cx)
+    b2, c2 = bx * bx + by * by, cx * cx + cy * cy
+    ox, oy = (cy * b2 - by * c2) / d, (bx * c2 - cx * b2) / d
+    r, ox, oy = hypot(ox, oy) * (1 + 1e-9), xs[0] + ox, ys[0] + oy
+    away_x, away_y = max(bounds[0] - ox, ox - bounds[2], 0.0), max(bounds[1] - oy, oy - bounds[3], 0.0)
+    if max(away_x, away_y) >= r:
+        return True
+    wide, high = sqrt(r * r - away_y * away_y), sqrt(r * r - away_x * away_x)
+    part = (max(bounds[0], ox - wide), max(bounds[1], oy - high), min(bounds[2], ox + wide), min(bounds[3], oy + high))
+    return part[0] >= seen[0] and part[1] >= seen[1] and part[2] <= seen[2] and part[3] <= seen[3]
+
+
+def hull(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Indices of the corners of the points' convex hull, counter-clockwise."""
+    order = np.lexsort((y, x)).tolist()
+    ends = []
+    for way in (order, order[::-1]):
+        side: list[int] = []
+        for i in way:
+            while len(side) > 1 and (x[side[-1]] - x[side[-2]]) * (y[i] - y[side[-2]]) - (y[side[-1]] - y[side[-2]]) * (x[i] - x[side[-2]]) <= 0:
+                side.pop()
+            side.append(i)
+        ends += side[:-1]
+    return np.array(ends or order[:1], np.int64)
+
+
+def outside_hull(hx: np.ndarray, hy: np.ndarray, gx: np.ndarray, gy: np.ndarray) -> np.ndarray:
+    """Which crossings of columns gx and rows gy lie outside the hull with corners (hx, hy), by more than a rounding error."""
+    out = np.full((len(gy), len(gx)), len(hx) < 3)
+    for i in range(len(hx) if len(hx) > 2 else 0):
+        ax, ay, bx, by = hx[i - 1], hy[i - 1], hx[i], hy[i]
+        out |= ((bx - ax) * (gy[:, None] - ay) - (by - ay) * (gx[None, :] - ax)) < -1e-6 * hypot(bx - ax, by - ay)
+    return out
+
+
 def nearest_index(valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row and column of the nearest True cell of every cell (Euclidean, exact); ties to the lesser column, then row."""
     h, w = valid.shape

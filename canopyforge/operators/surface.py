@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from canopyforge.functions.storage import written
+
 from . import kernels
 
 KEY = ["col", "row"]
@@ -61,32 +63,78 @@ def filtered(cells: DataFrame, how: str, size: int = 3, sigma: float = 1.0, tile
 
 def tin(points: DataFrame, res: float, ymax: float, xmin: float = 0.0, longest: float | None = None, nearest_outside: bool = True, tile: int = 64, halo: int = 8) -> DataFrame:
     """(col, row, value): z linear in the triangles of the points (x, y, z) at cell centres; outside them the nearest point's, or
-    nothing. Points at one place count as the highest. Tiles see points within halo cells, which must exceed the longest edge that matters."""
-    p = points.select(F.floor((F.col("x") - xmin) / res).cast("int").alias("col"), F.floor((F.lit(ymax) - F.col("y")) / res).cast("int").alias("row"), "x", "y", "z")
-    ends = p.agg(F.min("col").alias("c0"), F.max("col").alias("c1"), F.min("row").alias("r0"), F.max("row").alias("r1")).first()
-    if ends.c0 is None:
+    nothing. Points at one place count as the highest.
+
+    Tiles see points within halo cells. A tile is done where the circles of the triangles on its cells, and the nearest points of cells
+    outside the cloud's hull, lie within what it sees; others look again with twice the halo, until none is left or they see all points.
+    """
+    p = points.select(F.floor((F.col("x") - xmin) / res).cast("int").alias("col"), F.floor((F.lit(ymax) - F.col("y")) / res).cast("int").alias("row"), *(F.col(c).cast("double").alias(c) for c in "xyz"))
+    p = written(p, "tin-points")
+    ends = p.agg(*(f(c).alias(f"{c}{i}") for c in ("col", "row", "x", "y") for i, f in enumerate((F.min, F.max)))).first()
+    if ends.col0 is None:
         return p.select("col", "row", F.col("z").alias("value")).limit(0)
-    rows = p.withColumn("tx", _halo("col", tile, halo)).withColumn("ty", _halo("row", tile, halo))
-    c_min, c_max, r_min, r_max = ends
-
-    def run(key, t):
-        tx, ty = (k.as_py() for k in key)
-        cols = np.arange(max(tx * tile, c_min), min((tx + 1) * tile, c_max + 1))
-        rws = np.arange(max(ty * tile, r_min), min((ty + 1) * tile, r_max + 1))
-        x, y, z = (t.column(n).to_numpy() for n in ("x", "y", "z"))
-        order = np.lexsort((-z, y, x))
-        x, y, z = x[order], y[order], z[order]
-        first = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]) if len(x) else np.zeros(0, bool)
-        x, y, z = x[first], y[first], z[first]
-        gx, gy = xmin + (cols + 0.5) * res, ymax - (rws + 0.5) * res
-        a = kernels.tin_raster(x, y, z, gx, gy, longest) if len(cols) and len(rws) else np.zeros((len(rws), len(cols)))
-        if nearest_outside and len(x):
-            for r, c in np.argwhere(~np.isfinite(a)).tolist():
-                a[r, c] = z[np.argmin((x - gx[c]) ** 2 + (y - gy[r]) ** 2)]
-        r, c = np.nonzero(np.isfinite(a))
-        return pa.table({"col": cols[c].astype(np.int32), "row": rws[r].astype(np.int32), "value": a[r, c]})
-
-    return rows.groupBy("tx", "ty").applyInArrow(run, "col int, row int, value double")
+    c_min, c_max, r_min, r_max = ends.col0, ends.col1, ends.row0, ends.row1
+    bounds = (ends.x0, ends.y0, ends.x1, ends.y1)
+    across, down = (c_min // tile, c_max // tile), (r_min // tile, r_max // tile)
+
+    def corners(key, t):
+        at = kernels.hull(t.column("x").to_numpy(), t.column("y").to_numpy())
+        return pa.table({"x": t.column("x").take(pa.array(at)), "y": t.column("y").take(pa.array(at))})
+
+    rim = p.groupBy(F.floor(F.col("col") / tile).alias("tx"), F.floor(F.col("row") / tile).alias("ty")).applyInArrow(corners, "x double, y double").toPandas().to_numpy()
+    rim = rim[kernels.hull(rim[:, 0], rim[:, 1])]
+
+    def to_tiles(v: str, first: int, last: int, halo: int) -> Column:
+        lo, hi = F.floor((F.col(v) - halo) / tile).cast("int"), F.floor((F.col(v) + halo) / tile).cast("int")
+        return F.explode(F.sequence(F.greatest(lo, F.lit(first)), F.least(hi, F.lit(last))))
+
+    def made(halo: int):
+        def run(key, t):
+            tx, ty = (k.as_py() for k in key)
+            cols = np.arange(max(tx * tile, c_min), min((tx + 1) * tile, c_max + 1))
+            rws = np.arange(max(ty * tile, r_min), min((ty + 1) * tile, r_max + 1))
+            x, y, z = (t.column(n).to_numpy() for n in ("x", "y", "z"))
+            order = np.lexsort((-z, y, x))
+            x, y, z = x[order], y[order], z[order]
+            first = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+            x, y, z = x[first], y[first], z[first]
+            gx, gy = xmin + (cols + 0.5) * res, ymax - (rws + 0.5) * res
+            c0, c1, r0, r1 = tx * tile - halo, (tx + 1) * tile + halo, ty * tile - halo, (ty + 1) * tile + halo
+            whole = c0 <= c_min and c1 > c_max and r0 <= r_min and r1 > r_max
+            e = 1e-9 * (1 + max(map(abs, bounds)))
+            seen = (-np.inf if c0 <= c_min else xmin + c0 * res + e, -np.inf if r1 > r_max else ymax - r1 * res + e, np.inf if c1 > c_max else xmin + c1 * res - e, np.inf if r0 <= r_min else ymax - r0 * res - e)
+            done = np.zeros((len(rws), len(cols)), bool)
+            a = kernels.tin_raster(x, y, z, gx, gy, longest, None if whole else done, seen, bounds)
+            beyond = kernels.outside_hull(rim[:, 0], rim[:, 1], gx, gy)
+            if not nearest_outside:
+                done |= beyond
+            else:
+                for r, c in np.argwhere(~np.isfinite(a)).tolist():
+                    d2 = (x - gx[c]) ** 2 + (y - gy[r]) ** 2
+                    i, far = np.argmin(d2), np.sqrt(d2.min())
+                    a[r, c] = z[i]
+                    sure = gx[c] - far >= seen[0] and gy[r] - far >= seen[1] and gx[c] + far <= seen[2] and gy[r] + far <= seen[3]
+                    done[r, c] = (done[r, c] or beyond[r, c]) and sure
+            if not whole and not done.all():
+                return pa.table({"tx": pa.array([], pa.int32()), "ty": pa.array([], pa.int32()), "col": pa.array([], pa.int32()), "row": pa.array([], pa.int32()), "value": pa.array([], pa.float64())})
+            r, c = np.nonzero(np.isfinite(a))
+            n = len(r) + 1  # the row without a cell says that the tile is done
+            return pa.table({"tx": np.full(n, tx, np.int32), "ty": np.full(n, ty, np.int32), "col": pa.array([*cols[c].tolist(), None], pa.int32()), "row": pa.array([*rws[r].tolist(), None], pa.int32()), "value": pa.array([*a[r, c].tolist(), None], pa.float64())})
+
+        return run
+
+    spark = points.sparkSession
+    left = spark.range(across[0], across[1] + 1).select(F.col("id").cast("int").alias("tx")).crossJoin(spark.range(down[0], down[1] + 1).select(F.col("id").cast("int").alias("ty")))
+    found = None
+    while True:
+        rows = p.withColumn("tx", to_tiles("col", *across, halo)).withColumn("ty", to_tiles("row", *down, halo))
+        rows = rows if found is None else rows.join(left, ["tx", "ty"], "left_semi")
+        got = written(rows.groupBy("tx", "ty").applyInArrow(made(halo), "tx int, ty int, col int, row int, value double"), "tin-tiles")
+        found = got if found is None else found.unionByName(got)
+        left = written(left.join(got.where("col is null"), ["tx", "ty"], "left_anti"), "tin-open")
+        if left.isEmpty():
+            return found.where("col is not null").select("col", "row", "value")
+        halo = 2 * max(1, halo)
 
 
 def _centres(cells: DataFrame, res: float, ymax: float, xmin: float) -> DataFrame:

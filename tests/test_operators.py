@@ -292,3 +292,16 @@ def test_holes_are_filled_for_all_rounds(spark):
     got = ground._filled(spark.createDataFrame(rows, "ix int, iy int, value double"), 80).collect()
     filled = {r.ix for r in got}
     assert {81, 171} <= filled and not {82, 170} & filled and all(r.value == 5.0 for r in got)
+
+
+def test_tin_over_tiles_and_gaps_equals_one_tile(spark):
+    rng = np.random.default_rng(11)
+    x, y = rng.random(500) * 60, rng.random(500) * 40
+    keep = ~((x > 14) & (x < 46) & (y > 3)) & ~((x > 40) & (y > 25) & (y < 34))
+    x, y = x[keep], y[keep]
+    z = np.sin(x / 5) * 3 + y / 4 + rng.random(len(x))
+    pts = spark.createDataFrame([tuple(map(float, p)) for p in zip(x, y, z)], "x double, y double, z double")
+    for options in ({}, {"longest": 6.0, "nearest_outside": False}):
+        many, one = ({(r.col, r.row): r.value for r in surface.tin(pts, 1.0, 40.0, tile=t, halo=2, **options).collect()} for t in (8, 64))
+        assert many.keys() == one.keys() and all(math.isclose(many[p], one[p], abs_tol=1e-6) for p in one)
+        assert options or len(one) == 2400
