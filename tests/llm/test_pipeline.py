@@ -7,7 +7,7 @@ from canopyforge.llm import decontaminate, linededup, pieces, simhash, toxicity
 import importlib.util
 import os
 
-_spec = importlib.util.spec_from_file_location("llm_brute_force", os.path.join(os.path.dirname(__file__), "test_operators.py"))
+_spec = importlib.util.spec_from_file_location("llm_brute_force", os.path.join(os.path.dirname(__file__), "test_corpus_operators.py"))
 _other = importlib.util.module_from_spec(_spec)
 _spec.loader.exec_module(_other)
 contamination, groups, kept_lines = _other.contamination, _other.groups, _other.kept_lines
