@@ -12,6 +12,8 @@ and a lost task leaves no part of one behind.
 
 from __future__ import annotations
 
+import gc
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -19,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import column_lists, forget, lasting, read, shared_path
@@ -32,6 +34,7 @@ END_ID = 2
 MEMORY = 1_200_000
 
 #: Latin letters and then punctuation, which the vocabulary's rule splits just there. No apostrophes: they bind letters.
+_RUNS = re.compile(r"([\n\r\t]+)")
 _LETTERS_THEN_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?|%$#&*()]*)")
 
 
@@ -49,20 +52,25 @@ class Units(dict):
 
     def __init__(self, owner: Encoder, space: str) -> None:
         self.owner, self.space = owner, space
+        self.shown_space = _SHOWN[32] if space else ""
 
     def __missing__(self, unit: str) -> bytes:
         own = self.owner
-        # a space and letters are one word of the vocabulary's rule, which the model alone codes
-        if self.space and unit.isascii() and unit.isalpha():
-            ids = b"".join([own.raw[t.id] for t in own.tokenize(_SHOWN[32] + unit)])
-        elif self.space and (m := _LETTERS_THEN_MARKS.fullmatch(unit)):
+        # letters, with the space before them, are one word of the vocabulary's rule, which the model alone codes
+        if unit.isascii() and unit.isalpha():
+            ids = b"".join([own.raw[t.id] for t in own.tokenize(self.shown_space + unit)])
+        elif m := _LETTERS_THEN_MARKS.fullmatch(unit):
             if m[2]:
                 ids = self[m[1]] + own.bare[m[2]]
             else:
-                ids = b"".join([own.raw[t.id] for t in own.tokenize(_SHOWN[32] + unit.encode().decode("latin-1").translate(_SHOWN))])
+                ids = b"".join([own.raw[t.id] for t in own.tokenize(self.shown_space + unit.encode().decode("latin-1").translate(_SHOWN))])
         elif not unit or unit[-1].isspace():
             raise BlankBeforeSpace
         else:
+            parts = _RUNS.split(unit)
+            if len(parts) > 1 and not any(not p or p[0].isspace() or p[-1].isspace() for p in parts[::2]):
+                # the rule parts a run of blanks from what stands round it; units joined by one seldom recur
+                return self[parts[0]] + b"".join([own.run(r) + own.bare[p] for r, p in zip(parts[1::2], parts[2::2], strict=True)])
             ids = own.plain(self.space + unit)
         if len(self) < MEMORY:
             self[unit] = ids
@@ -78,23 +86,39 @@ class Encoder:
 
     Such a vocabulary's rule never joins a space to the character before it. So a text falls into units at each space that
     follows a non-blank, the units' ids are the text's, and frequent units are coded once. Texts with a blank before a space are
-    coded whole.
+    coded whole, and so are all where the file states another rule than the byte-level one.
     """
 
     def __init__(self, path: str, width: str) -> None:
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            stated = json.load(f)
+        rule = stated.get("pre_tokenizer") or {}
+        self.by_units = stated.get("normalizer") is None and stated["model"]["type"] == "BPE" and rule.get("type") == "ByteLevel" and rule.get("use_regex", True) and not rule.get("add_prefix_space")
+
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
         self.tokenize = self.tokenizer.model.tokenize
         self.raw = [i.to_bytes(int(width[2]), "little") for i in range(self.tokenizer.get_vocab_size())]
         self.known, self.bare = Units(self, " "), Units(self, "")
+        self.runs: dict[str, bytes] = {}
 
     def plain(self, text: str) -> bytes:
         return b"".join([self.raw[i] for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
 
+    def run(self, blanks: str) -> bytes:
+        """Ids of blanks before what is not blank: the rule takes all but the last together, and then the last."""
+        if blanks not in self.runs:
+            if len(self.runs) > 1000:
+                self.runs.clear()
+            self.runs[blanks] = (self.plain(blanks[:-1]) if len(blanks) > 1 else b"") + self.plain(blanks[-1])
+        return self.runs[blanks]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian numbers of this encoder's width."""
+        if not self.by_units:
+            return [self.plain(t) if t else b"" for t in texts]
         get, bare, out = self.known.__getitem__, self.bare, []
         for t in texts:
             if not t:
@@ -188,18 +212,33 @@ class Coder:
         return out.reshape(-1)[:n]
 
 
-_TOKENS = "shard int, before long, doc_id long, n long, ids binary"
+_TOKENS = "shard int, before long, n_tokens long, doc_ids array<long>, lengths array<int>, ids binary, counts binary"
 _BLOCKS = "shard int, first long, n_tokens long, doc_ids array<long>, lengths array<int>, lanes int, states binary, places binary, words binary, crc32 long"
-_BLOCK_SCHEMA = pa.schema([("shard", pa.int32()), ("first", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("lanes", pa.int32()), ("states", pa.binary()), ("places", pa.binary()), ("words", pa.binary()), ("crc32", pa.int64())])
+_LISTS = [("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32()))]
+_TOKEN_SCHEMA = pa.schema([("shard", pa.int32()), ("before", pa.int64()), ("n_tokens", pa.int64()), *_LISTS, ("ids", pa.binary()), ("counts", pa.binary())])
+_BLOCK_SCHEMA = pa.schema([("shard", pa.int32()), ("first", pa.int64()), ("n_tokens", pa.int64()), *_LISTS, ("lanes", pa.int32()), ("states", pa.binary()), ("places", pa.binary()), ("words", pa.binary()), ("crc32", pa.int64())])
+#: Blocks are large rows: bytes of a row group, so that a reader holds few at once.
+ROW_GROUP = 16 << 20
+
+
+def _ranges(ids: DataFrame, n: int) -> Column | None:
+    """The place of doc_id among n ranges of about as many rows, from the ids alone: a range partitioner would read all texts to
+    sample them. A binary search over one literal of at most n - 1 bounds; None where there are no bounds."""
+    bounds = ids.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n)).first()[0] if n > 1 else None
+    if not bounds:
+        return None
+    bounds = sorted(set(bounds))
+    held = f"cast(split('{','.join(map(str, bounds))}', ',') as array<bigint>)"
+    step = f"if(get({held}, cast((s.lo + s.hi) div 2 as int)) < doc_id, named_struct('lo', cast((s.lo + s.hi) div 2 + 1 as int), 'hi', s.hi), named_struct('lo', s.lo, 'hi', cast((s.lo + s.hi) div 2 as int)))"
+    found = f"aggregate(sequence(1, {len(bounds).bit_length()}), named_struct('lo', 0, 'hi', {len(bounds)}), (s, i) -> if(s.lo < s.hi, {step}, s), s -> s.lo)"
+    return F.coalesce(F.expr(f"if(doc_id is null, 0, {found})"), F.lit(0))
 
 
 def tokenize(documents: DataFrame, tokenizer: str, end_id: int | None = END_ID) -> tuple[DataFrame, str]:
-    """Ids of each row of documents (doc_id, text) as (shard, before, doc_id, n, ids), in order of doc_id, and their width.
-
-    shard: the place of a range of doc_ids; before: ids that the shard has before the document. Null texts have the end id only.
+    """Ids of documents (doc_id, text) in order of doc_id, one row a block of whole documents, and the ids' width: (shard: the place
+    of a range of doc_ids, before: ids that the shard has before the block, n_tokens, doc_ids, lengths, ids, counts: of the
+    shard's ids so far, on its last row). Null texts have the end id only.
     """
-    import json
-
     with open(tokenizer, encoding="utf-8") as f:
         highest = max([*json.load(f)["model"]["vocab"].values(), end_id or 0])
     width = "<u2" if highest < 1 << 16 else "<u4"
@@ -207,86 +246,95 @@ def tokenize(documents: DataFrame, tokenizer: str, end_id: int | None = END_ID)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, shard, before = lasting(("tokens", tokenizer, width), lambda: Encoder(tokenizer, width)), TaskContext.get().partitionId(), 0
-        for ids, texts in column_lists(batches, "doc_id", "text", rows=500):
-            made = [x + end for x in own.encode(texts)]
-            n = np.array([len(x) // int(width[2]) for x in made], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([shard] * len(made), pa.int32()), pa.array(before + np.cumsum(n) - n), pa.array(ids, pa.int64()), pa.array(n), pa.array(made, pa.binary())], ["shard", "before", "doc_id", "n", "ids"])
-            before += int(n.sum())
+        counts = np.zeros(highest + 1, np.int64)
+        names: list[int] = []
+        made: list[bytes] = []
+        size = 0
+
+        def block(last: bool) -> pa.RecordBatch:
+            nonlocal before, size, counts
+            lengths, raw = [len(x) // int(width[2]) for x in made], b"".join(made)
+            counts += np.bincount(np.frombuffer(raw, width), minlength=len(counts))
+            row = {"shard": shard, "before": before, "n_tokens": sum(lengths), "doc_ids": list(names), "lengths": lengths, "ids": raw, "counts": counts.astype("<i8").tobytes() if last else None}
+            before, size = before + row["n_tokens"], 0
+            names.clear()
+            made.clear()
+            return pa.RecordBatch.from_pylist([row], _TOKEN_SCHEMA)
+
+        gc.disable()  # a million remembered units make collections dear, and nothing here is cyclic
+        try:
+            for ids, texts in column_lists(batches, "doc_id", "text", rows=500):
+                for i, x in zip(ids, own.encode(texts), strict=True):
+                    if size >= BLOCK * int(width[2]):
+                        yield block(False)
+                    names.append(i)
+                    made.append(x + end)
+                    size += len(x) + len(end)
+            if names:
+                yield block(True)
+        finally:
+            gc.enable()
 
     docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     spark = documents.sparkSession
-    # ranges come from the ids alone; a range partitioner would read all texts to sample them
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = docs.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 100 * n)).first()[0] or []
-    place = F.coalesce(F.aggregate(F.array(*map(F.lit, sorted(set(bounds)))), F.lit(0), lambda s, b: s + (F.col("doc_id") > b).cast("int")), F.lit(0)) if bounds else F.lit(0)
-    ordered = docs.repartitionById(n, place).sortWithinPartitions("doc_id", "text")
+    place = _ranges(docs, n)
+    ordered = docs.repartitionById(n, F.lit(0) if place is None else place).sortWithinPartitions("doc_id", "text")
     path = shared_path(spark, "token-ids")
-    ordered.mapInArrow(run, _TOKENS).write.option("compression", "zstd").parquet(path)
+    ordered.mapInArrow(run, _TOKENS).write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(_TOKENS).parquet(path), width
 
 
-def frequencies(tokens: DataFrame, width: str) -> DataFrame:
-    """(id, count) over all ids."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget()
-        counts = np.zeros(0, np.int64)
-        for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                found = np.bincount(np.frombuffer(b"".join(b.column(0).slice(at, 1000).to_pylist()), width))
-                counts = np.pad(counts, (0, max(0, len(found) - len(counts))))
-                counts[: len(found)] += found
-        used = np.nonzero(counts)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["id", "count"])
-
-    return tokens.select("ids").mapInArrow(run, "id long, count long").groupBy("id").agg(F.sum("count").alias("count"))
-
-
 def write(documents: DataFrame, path: str, tokenizer: str, end_id: int | None = END_ID) -> None:
     """Writes the ids of documents (doc_id, text), an end id after each, as token files at path.
 
-    Order: doc_id, null first, then text, so that repeated rows have a place too. A null or empty text is its end id only. An
-    empty table writes an empty frequency table and no blocks. Extra columns are not looked at.
+    Order: doc_id, null first, then text, so that repeated rows have a place too. A null or empty text is its end id only; a very
+    long one is a block by itself. An empty table writes an empty frequency table and no blocks. Extra columns are not looked at.
     """
     spark = documents.sparkSession
     tokens, width = tokenize(documents, tokenizer, end_id)
-    counted = {r["id"]: r["count"] for r in frequencies(tokens, width).collect()}  # at most the vocabulary
-    counts = np.zeros(max(counted, default=0) + 1, np.int64)
-    for i, n in counted.items():
-        counts[i] = n
-    freq, bits = scaled(counts)
-    spark.createDataFrame([(int(i), int(freq[i])) for i in np.nonzero(freq)[0]], "id long, frequency long").coalesce(1).write.parquet(f"{path}/frequencies")
-    # one row a shard, of which there are as many as shuffle partitions
-    totals = {r.shard: r.n for r in tokens.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
+    # one row a shard, of which there are as many as shuffle partitions, and of each its counts, one at a time
     first, upto = {}, 0
-    for s in sorted(totals):
-        first[s], upto = upto, upto + totals[s]
+    for r in sorted(tokens.groupBy("shard").agg(F.sum("n_tokens").alias("n")).collect()):
+        first[r.shard], upto = upto, upto + r.n
+    freq, bits = scaled(_counted(tokens))
+    spark.createDataFrame([(int(i), int(freq[i])) for i in np.nonzero(freq)[0]], "id long, frequency long").coalesce(1).write.parquet(f"{path}/frequencies")
     held = spark.sparkContext.broadcast((freq, bits, first))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         freq, bits, first = held.value
         coder = Coder(freq, bits)
-        docs: list[tuple] = []
+        for batch in batches:
+            shards, before, sizes = (batch.column(i).to_pylist() for i in (0, 1, 2))
+            for i in range(batch.num_rows):
+                ids = np.frombuffer(batch.column(5)[i].as_buffer(), width).astype("<u4")
+                made = coder.encode(ids)
+                made = {"shard": shards[i], "first": first[shards[i]] + before[i], "n_tokens": sizes[i], "crc32": zlib.crc32(ids)} | made
+                columns = [batch.column(_TOKEN_SCHEMA.get_field_index(f.name)).slice(i, 1) if f.name in ("doc_ids", "lengths") else pa.array([made[f.name]], f.type) for f in _BLOCK_SCHEMA]
+                yield pa.RecordBatch.from_arrays(columns, schema=_BLOCK_SCHEMA)
 
-        def block() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(d[4] for d in docs), width).astype("<u4")
-            row = {"shard": docs[0][0], "first": first[docs[0][0]] + docs[0][1], "n_tokens": len(ids), "doc_ids": [d[2] for d in docs], "lengths": [d[3] for d in docs], "crc32": zlib.crc32(ids.tobytes())} | coder.encode(ids)
-            docs.clear()
-            return pa.RecordBatch.from_pylist([row], _BLOCK_SCHEMA)
+    tokens.drop("counts").mapInArrow(run, _BLOCKS).write.partitionBy("shard").option("parquet.block.size", ROW_GROUP).parquet(f"{path}/blocks")
 
-        size = 0
-        for rows in column_lists(batches, "shard", "before", "doc_id", "n", "ids", rows=500):
-            for d in zip(*rows, strict=True):
-                if docs and (size >= BLOCK or d[0] != docs[-1][0] or d[1] != docs[-1][1] + docs[-1][3]):
-                    yield block()
-                    size = 0
-                docs.append(d)
-                size += d[3]
-        if docs:
-            yield block()
 
-    tokens.mapInArrow(run, _BLOCKS).write.partitionBy("shard").parquet(f"{path}/blocks")
+def _counted(tokens: DataFrame) -> np.ndarray:
+    """How often each id occurs, from the shards' counts; ids without a count before the last are 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, np.int64)
+        for b in batches:
+            for x in b.column(0):
+                found = np.frombuffer(x.as_buffer(), "<i8")
+                total = np.pad(total, (0, len(found) - len(total))) + found if len(found) > len(total) else total + found
+        used = np.nonzero(total)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
+
+    sums = tokens.where("counts is not null").select("counts").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counted = sums.toArrow()  # at most the vocabulary
+    ids, n = (counted.column(c).to_numpy() for c in ("id", "n"))
+    counts = np.zeros(int(ids.max()) + 1 if len(ids) else 1, np.int64)
+    counts[ids] = n
+    return counts
 
 
 def read_back(spark: SparkSession, path: str) -> DataFrame:
@@ -300,14 +348,16 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         coder = Coder(*held.value)
-        names = ("first", "n_tokens", "doc_ids", "lengths", "lanes", "states", "places", "words", "crc32")
-        for rows in column_lists(batches, *names, rows=1):
-            for first, n, ids, lengths, lanes, states, places, words, crc in zip(*rows, strict=True):
-                raw = coder.decode(n, lanes, states, places, words).astype("<u4").tobytes()
+        for batch in batches:
+            at = {f: batch.column(batch.schema.get_field_index(f)) for f in batch.schema.names}
+            for i in range(batch.num_rows):
+                first, n, lanes, crc = (at[f][i].as_py() for f in ("first", "n_tokens", "lanes", "crc32"))
+                raw = coder.decode(n, lanes, *(at[f][i].as_buffer() for f in ("states", "places", "words"))).astype("<u4")
                 if zlib.crc32(raw) != crc:
                     raise ValueError(f"the block at id {first} is damaged")
-                ends = np.cumsum(lengths)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(first + ends - lengths, pa.int64()), pa.array([raw[4 * (e - m) : 4 * e] for e, m in zip(ends.tolist(), lengths, strict=True)], pa.binary())], ["doc_id", "start", "ids"])
+                ends = np.concatenate([[0], np.cumsum(at["lengths"][i].values.to_numpy(), dtype=np.int64)])
+                texts = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((4 * ends).astype(np.int32)), pa.py_buffer(raw)])
+                yield pa.RecordBatch.from_arrays([at["doc_ids"][i].values, pa.array(first + ends[:-1]), texts], ["doc_id", "start", "ids"])
 
     blocks = spark.read.schema(_BLOCKS).option("recursiveFileLookup", "true").parquet(f"{path}/blocks") if freq.any() else spark.createDataFrame([], _BLOCKS)
     return blocks.drop("shard").mapInArrow(run, "doc_id long, start long, ids binary")

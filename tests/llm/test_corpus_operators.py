@@ -136,6 +136,45 @@ def test_token_files_equal_the_library(spark, tmp_path):
     assert sorted(got, key=lambda r: r[1]) == want
 
 
+def test_units_give_the_ids_of_whole_texts():
+    import public_tokenizers
+
+    own, rnd = tokenfiles.Encoder(public_tokenizers.path("byte_bpe_50k.json"), "<u2"), random.Random(3)
+    parts = ["a", "Word", "é", "\n", "\n\n", "\t", " ", "  ", ".", "'s", "don't", "12", "\u00a0", "\x1c", "***", "日本", "\r\n", "ß,", "\x85", "_"]
+    for _ in range(5000):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 10)))
+        assert own.encode([text]) == [own.plain(text)]
+
+
+def test_other_splitting_rules_code_texts_whole(tmp_path):
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        stated = json.load(f)
+    stated["pre_tokenizer"]["add_prefix_space"] = True
+    path = str(tmp_path / "other.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(stated, f)
+    text = "Some words.\nMore, and more"
+    assert tokenfiles.Encoder(path, "<u2").encode([text]) == [np.array(Tokenizer.from_file(path).encode(text).ids, "<u2").tobytes()]
+
+
+def test_blocks_start_where_the_ones_before_end(spark, tmp_path, monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(tokenfiles, "BLOCK", 40)
+    rows = [(i, "some words of text " * (i % 7)) for i in range(200)]
+    out = f"file://{tmp_path}/small"
+    tokenfiles.write(docs(spark, rows), out, public_tokenizers.path("byte_bpe_50k.json"))
+    assert spark.read.parquet(f"{out}/blocks").count() > 30
+    got = sorted((r.start, r.doc_id, len(r.ids) // 4) for r in tokenfiles.read_back(spark, out).collect())
+    assert [r[1] for r in got] == [i for i, _ in rows]
+    assert [r[0] for r in got] == np.cumsum([0, *(r[2] for r in got[:-1])]).tolist()
+
+
 def test_no_documents_make_no_blocks(spark, tmp_path):
     import public_tokenizers
 
