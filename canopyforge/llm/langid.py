@@ -1,10 +1,10 @@
 """Language identification with language-bitmask n-gram filters.
 
-Training counts, for each language, in how many sampled documents an n-gram of letters occurs. An n-gram belongs to each language
-in which it is at least `MEMBER_SHARE` as common as where it is commonest. All languages' Bloom filters are bit-sliced: slot
-i holds one bit for each language, so that the AND of an n-gram's slots is the mask of all languages that (may) contain it.
-A text is scored by the popcount of each language's bit over its n-grams; the share of false positives that a filter's fill
-implies is taken off, and the largest corrected count decides.
+Training counts, for each language, in how many sampled documents an n-gram of letters occurs. Each language has a Bloom filter
+of all n-grams that occur in its documents, and further ones of those in at least a share of them (`LEVELS`). All filters
+are bit-sliced: slot i holds one bit for each filter, so that the AND of an n-gram's slots is the mask of all
+languages that (may) contain it, and at which levels. A text is scored by the popcounts of each language's bits over its n-grams; the
+share of false positives that a filter's fill implies is taken off, and the largest corrected count decides.
 """
 
 from __future__ import annotations
@@ -24,9 +24,11 @@ from .common import column_lists, crc_of_id, cut, forget, read
 ORDERS = (3, 4)
 #: Bound of the sample the filters are fitted on: documents of each language, in expectation.
 SAMPLE_DOCS = 1500
-#: Bounds of the model: n-grams kept for each language, languages (the most frequent), slots, probes.
-MOST_GRAMS, MOST_LANGUAGES, SLOTS, PROBES = 40_000, 64, 1 << 21, 2
-MEMBER_SHARE, LEAST_DOCS = 0.3, 3
+#: Shares of a language's documents that have the n-grams of each of its filters; the first holds all n-grams.
+LEVELS = (0.0, 0.01, 0.1)
+#: Slots for each n-gram of the language that has most, least slots, probes, filters in one word of a slot.
+PER_GRAM, LEAST_SLOTS, PROBES = 32, 1 << 16, 2
+PER_WORD = 64 // len(LEVELS)
 UNKNOWN = "und"
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
@@ -62,36 +64,55 @@ def gram_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(out), np.concatenate(whose)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
-def _slots(hashes: np.ndarray, probe: int) -> np.ndarray:
-    return ((hashes * _MIX[probe] >> np.uint64(20)) & np.uint64(SLOTS - 1)).astype(np.int64)
+def _slots(hashes: np.ndarray, probe: int, slots: int) -> np.ndarray:
+    return ((hashes * _MIX[probe] >> np.uint64(20)) & np.uint64(slots - 1)).astype(np.int64)
 
 
 class Filters:
-    """Bit-sliced filters of up to 64 languages. Fitted from grams: {language: [(hash, share of its documents)]}."""
+    """Bit-sliced filters of any number of languages. Fitted from grams: {language: (hashes, share of its documents with each)}.
 
-    def __init__(self, grams: dict[str, dict[int, float]], prior: str) -> None:
+    A slot has a word for each `PER_WORD` languages; a language's bits in it are its levels, the first of which is containment.
+    """
+
+    def __init__(self, grams: dict[str, tuple[np.ndarray, np.ndarray]], prior: str) -> None:
         self.languages, self.prior = sorted(grams), prior
-        self.table = np.zeros(SLOTS, np.uint64)
-        most: dict[int, float] = {}
-        for g in grams.values():
-            for h, share in g.items():
-                most[h] = max(most.get(h, 0.0), share)
-        for bit, name in enumerate(self.languages):
-            own = np.array([h for h, share in grams[name].items() if share >= MEMBER_SHARE * most[h]], np.uint64)
-            for p in range(PROBES):
-                self.table[_slots(own, p)] |= np.uint64(1 << bit)
-        fill = np.array([np.count_nonzero(self.table & np.uint64(1 << b)) / SLOTS for b in range(len(self.languages))])
-        self.false = fill**PROBES
+        self.slots = LEAST_SLOTS
+        while self.slots < PER_GRAM * max((len(h) for h, _ in grams.values()), default=0):
+            self.slots *= 2
+        self.table = np.zeros((-(-len(self.languages) // PER_WORD), self.slots), np.uint64)
+        self.weight, self.base = [], []
+        for i, name in enumerate(self.languages):
+            hashes, shares = grams[name]
+            word, shift, false = self.table[i // PER_WORD], len(LEVELS) * (i % PER_WORD), []
+            for level, least in enumerate(LEVELS):
+                for p in range(PROBES):
+                    word[_slots(hashes[shares >= least], p, self.slots)] |= np.uint64(1 << (shift + level))
+                false.append((np.count_nonzero(word & np.uint64(1 << (shift + level))) / self.slots) ** PROBES)
+            # a filter with the false positive rate f and c hits among n n-grams holds (c - n f) / (1 - f) of them
+            self.weight.append(np.array([sum(1 / (1 - f) for level, f in enumerate(false) if k >> level & 1) for k in range(1 << len(LEVELS))]))
+            self.base.append(sum(f / (1 - f) for f in false))
+
+    def masks(self, hashes: np.ndarray) -> np.ndarray:
+        """One row a word: of each n-gram, the bits of all languages and levels that (may) contain it."""
+        out = self.table[:, _slots(hashes, 0, self.slots)]
+        for p in range(1, PROBES):
+            out &= self.table[:, _slots(hashes, p, self.slots)]
+        return out
+
+    def containing(self, gram: int) -> list[str]:
+        """All languages that (may) contain an n-gram, by its hash."""
+        masks = self.masks(np.array([gram], np.uint64))[:, 0].tolist()
+        return [name for i, name in enumerate(self.languages) if masks[i // PER_WORD] >> (len(LEVELS) * (i % PER_WORD)) & 1]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         given = [t or "" for t in texts]
         hashes, owner = gram_hashes(given)
-        masks = self.table[_slots(hashes, 0)]
-        for p in range(1, PROBES):
-            masks &= self.table[_slots(hashes, p)]
         n = np.bincount(owner, minlength=len(given))
-        counts = np.stack([np.bincount(owner[(masks & np.uint64(1 << b)) != 0], minlength=len(given)) for b in range(len(self.languages))], 1) if self.languages else np.zeros((len(given), 0))
-        true = np.maximum(0.0, (counts - n[:, None] * self.false) / (1 - self.false))
+        masks, true = self.masks(hashes), np.zeros((len(given), len(self.languages)))
+        for i in range(len(self.languages)):
+            own = (masks[i // PER_WORD] >> np.uint64(len(LEVELS) * (i % PER_WORD))) & np.uint64((1 << len(LEVELS)) - 1)
+            true[:, i] = np.bincount(owner, self.weight[i][own.astype(np.int64)], len(given)) - n * self.base[i]
+        true = np.maximum(true, 0.0)
         best, total = (true.argmax(1) if self.languages else n), true.sum(1)
         langs, scores = [], []
         for i, t in enumerate(given):
@@ -124,27 +145,23 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Filters:
-    """Filters from labelled (doc_id, text, lang): a sample of about sample_docs documents of each of the MOST_LANGUAGES most
-    frequent languages, dealt by a hash of the id and of the text; all counts are made where the rows are."""
+    """Filters from labelled (doc_id, text, lang): a sample of about sample_docs documents of each language, dealt by a hash of
+    the id and of the text. All counts are made where the rows are; the filters hold every n-gram of the sample, whose bound is the
+    only one. Rows with a null text or lang are left out; without any, every prediction is `und`."""
     usable = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r.lang: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
+    sizes = {r.lang: r["count"] for r in usable.groupBy("lang").count().collect()}
     if not sizes:
         return Filters({}, UNKNOWN)
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, sample_docs / n))])[F.col("lang")]
     dealt = F.pmod(F.xxhash64("doc_id", F.length("text"), F.substring("text", 1, 64)), F.lit(1_000_003)) / F.lit(1_000_003)
     sample = usable.where(dealt < share).select("lang", "text")
     counts = sample.mapInArrow(_count, "lang string, gram long, docs long").groupBy("lang", "gram").agg(F.sum("docs").alias("docs"))
-    kept = cut(counts.where(F.col("gram").isNull() | (F.col("docs") >= LEAST_DOCS)), "language-grams")
-    grams: dict[str, dict[int, float]] = {}
-    totals: dict[str, int] = {}
-    for lang in sizes:
-        own = kept.where(F.col("lang") == lang).orderBy(F.col("gram").isNotNull(), F.desc("docs"), "gram").limit(MOST_GRAMS + 1).toArrow().to_pydict()
-        for g, n in zip(own["gram"], own["docs"], strict=True):
-            if g is None:
-                totals[lang] = n
-            else:
-                grams.setdefault(lang, {})[g & 0xFFFFFFFFFFFFFFFF] = n
-    grams = {k: {g: n / totals[k] for g, n in v.items()} for k, v in grams.items()}
+    kept = cut(counts, "language-grams")
+    totals = {r.lang: r.docs for r in kept.where("gram is null").collect()}
+    grams = {}
+    for lang, n in sorted(totals.items()):  # one language's at a time, as plain arrays
+        own = kept.where((F.col("lang") == lang) & F.col("gram").isNotNull()).select("gram", "docs").toArrow()
+        grams[lang] = own.column("gram").to_numpy().view(np.uint64), own.column("docs").to_numpy() / n
     return Filters(grams, max(sizes, key=lambda k: (sizes[k], k)))
 
 
