@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import annotate, crc_of_id, read
+from .common import annotate, crc_of_id, cut, read
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 PREFIXES = range(4, 9)
@@ -31,8 +31,8 @@ PREFIXES = range(4, 9)
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1500, 2500
 #: A feature marks tokens if it is so many times as common in toxic documents and occurs in so many and such a share of them.
 LEAST_RATIO, LEAST_SUPPORT, SUPPORT_SHARE = 8.0, 4, 0.03
-#: Words of a training sequence, sequences, steps and rate of the fit, weight of its penalty, words that a task remembers.
-CHUNK, MOST_CHUNKS, STEPS, RATE, PENALTY, MEMORY = 48, 5_000, 100, 0.25, 1e-4, 150_000
+#: Words of a training sequence, sequences that a step of the fit takes, least steps and rate, weight of its penalty, words that a task remembers.
+CHUNK, AT_ONCE, STEPS, RATE, PENALTY, MEMORY = 48, 4_000, 120, 0.25, 1e-4, 150_000
 THRESHOLD = 0.7
 
 
@@ -191,31 +191,34 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
     for ws, y in zip(words, toxic.tolist(), strict=True):
         tags = [int(bool(y) and not marks.isdisjoint(features(w))) for w in ws]
         chunks += [(ws[i : i + CHUNK], tags[i : i + CHUNK]) for i in range(0, len(ws), CHUNK)]
-    order = np.random.default_rng(seed).permutation(len(chunks))
-    order = sorted(order.tolist(), key=lambda i: not any(chunks[i][1]))[:MOST_CHUNKS]  # those with marks first
-    chunks = [chunks[i] for i in order]
     kinds = {w: i for i, w in enumerate(dict.fromkeys(w for ws, _ in chunks for w in ws))}
     often = Counter(f for w in kinds for f in features(w)) + Counter("=" + w for ws, _ in chunks for w in ws)
     names = {f: i for i, f in enumerate(f for f, n in often.items() if n >= 3)}
     pairs = np.array([(i, names[f]) for w, i in kinds.items() for f in features(w) if f in names], np.int64).reshape(-1, 2)
     n = len(chunks)
-    ids, tags, there = np.zeros((n, CHUNK), np.int64), np.zeros((n, CHUNK), np.int64), np.zeros((n, CHUNK), bool)
+    all_ids, all_tags, all_there = np.zeros((n, CHUNK), np.int32), np.zeros((n, CHUNK), np.int8), np.zeros((n, CHUNK), bool)
     for i, (ws, ts) in enumerate(chunks):
-        ids[i, : len(ws)], tags[i, : len(ts)], there[i, : len(ws)] = [kinds[w] for w in ws], ts, True
-    first_there, token = there.copy(), ids[there]
-    first_there[:, 1:] = False
-    pair_there = there[:, 1:] & there[:, :-1]
-    empirical = np.array([[(pair_there & (tags[:, :-1] == a) & (tags[:, 1:] == b)).sum() for b in (0, 1)] for a in (0, 1)], float)
+        all_ids[i, : len(ws)], all_tags[i, : len(ts)], all_there[i, : len(ws)] = [kinds[w] for w in ws], ts, True
+    del chunks
+    # every step takes the next sequences of a random order, so that all are used, in their own proportions, at bounded memory
+    rng, parts = np.random.default_rng(seed), -(-n // AT_ONCE)
+    steps = max(STEPS, 2 * parts)
+    taken = (part for _ in range(-(-steps // parts)) for part in np.array_split(rng.permutation(n), parts))
     w, bias, trans, first = np.zeros(len(names)), model.bias, np.zeros((2, 2)), np.zeros(2)
     moments: dict[str, list] = defaultdict(lambda: [0.0, 0.0])
-    size = float(there.sum())
-    for step in range(1, STEPS + 1):
+    for step in range(1, steps + 1):
+        part = next(taken)
+        ids, tags, there = all_ids[part], all_tags[part], all_there[part]
+        first_there, token, size = there.copy(), ids[there], float(there.sum())
+        first_there[:, 1:] = False
+        pair_there = there[:, 1:] & there[:, :-1]
+        empirical = np.array([[(pair_there & (tags[:, :-1] == a) & (tags[:, 1:] == b)).sum() for b in (0, 1)] for a in (0, 1)], float)
         kind_scores = bias + np.bincount(pairs[:, 0], w[pairs[:, 1]], minlength=len(kinds))
         e = np.where(there, kind_scores[ids], 0.0)
         t, f0 = np.exp(trans), np.exp(first)
         emit = np.stack([np.ones_like(e), np.exp(np.clip(e, -50, 50))], 2)
-        alpha = np.empty((n, CHUNK, 2))
-        beta = np.ones((n, CHUNK, 2))
+        alpha = np.empty((len(part), CHUNK, 2))
+        beta = np.ones((len(part), CHUNK, 2))
         at = f0 * emit[:, 0]
         alpha[:, 0] = at = at / at.sum(1, keepdims=True)
         for k in range(1, CHUNK):
@@ -237,7 +240,7 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
             "trans": (empirical - joint) / size,
             "first": np.array([-1.0, 1.0]) * (tags - p)[first_there].sum() / size,
         }
-        rate = RATE * min(1.0, 2 * (1 - step / (STEPS + 1)))
+        rate = RATE * min(1.0, 2 * (1 - step / (steps + 1)))
 
         def adam(name: str, g):
             m = moments[name]
@@ -263,16 +266,25 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
 
 
 def fit_sample(documents: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC, sample_clean: int = SAMPLE_CLEAN) -> Model:
-    """A model from a bounded sample of the labelled documents, dealt by a hash of doc_id.
+    """A model from a bounded sample of the labelled documents, dealt by a hash of doc_id, and then of the text too.
 
     labels: (doc_id, toxic). Rows with a null in either column are left out; a document with two labels has the greater.
+    A repeated document counts once; one doc_id with many texts is dealt again by text, so that the bound holds for rows, too.
+    No labelled documents give a model that calls nothing toxic.
     """
     own = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    sizes = {r.toxic: r["count"] for r in own.groupBy("toxic").count().collect()}
-    share = F.when(F.col("toxic") == 1, F.lit(min(1.0, sample_toxic / max(1, sizes.get(1, 0))))).otherwise(F.lit(min(1.0, sample_clean / max(1, sizes.get(0, 0)))))
-    sample = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / F.lit(1_000_003) < share)
-    # at most some thousands of ids, by the sample's bound
-    rows = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic").toArrow().to_pydict()
+    docs = documents.select("doc_id", "text")
+
+    def dealt(rows: DataFrame, *by: str) -> DataFrame:
+        sizes = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
+        share = F.when(F.col("toxic") == 1, F.lit(min(1.0, sample_toxic / max(1, sizes.get(1, 0))))).otherwise(F.lit(min(1.0, sample_clean / max(1, sizes.get(0, 0)))))
+        return rows.where(F.pmod(F.xxhash64(*by), F.lit(1_000_003)) / F.lit(1_000_003) < share)
+
+    # at most some thousands of rows are broadcast, by the sample's bound
+    digest = F.xxhash64("text")
+    texts = docs.join(F.broadcast(dealt(own, "doc_id")), "doc_id").select("doc_id", "toxic", digest.alias("digest")).distinct()
+    sample = dealt(cut(texts, "labelled"), "digest", "doc_id")
+    rows = docs.join(F.broadcast(sample), "doc_id").where(digest == F.col("digest")).dropDuplicates(["doc_id", "digest"]).select("doc_id", "text", "toxic").toArrow().to_pydict()
     order = sorted(range(len(rows["doc_id"])), key=lambda i: (rows["doc_id"][i], rows["text"][i] or ""))
     return fit([rows["text"][i] for i in order], [rows["toxic"][i] for i in order])
 
