@@ -1,6 +1,7 @@
 """The corpus operators against SQL, brute force, round trips and held-out labels; and nulls, empties, ties, repeats."""
 
 import hashlib
+import math
 import random
 import re
 import sys
@@ -108,10 +109,49 @@ def test_language_edge_cases(spark):
     assert {r.lang_pred for r in langid.identify(docs(spark, ODD), langid.fit(train.limit(0))).collect()} == {"und"}
 
 
+def _grams(own):
+    return np.array(list(own), np.uint64), np.array(list(own.values()))
+
+
 def test_filters_return_all_languages_of_a_gram():
-    f = langid.Filters({"a": {1: 1.0, 2: 0.5}, "b": {2: 0.5, 3: 1.0}}, "a")
-    mask = lambda h: int(np.bitwise_and.reduce([f.table[langid._slots(np.array([h], np.uint64), p)][0] for p in range(langid.PROBES)]))
-    assert (mask(1), mask(2), mask(3)) == (1, 3, 2)
+    f = langid.Filters({"a": _grams({1: 1.0, 2: 0.5}), "b": _grams({2: 0.001, 3: 1.0})}, "a")
+    assert [f.containing(h) for h in (1, 2, 3)] == [["a"], ["a", "b"], ["b"]]
+    rng = np.random.default_rng(1)  # many languages and n-grams: no filter forgets one
+    grams = {f"l{i:03}": rng.integers(0, 1 << 63, 3000).astype(np.uint64) for i in range(70)}
+    f = langid.Filters({k: (h, np.full(len(h), 0.0004)) for k, h in grams.items()}, "l000")
+    for i, (k, h) in enumerate(grams.items()):
+        assert (f.masks(h)[i // langid.PER_WORD] >> np.uint64(len(langid.LEVELS) * (i % langid.PER_WORD)) & np.uint64(1)).all()
+        assert k in f.containing(int(h[0]))
+
+
+def test_every_language_can_be_predicted(spark):
+    letters = "abcdefghijklmnop"
+    word = lambda k, j: letters[k % 16] + letters[k // 16] + letters[j % 16] + letters[(j * 7 + k) % 16]
+    text = lambda k, at: " ".join(word(k, (at + j) % 16) for j in range(12))
+    rows = [(100 * k + i, text(k, i), f"lang{k}") for k in range(70) for i in range(4)]
+    f = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    langs, _ = f.predict([text(k, 9) for k in range(70)])
+    assert langs == [f"lang{k}" for k in range(70)]
+
+
+def test_predictions_equal_counts_by_set():
+    rng, rnd = np.random.default_rng(2), random.Random(11)
+    words = {k: ["".join(rnd.choice(a) for _ in range(rnd.randrange(2, 7))) for _ in range(80)] for k, a in (("x", "abcdeé"), ("y", "abcxyz"))}
+    texts = [(k, " ".join(rnd.choice(words[k]) for _ in range(30))) for k in ("x", "y") for _ in range(30)]
+    grams = {}
+    for k in words:
+        per = [set(langid.gram_hashes([t])[0].tolist()) for own, t in texts if own == k]
+        count = {h: sum(h in p for p in per) / len(per) for h in set().union(*per)}
+        grams[k] = count
+    f = langid.Filters({k: _grams(g) for k, g in grams.items()}, "x")
+    asked = [" ".join(rnd.choice(words[rnd.choice("xy")]) for _ in range(int(rng.integers(1, 40)))) for _ in range(60)]
+    for t, lang, score in zip(asked, *f.predict(asked)):
+        own = langid.gram_hashes([t])[0].tolist()
+        want = {k: sum(g.get(h, -1.0) >= least for h in own for least in langid.LEVELS) for k, g in grams.items()}
+        total = sum(want.values())
+        if abs(want["x"] - want["y"]) > 0.02 * total:
+            assert lang == max(want, key=want.get)
+        assert total == 0 or abs(score - want[lang] / total) < 0.02
 
 
 # --- op 3 -----------------------------------------------------------------------------------------------------------
@@ -268,6 +308,22 @@ def test_top_k_with_ties_nulls_and_few_rows(spark):
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_top_k_of_large_components_and_repeated_rows(spark):
+    rnd = random.Random(12)
+    sizes = [1.0, 70_000.0, 1e9, 1e15, 3e16, -5e15, 1e19, -1e30]
+    v = [(i, [rnd.choice(sizes) * rnd.random() for _ in range(4)]) for i in range(60)] + [(70 + i, [1.0, 2.0, 3.0, 4.0]) for i in range(5)]
+    v += [(3, v[3][1])] * 4 + [(80, [])] + [(10, v[10][1])] * 2  # a repeated row, and a repeated query without other vectors
+    df = spark.createDataFrame([(*r, 1, 2) for r in v], "vec_id long, embedding array<double>, copies int, q int")
+    long = lambda x: max(-(1 << 63), min((1 << 63) - 1, x))
+    q = [(i, [long(math.floor(256 * x)) for x in e]) for i, e in v]
+    want = []
+    for i, e in {(i, tuple(e)) for i, e in q if i % 10 == 0}:
+        best = sorted((-sum(a * b for a, b in zip(e, f)), j) for j, f in q if j != i)[:5]
+        want += [(i, k + 1, j, long(-s)) for k, (s, j) in enumerate(best)]
+    got = [tuple(r) for r in topk.top_k(df, df.where("vec_id % 10 = 0"), 5).collect()]
+    assert sorted(got) == sorted(want)
+
+
 # --- op 6 -----------------------------------------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header>Site</header><nav><a href="x">m</a></nav>
