@@ -3,12 +3,14 @@
 A window is `WINDOW` consecutive words of a benchmark item; an item with fewer words is one window. Texts are hashed word
 by word and k-gram by k-gram; of each window's k-gram hashes the least is its fingerprint. Two equal windows have equal
 fingerprints, so joining fingerprints finds every shared window, and runs of neighbouring windows share one fingerprint, so
-that there are far fewer of them than words. Each fingerprint that both sides have is extended to the windows of its run, and
-those are joined by their exact words.
+that there are far fewer of them than words.
 
-A bit table of fixed largest size, made from the benchmark's fingerprints, drops most of a text's runs before
-anything is shuffled; it only ever keeps too many, so that results don't depend on it. Windows that many items share are one
-row of the benchmark's side, and a document's hits are gathered by document, not by window.
+A document's runs are joined with the benchmark's fingerprints by (length, fingerprint). Each run that hits is extended to all
+windows that it covers, once for each different run however many documents have it, and those windows are verified by their
+exact words. Windows that the same items share have one set of items, by which documents are joined with item ids at last.
+
+Before the join, a bit table made from the benchmark's fingerprints drops most runs where the texts are; it only ever keeps too
+many. It has 16 bits a fingerprint up to `MOST_BITS`; what it lets through beyond that the join drops.
 """
 
 from __future__ import annotations
@@ -16,11 +18,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BETWEEN_WORDS, a_to_z_lower, read
+from .common import BETWEEN_WORDS, a_to_z_lower, cut, read
 
 WINDOW, GRAM = 13, 5
-#: Bits of the table of fingerprints: 16 for each one, within these bounds.
-LEAST_BITS, MOST_BITS = 1 << 12, 1 << 17
+#: Bits of the table of fingerprints: 16 for each one, within these bounds (256 KB).
+LEAST_BITS, MOST_BITS = 1 << 12, 1 << 21
+#: Most fingerprints, windows or hits that are broadcast; more are joined by a shuffle.
+MOST_BROADCAST = 100_000
+_NO_SPANS, _NO_ITEMS = "cast(null as array<struct<at:int,end:int>>) as spans", "cast(null as array<string>) as items"
 
 
 def raw_words(text: Column) -> Column:
@@ -41,13 +46,18 @@ def _fingerprints(df: DataFrame, n: int) -> DataFrame:
 
 
 def windows_of(benchmark: DataFrame, n: int, whole: bool) -> DataFrame:
-    """(length, print, words, items) of the distinct windows of n words; whole: of the items that have n words altogether."""
+    """(length, print, window, item_id) of the windows of n words; whole: of the items that have n words altogether."""
     items = benchmark.where(F.col("item_id").isNotNull()).select("item_id", raw_words(F.col("text")).alias("words"))
     items = _fingerprints(items.where(F.size("words") == n if whole else F.size("words") >= n), n)
     # an inner explode would put a filter on prints below, and with it all that makes them, once for each use
     each = items.select("item_id", "words", F.posexplode_outer("prints").alias("at", "print")).where("print is not null")
     text = a_to_z_lower(F.array_join(F.slice("words", F.col("at") + 1, n), " "))
-    return each.groupBy("print", text.alias("window")).agg(F.collect_set("item_id").alias("items")).withColumn("length", F.lit(n))
+    return each.select(F.lit(n).alias("length"), "print", text.alias("window"), "item_id")
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """df, whose rows are counted, marked for a broadcast if they are few."""
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
 
 
 def _bit_table(prints: DataFrame) -> tuple[int, str]:
@@ -60,10 +70,8 @@ def _bit_table(prints: DataFrame) -> tuple[int, str]:
     at = F.shiftrightunsigned("print", 64 - shift)
     got = {r.word: r.held for r in prints.groupBy(F.shiftright(at, 6).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(print, {64 - shift}) & 63 as int))")).alias("held")).collect()}
 
-    def long(v: int) -> str:  # the least long has no literal
-        return "(-9223372036854775807L - 1L)" if v == -(1 << 63) else f"{v}L"
-
-    return shift, f"array({','.join(long(got.get(i, 0)) for i in range(bits // 64))})"
+    # one string, cast when the plan is made: a literal for each word would make large plans
+    return shift, f"cast(split('{','.join(str(got.get(i, 0)) for i in range(bits // 64))}', ',') as array<bigint>)"
 
 
 def _runs(df: DataFrame, n: int, shift: int, table: str) -> DataFrame:
@@ -99,42 +107,51 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, least_share: float
         shift, table = _bit_table(wins[-1].select("print").distinct())
         docs = _runs(docs, n, shift, table).select("doc_id", "digest", "words", *columns, F.col("runs").alias(f"runs{n}"))
         columns.append(f"runs{n}")
-    # one row a document that stands for it, and one for each run that may hit
+    # one row a document that stands for it, and one for each run that may hit: written, as all that follows starts from it
     own = F.array(F.struct(F.lit(0).alias("length"), F.lit(None).cast("long").alias("print"), F.lit(0).alias("at"), F.size("words").alias("n"), F.lit(None).cast("array<string>").alias("covers")))
     held = [F.expr(f"coalesce(transform({c}, r -> named_struct('length', {n}, 'print', r.print, 'at', r.at, 'n', r.n, 'covers', r.covers)), cast(array() as array<struct<length:int,print:bigint,at:int,n:int,covers:array<string>>>))") for c, n in zip(columns, lengths)]
     rows = docs.select("doc_id", "digest", F.explode_outer(F.concat(own, *held)).alias("run")).select("doc_id", "digest", "run.*")
-    offsets = F.when(F.col("length") > 0, F.sequence(F.lit(0), F.col("n") - 1)).otherwise(F.array(F.lit(0)))
-    rows = rows.select("*", F.explode_outer(offsets).alias("o"))
-    rows = rows.select(
-        "doc_id", "digest", "length", (F.col("at") + F.col("o")).alias("at"), F.when(F.col("length") == 0, F.col("n")).alias("n_words"),
-        F.when(F.col("length") > 0, a_to_z_lower(F.array_join(F.slice("covers", F.col("o") + 1, F.col("length")), " "))).alias("window"),
+    rows = cut(rows.withColumn("covers", a_to_z_lower(F.array_join("covers", " "))), "text-runs")
+    parts_of = rows.where("length = 0").selectExpr("doc_id", "digest", "1L as copies", "n as n_words", _NO_SPANS, _NO_ITEMS)
+    if wins:
+        known = wins[0]
+        for w in wins[1:]:
+            known = known.unionByName(w)
+        parts_of = parts_of.unionByName(_hits(rows.where("length > 0"), known))
+    out = parts_of.groupBy("doc_id", "digest").agg(
+        F.sum("copies").alias("copies"), F.max("n_words").alias("n_words"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
-    known = wins[0] if wins else None
-    for w in wins[1:]:
-        known = known.unionByName(w)
-    if known is None:
-        rows = rows.withColumn("items", F.lit(None).cast("array<bigint>"))
-    else:
-        # rows that stand for documents go past the join, whose null key would put them into one task
-        known = known.select(F.col("length").alias("known_length"), F.col("window").alias("known_window"), "items")
-        salt = F.when(F.col("length") == 0, F.concat(F.lit("#"), F.col("digest"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).otherwise(F.col("window"))
-        rows = rows.withColumn("key", salt)
-        rows = rows.join(known, (F.col("key") == F.col("known_window")) & (F.col("length") == F.col("known_length")), "left").where("length = 0 or items is not null")
-    hits = rows.groupBy("doc_id", "digest").agg(
-        F.sum(F.when(F.col("length") == 0, 1)).alias("copies"),
-        F.max("n_words").alias("n_words"),
-        F.sort_array(F.collect_set(F.when(F.col("length") > 0, F.struct("at", (F.col("at") + F.col("length")).alias("end"))))).alias("spans"),
-        F.array_distinct(F.flatten(F.collect_set("items"))).alias("ids"),
-    )
     covered = F.aggregate(
         "spans", F.struct(F.lit(0).alias("n"), F.lit(0).alias("upto")),
         lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(a["upto"], s["at"]))).alias("n"), F.greatest(a["upto"], s["end"]).alias("upto")),
         lambda a: a["n"],
     )
-    out = hits.select("doc_id", "digest", F.col("n_words").cast("long"), covered.cast("long").alias("n_hit"), F.array_sort(F.transform("ids", lambda i: i.cast("string"))).alias("items"), F.explode(F.expr("sequence(1L, copies)")).alias("copy"))
+    out = out.select("doc_id", "digest", F.col("n_words").cast("long"), covered.cast("long").alias("n_hit"), "items", F.explode(F.expr("sequence(1L, copies)")).alias("copy"))
     return out.select("doc_id", "digest", "n_words", "n_hit", "items", ((F.col("n_hit") > 0) & (F.lit(round(parts)) * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
+def _hits(runs: DataFrame, known: DataFrame) -> DataFrame:
+    """What runs (doc_id, digest, length, print, at, n, covers) hit of known (length, print, window, item_id), by document."""
+    known = cut(known.groupBy("length", "print", "window").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items")).withColumn("of", F.md5(F.array_join("items", ","))), "windows")
+    # the join of the fingerprints; a run that many documents have goes on as one
+    prints = known.select("length", "print").distinct()
+    different = runs.select("length", "print", "n", "covers").distinct().join(_small(prints), ["length", "print"], "left_semi")
+    # a hit is extended to the windows that its run covers
+    words = F.split("covers", " ")
+    each = different.select("length", "print", "n", "covers", words.alias("words"), F.explode(F.expr("sequence(0, n - 1)")).alias("o"))
+    each = each.select("length", "print", "n", "covers", "o", F.array_join(F.expr("slice(words, o + 1, length)"), " ").alias("window"))
+    verified = each.join(_small(known.select("length", "print", "window", "of")), ["length", "print", "window"])
+    verified = verified.groupBy("length", "print", "n", "covers").agg(F.collect_set("o").alias("offsets"), F.collect_set("of").alias("sets"))
+    verified = cut(verified, "verified-runs")
+    found = runs.join(_small(verified), ["length", "print", "n", "covers"])
+    spans = found.select("doc_id", "digest", F.transform("offsets", lambda o: F.struct((F.col("at") + o).alias("at"), (F.col("at") + o + F.col("length")).alias("end"))).alias("spans"))
+    items_of = known.select("of", "items").dropDuplicates(["of"])
+    items = found.select("doc_id", "digest", F.explode("sets").alias("of")).distinct().join(_small(items_of), "of")
+    nothing = ["cast(null as bigint) as copies", "cast(null as int) as n_words"]
+    return spans.selectExpr("doc_id", "digest", *nothing, "spans", _NO_ITEMS).unionByName(items.selectExpr("doc_id", "digest", *nothing, _NO_SPANS, "items"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")

@@ -90,6 +90,29 @@ def test_long_items_alone_find_every_window(spark):
     assert sorted([(r.doc_id, r.n_words, r.n_hit, r["items"], r.contaminated) for r in got.collect()], key=repr) == contamination(rows, items)
 
 
+def test_fingerprints_are_joined_and_hits_extended(spark, monkeypatch):
+    """A joined side without fingerprints finds nothing, whatever the words; no side is too large to be shuffled."""
+    rnd = random.Random(13)
+    text = lambda n: " ".join(f"w{rnd.randrange(300)}" for _ in range(n))
+    shared = text(40)
+    items = [(i, text(20) + " " + shared + " " + text(20)) for i in range(30)] + [(50, "two words")]
+    rows = [(i, text(30) + " " + shared + " " + text(i)) for i in range(40)] + [(90, "Two, words! " + text(50))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = contamination(rows, items)
+    for most in (decontaminate.MOST_BROADCAST, 0):
+        monkeypatch.setattr(decontaminate, "MOST_BROADCAST", most)
+        got = decontaminate.decontaminate(docs(spark, rows), bench)
+        assert sorted([(r.doc_id, r.n_words, r.n_hit, r["items"], r.contaminated) for r in got.collect()], key=repr) == want
+    own = decontaminate._fingerprints(spark.createDataFrame([(words_of(shared),)], "words array<string>"), 13).first().prints
+    theirs = {r.print for r in decontaminate.windows_of(bench, 13, False).select("print").collect()}
+    assert set(own) <= theirs and len(set(own)) < len(own)  # equal windows, equal fingerprints, and fewer than windows
+    monkeypatch.setattr(decontaminate, "_bit_table", lambda prints: (12, f"array_repeat(-1L, {(1 << 12) // 64})"))  # drops nothing
+    real = decontaminate.windows_of
+    assert sorted([(r.doc_id, r["items"]) for r in decontaminate.decontaminate(docs(spark, rows), bench).collect()]) == sorted((w[0], w[3]) for w in want)
+    monkeypatch.setattr(decontaminate, "windows_of", lambda b, n, whole: real(b, n, whole).withColumn("print", F.lit(7).cast("long")))
+    assert not any(r.contaminated for r in decontaminate.decontaminate(docs(spark, rows), bench).collect())
+
+
 # --- op 2 -----------------------------------------------------------------------------------------------------------
 
 
