@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,8 +23,8 @@ from .common import column_lists, cut, read
 
 #: A subtree is a template if it is on so many pages of a host whose texts differ.
 LEAST_PAGES = 5
-#: Most templates (host and subtree), and most of a host, that are broadcast; beyond, pages are joined with those they hold by a shuffle.
-MOST_BROADCAST, MOST_OF_HOST = 500_000, 1_000
+#: Most templates (host and subtree) that are sent to every worker; beyond, pages are joined with those they hold by a shuffle.
+MOST_BROADCAST = 200_000
 
 # Element names of the HTML standard by how a parser treats them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -78,6 +79,16 @@ def parse(page: str) -> Node:
     """The page's tree; what isn't well formed is closed as browsers would, roughly. Comments are left out."""
     root = Node("#root", "", None)
     at, here, n = 0, root, len(page)
+    open_tags: Counter[str] = Counter()  # so that tags that close nothing cost nothing, however deep the page
+
+    def close(to: Node) -> Node:
+        """Closes what is open below an element."""
+        node = here
+        while node is not to:
+            open_tags[node.tag] -= 1
+            node = node.parent
+        return to
+
     while at < n:
         start = page.find("<", at)
         if start < 0:
@@ -102,27 +113,27 @@ def parse(page: str) -> Node:
             if tag == "br":
                 here.children.append(Node("br", "", here))
                 continue
-            node = here
+            node = here if open_tags[tag] else root
             while node is not root and node.tag != tag and not (node.tag in WALLS and tag not in WALLS):
                 node = node.parent
             if node is not root and node.tag == tag:
-                here = node.parent
+                here = close(node.parent)
             elif tag == "p":
                 here.children.append(Node("p", "", here))
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and open_tags["p"]:
             node = here
             while node is not root and node.tag != "p" and node.tag not in WALLS and node.tag not in ("li", "dd", "dt", "div", "blockquote"):
                 node = node.parent
             if node.tag == "p":
-                here = node.parent
+                here = close(node.parent)
         if tag in ENDS:
             ended, walls = ENDS[tag]
-            node = here
+            node = here if any(open_tags[t] for t in ended) else root
             while node is not root and node.tag not in ended and node.tag not in walls:
                 node = node.parent
             if node.tag in ended:
-                here = node.parent
+                here = close(node.parent)
         node = Node(tag, attributes, here)
         here.children.append(node)
         if tag in VOID:
@@ -134,6 +145,7 @@ def parse(page: str) -> Node:
             at = end.end()
         else:
             here = node
+            open_tags[tag] += 1
     return root
 
 
@@ -272,7 +284,7 @@ def _holders(least_pages: int):
             keys = [(*k, t) for k, texts in found.items() for t in texts]
             return pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int64()))], ["host", "subtree", "text"])
 
-        for urls, pages in column_lists(batches, "url", "html", rows=500):
+        for urls, pages in column_lists(batches, "url", "html", rows=100):
             for u, p in zip(urls, pages, strict=True):
                 host, root = host_of(u), parse(p or "")
                 text = xxhash.xxh3_64_intdigest(_text(root, set()).encode("utf-8", "surrogatepass")) >> 1
@@ -298,7 +310,7 @@ def templates(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
 
 def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(host, digest, subtree) of pages (host, digest, html)."""
-    for hosts, digests, pages in column_lists(batches, "host", "digest", "html", rows=500):
+    for hosts, digests, pages in column_lists(batches, "host", "digest", "html", rows=100):
         rows = [(h, d, s) for h, d, p in zip(hosts, digests, pages, strict=True) for s in subtrees(p)]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int64()))], ["host", "digest", "subtree"])
 
@@ -310,30 +322,28 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     string; a null page_id is kept and repeated rows each get their row. Very long pages are read whole. Other columns are not looked at.
     """
     known = cut(templates(pages, least_pages), "templates")
-    sizes = known.groupBy("host").count().agg(F.sum("count"), F.max("count")).first()
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#\\]*@)?([^/?#\\:@]*)", 1))
-    rows = pages.select("page_id", F.col("url").cast("string"), F.col("html").cast("string"), host.alias("host"))
-    by_host = (sizes[0] or 0) <= MOST_BROADCAST and (sizes[1] or 0) <= MOST_OF_HOST
-    if by_host:
-        of = known.groupBy(F.col("host").alias("of")).agg(F.collect_set("subtree").alias("subtrees"))
-        rows = rows.join(F.broadcast(of), F.col("host") == F.col("of"), "left")
+    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
+    sent = None
+    if known.count() <= MOST_BROADCAST:
+        by_host: dict[str, set[int]] = {}
+        for r in known.toLocalIterator():
+            by_host.setdefault(r.host, set()).add(r.subtree)
+        sent = pages.sparkSession.sparkContext.broadcast({h: frozenset(x) for h, x in by_host.items()})
+        rows = rows.withColumn("subtrees", F.lit(None).cast("array<long>"))
     else:  # a page gets those of its host's templates that it holds
-        rows = rows.withColumn("digest", F.md5(F.col("html").cast("binary")))
+        host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#\\]*@)?([^/?#\\:@]*)", 1))
+        rows = rows.withColumn("host", host).withColumn("digest", F.md5(F.col("html").cast("binary")))
         held = rows.select("host", "digest", "html").mapInArrow(_held, "host string, digest string, subtree long").distinct()
-        of = held.join(known, ["host", "subtree"]).groupBy("host", "digest").agg(F.collect_set("subtree").alias("subtrees"))
+        of = cut(held.join(known, ["host", "subtree"]).groupBy("host", "digest").agg(F.collect_set("subtree").alias("subtrees")), "held-templates")
         rows = rows.join(of, ["host", "digest"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, urls, bodies, hosts, known in column_lists(batches, "page_id", "url", "html", "host", "subtrees", rows=500):
-            sets: dict[str, frozenset] = {}
-            texts = []
-            for p, h, k in zip(bodies, hosts, known, strict=True):
-                if h not in sets or not by_host:
-                    sets[h] = frozenset(k or ())
-                texts.append(main_text(p, sets[h]))
+        none: frozenset[int] = frozenset()
+        for ids, urls, bodies, known in column_lists(batches, "page_id", "url", "html", "subtrees", rows=100):
+            texts = [main_text(p, sent.value.get(host_of(u), none) if sent else frozenset(k or ())) for u, p, k in zip(urls, bodies, known, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    return rows.select(F.col("page_id").cast("long"), "url", "html", "host", "subtrees").mapInArrow(run, "page_id long, url string, text string")
+    return rows.select("page_id", "url", "html", "subtrees").mapInArrow(run, "page_id long, url string, text string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -384,8 +384,8 @@ def test_templates_within_articles_and_of_large_hosts_are_deleted(spark, monkeyp
     teaser = lambda i: (500 + i, f"http://teaser/{i}", f"<html><body><article><p>Teaser</p></article><article><p>Piece {i}</p></article></body></html>")
     rows = [_host_page(i) for i in range(8)] + [rare(i) for i in range(80)] + [copy(i) for i in range(9)] + [teaser(i) for i in range(7)] + [_host_page(600 + i, "small") for i in range(4)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    for most in (pages.MOST_OF_HOST, 0):  # by broadcast, by shuffle
-        monkeypatch.setattr(pages, "MOST_OF_HOST", most)
+    for most in (pages.MOST_BROADCAST, 0):  # by broadcast, by shuffle
+        monkeypatch.setattr(pages, "MOST_BROADCAST", most)
         got = {r.page_id: r.text for r in pages.extract(df).collect()}
         assert len(got) == len(rows)
         assert got[3] == "Title 3\nOwn 3"
@@ -395,6 +395,38 @@ def test_templates_within_articles_and_of_large_hosts_are_deleted(spark, monkeyp
         assert got[502] == "Piece 2"
 
 
+def templates_by_counting(rows, least=5):
+    """Brute force: all subtrees of all pages, by host, as sets of texts."""
+    holders = {}
+    for _, url, page in rows:
+        root = pages.parse(page or "")
+        for h in pages._hashes(root).values():
+            holders.setdefault((pages.host_of(url), h), set()).add(pages._text(root, set()))
+    return {k for k, x in holders.items() if len(x) >= least}
+
+
+def test_extraction_equals_brute_force(spark, data, monkeypatch):
+    rows = [tuple(r) for r in spark.read.parquet(f"{data}/pages.parquet").select("page_id", "url", "html").collect()]
+    rows += [(20_000 + i, "http://news/x", _host_page(i)[2]) for i in range(9)] + [(30_000 + i, "http://plain/", f"<body><div>All of the site</div><section><p>Only {i}</p></section></body>") for i in range(30)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)
+    known = templates_by_counting(rows)
+    assert {tuple(r) for r in pages.templates(df).collect()} == known
+    want = [(i, pages.main_text(p, {h for host, h in known if host == pages.host_of(u)})) for i, u, p in rows]
+    assert sum(pages.main_text(p) != t for (_, _, p), (_, t) in zip(rows, want)) == 39  # without templates these texts are others
+    for most in (pages.MOST_BROADCAST, 0):
+        monkeypatch.setattr(pages, "MOST_BROADCAST", most)
+        got = [(r.page_id, r.text) for r in pages.extract(df).collect()]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_very_long_and_deep_pages(spark):
+    deep = "<div>" * 20_000 + "core" + "</span></i>" * 20_000
+    long = "<article>" + "<p>para graph</p>" * 40_000 + "</article>"
+    df = spark.createDataFrame([(1, "http://d/1", deep), (2, "http://d/2", long)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in pages.extract(df).collect()}
+    assert got[1] == "core" and got[2] == "\n".join(["para graph"] * 40_000)
+
+
 # --- op 7 -----------------------------------------------------------------------------------------------------------
 
 
