@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column_lists, cut, forget, read
+from .common import annotate, cut, read
 from .components import components
 
 #: Bits that one level of prefixes has, and the fingerprints that may meet in one prefix.
@@ -49,16 +49,14 @@ def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
 
 
-def fingerprints(documents: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+def fingerprints(documents: DataFrame, words: int = 4, seed: int = 42, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, the columns named in keep, fp): fp is the fingerprint as a signed long. Texts are read whole, however long."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget()
-        for ids, texts in column_lists(batches, "doc_id", "text"):
-            fps = np.fromiter((fingerprint(t, words, seed) for t in texts), np.uint64, len(texts)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fps)], ["doc_id", "fp"])
+    def make(texts: list[str | None]) -> list[pa.Array]:
+        return [pa.array(np.fromiter((fingerprint(t, words, seed) for t in texts), np.uint64, len(texts)).view(np.int64))]
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    rows = documents.select(F.col("doc_id").cast("long"), *keep, F.col("text").cast("string").alias("_text"))
+    return annotate(rows, ["_text"], {"fp": "long"}, make, rows=2000).drop("_text")
 
 
 def _flips(bits: int, n: int, low: int = 0) -> np.ndarray:
@@ -139,34 +137,34 @@ def links(nodes: DataFrame, distance: int = 4) -> DataFrame:
     rows = _spread(nodes.select("fp", "first", F.lit(0).alias("used"), F.lit(0).cast("long").alias("prefix")), 0, radius)
     out, depth = None, STEP
     while True:
-        hot = rows.groupBy("prefix").count().where(F.col("count") > MOST).select("prefix") if depth < 56 else None
-        if hot is not None:
-            hot = cut(hot, "hot-prefixes")
-            if hot.isEmpty():
-                hot = None
+        hot = cut(rows.groupBy("prefix").count().where(F.col("count") > MOST).select("prefix"), "hot-prefixes") if depth < 56 else None
+        if hot is not None and hot.isEmpty():
+            hot = None
         here = rows if hot is None else rows.join(hot, "prefix", "left_anti")
         found = here.groupBy("prefix").applyInArrow(_meet(depth, radius), "a long, b long")
-        out = found if out is None else out.unionByName(found)
         if hot is None:
-            return out
-        rows = _spread(rows.join(hot, "prefix", "left_semi"), depth, radius)
+            return found if out is None else out.unionByName(found)
+        # both are written, so that no level makes those above it once more
+        out = cut(found if out is None else out.unionByName(found), "simhash-pairs")
+        rows = _spread(cut(rows.join(hot, "prefix", "left_semi"), "hot-variants"), depth, radius)
         depth += STEP
 
 
-def near_duplicates(documents: DataFrame, words: int = 4, distance: int = 4, seed: int = 42) -> DataFrame:
-    """For each row of documents (doc_id, text): fp (signed long) and component_id, the least doc_id reachable over
-    fingerprints that differ in at most `distance` bits.
+def near_duplicates(documents: DataFrame, words: int = 4, distance: int = 4, seed: int = 42, keep: tuple[str, ...] = ()) -> DataFrame:
+    """For each row of documents (doc_id, text): the columns named in keep, fp (signed long) and component_id, the least doc_id
+    reachable over fingerprints that differ in at most `distance` bits.
 
-    Null, empty and blank texts have fingerprint 0 and are linked like any other. Rows with one fingerprint are one node,
-    whatever their number; repeated doc_ids keep all their rows. Rows with a null doc_id link nothing; they get the component
-    of their own fingerprint, or null if no other row has it. An empty table gives no rows.
+    Null, empty and blank texts have fingerprint 0 and are linked like any other; very long texts are read whole. Rows with one
+    fingerprint are one node, whatever their number; repeated doc_ids keep all their rows. Rows with a null doc_id link nothing;
+    they get the component of their own fingerprint, or null if no other row has it. Columns not named in keep are not
+    looked at, whatever their names. An empty table gives no rows.
     """
-    each = cut(fingerprints(documents, words, seed), "fingerprints")
+    each = cut(fingerprints(documents, words, seed, keep), "fingerprints")
     nodes = cut(each.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     # a document may have two rows with two texts, so that its id names two fingerprints: they are one node of the graph
     found = components(links(nodes.select("fp", F.col("least").alias("first")), distance), "simhash-links")
     known = nodes.join(found.withColumnRenamed("node", "least"), "least", "left").select("fp", F.coalesce("root", "least").alias("component_id"))
-    return each.join(known, "fp", "left").select("doc_id", "fp", "component_id")
+    return each.join(known, "fp", "left").select("doc_id", *keep, "fp", "component_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
