@@ -18,12 +18,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import annotate, column_lists, cut, forget, read
 
 LEAST_CHARS = 10
+#: Tasks whose slabs are merged by one group at each level of the tree; the last level merges what is left.
+MERGED = (64, 64 * 64)
 BLANKS = " \t\n\r\x0b\x0c"
 #: Bits of a slab, bits for each line, probes of a line, most bits of one filter (64 MB).
 SLAB, PER_LINE, PROBES, MOST_BITS = 1 << 20, 16, 4, 1 << 29
@@ -50,6 +53,7 @@ def _document_hashes(text: str | None) -> set[int]:
 def _fill(slabs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
+        task = TaskContext.get().partitionId()
         known: list[np.ndarray] = []
         for (texts,) in column_lists(batches, "text"):
             for t in texts:
@@ -71,7 +75,7 @@ def _fill(slabs: int):
             bits[0][probes[part].ravel()] = True
             bits[1][probes[part][counts[part] > 1].ravel()] = True
             once, twice = (zlib.compress(np.packbits(x).tobytes(), 1) for x in bits)
-            yield pa.RecordBatch.from_pydict({"slab": [s], "salt": [int(hashes[0] % np.uint64(32))], "once": [once], "twice": [twice]}, pa.schema([("slab", pa.int32()), ("salt", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())]))
+            yield pa.RecordBatch.from_pydict({"slab": [s], "salt": [task], "once": [once], "twice": [twice]}, pa.schema([("slab", pa.int32()), ("salt", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())]))
 
     return run
 
@@ -83,7 +87,7 @@ def _merge(table: pa.Table) -> pa.Table:
         a, b = (np.frombuffer(zlib.decompress(x.as_py()), np.uint8) for x in (a, b))
         twice |= b | (once & a)
         once |= a
-    out = {"slab": [table.column("slab")[0].as_py()], "salt": [0], "once": [zlib.compress(once.tobytes(), 1)], "twice": [zlib.compress(twice.tobytes(), 1)]}
+    out = {"slab": [table.column("slab")[0].as_py()], "salt": [table.column("salt")[0].as_py()], "once": [zlib.compress(once.tobytes(), 1)], "twice": [zlib.compress(twice.tobytes(), 1)]}
     return pa.table(out, schema=pa.schema([("slab", pa.int32()), ("salt", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())]))
 
 
@@ -98,7 +102,10 @@ def twice_seen(documents: DataFrame) -> dict[int, bytes]:
     while bits < min(PER_LINE * lines, MOST_BITS):
         bits *= 2
     filled = documents.select(F.col("text").cast("string")).mapInArrow(_fill(bits // SLAB), _SLABS)
-    merged = filled.groupBy("slab", "salt").applyInArrow(_merge, _SLABS).groupBy("slab").applyInArrow(_merge, _SLABS)
+    merged = filled
+    for tasks in MERGED:  # a tree: no group has more than so many tasks' slabs
+        merged = merged.groupBy("slab", F.floor(F.col("salt") / tasks).alias("group")).applyInArrow(_merge, _SLABS)
+    merged = merged.groupBy("slab").applyInArrow(_merge, _SLABS)
     return {"slabs": bits // SLAB} | {r.slab: bytes(r.twice) for r in merged.select("slab", "twice").collect()}
 
 
@@ -111,18 +118,19 @@ def _suspects(twice):
         for s, x in held.items():
             if s != "slabs":
                 bits[s] = np.frombuffer(zlib.decompress(x), np.uint8)
-        for ids, texts in column_lists(batches, "doc_id", "text", rows=500):
-            keys, owner = [], []
-            for i, t in zip(ids, texts, strict=True):
+        for ids, texts, rows in column_lists(batches, "doc_id", "text", "row", rows=500):
+            keys, owner, row = [], [], []
+            for i, t, r in zip(ids, texts, rows, strict=True):
                 found = {k for x in (t or "").split("\n") if (k := line_key(x)) is not None}
                 keys += found
                 owner += [i] * len(found)
+                row += [r] * len(found)
             if not keys:
                 continue
             slab, probes = _probes(np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys)), slabs)
             seen = ((bits[slab[:, None], probes >> 3] >> (7 - (probes & 7)).astype(np.uint8)) & 1).all(1)
             at = np.nonzero(seen)[0].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(keys[i]).digest() for i in at], pa.binary()), pa.array([owner[i] for i in at], pa.int64())], ["line", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(keys[i]).digest() for i in at], pa.binary()), pa.array([owner[i] for i in at], pa.int64()), pa.array([row[i] for i in at], pa.int64())], ["line", "doc_id", "row"])
 
     return run
 
@@ -151,15 +159,17 @@ def drop_repeated_lines(documents: DataFrame, keep: tuple[str, ...] = ()) -> Dat
     empty table gives no rows.
     """
     spark = documents.sparkSession
-    docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    # rows without an id are told apart by their texts, so that they are no one group
+    row = F.when(F.col("doc_id").isNull(), F.xxhash64(F.col("text").cast("string"))).otherwise(F.lit(0))
+    docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), row.alias("row"))
     twice = spark.sparkContext.broadcast(twice_seen(docs))
-    suspects = cut(docs.mapInArrow(_suspects(twice), "line binary, doc_id long"), "suspected-lines")
+    suspects = cut(docs.mapInArrow(_suspects(twice), "line binary, doc_id long, row long"), "suspected-lines")
     repeated = suspects.groupBy("line").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("unnamed"))
     # written, so that the join below deals both sides anew and can split a line that very many documents have
     repeated = cut(repeated.where("first < last or (unnamed and first is not null)").select("line", "first"), "repeated-lines")
-    drops = suspects.join(repeated, "line").where("doc_id is null or doc_id > first").groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
-    rows = documents.select(F.col("doc_id").cast("long"), *keep, F.col("text").cast("string").alias("_text"))
-    rows = rows.join(drops.select(F.col("doc_id").alias("_of"), F.col("lines").alias("_lines")), F.col("doc_id").eqNullSafe(F.col("_of")), "left").drop("_of")
+    drops = suspects.join(repeated, "line").where("doc_id is null or doc_id > first").groupBy("doc_id", "row").agg(F.collect_set("line").alias("lines"))
+    rows = documents.select(F.col("doc_id").cast("long"), *keep, F.col("text").cast("string").alias("_text"), row.alias("_row"))
+    rows = rows.join(drops.select(F.col("doc_id").alias("_of"), F.col("row").alias("_of_row"), F.col("lines").alias("_lines")), F.col("doc_id").eqNullSafe(F.col("_of")) & (F.col("_row") == F.col("_of_row")), "left").drop("_of", "_of_row", "_row")
     return annotate(rows, ["_text", "_lines"], {"kept": "string", "n_lines": "long", "n_dropped": "long"}, _drop).drop("_text", "_lines")
 
 
