@@ -19,9 +19,11 @@ BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only a session that names none, as in tests, gets a local one."""
+    """The folder that driver and executors share. Only a local session that names none, as in tests, gets a local one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="canopyforge-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -47,6 +47,8 @@ RULES = BASE + MORE
 #: Most strings that a part of an expression is spelled out to, and most candidates that are broadcast.
 MOST_STRINGS, MOST_BROADCAST = 64, 500_000
 MARK, OTHER = "\u0001", "\u0002"
+#: Parts of a text that are added up at once: an even number.
+AT_ONCE = 512
 
 # A query is True (any text), a trigram, or ("and" | "or", frozenset of queries).
 
@@ -170,10 +172,17 @@ def candidates(index: DataFrame, queries: dict[str, object]) -> DataFrame:
     return have.select("digest", kinds.alias("kinds")).where(F.size("kinds") > 0)
 
 
-def _spans(text: Column, order: int, rule: Rule) -> Column:
-    """Spans of a rule's matches in a text without marks: each match is put between marks, and lengths add up to places."""
-    marked = F.regexp_replace(text, rule.pattern, f"{MARK}$0{MARK}")
-    empty = F.array().cast("array<struct<start:int,order:int,kind:string,end:int>>")
+_SPAN = "struct<start:int,order:int,kind:string,end:int>"
+
+
+def _parts(text: Column, rule: Rule) -> Column:
+    """A text without marks, cut at a rule's matches: every second part is one."""
+    return F.split(F.regexp_replace(text, rule.pattern, f"{MARK}$0{MARK}"), MARK)
+
+
+def _spans(parts: Column, order: int, rule: Rule) -> Column:
+    """Spans of a rule's matches: lengths of parts add up to places. They are added up `AT_ONCE` at a time, so that a text of
+    very many matches copies no long arrays over and over."""
 
     def add(state: Column, part: Column) -> Column:
         end = state["at"] + F.length(part)
@@ -181,8 +190,12 @@ def _spans(text: Column, order: int, rule: Rule) -> Column:
         span = F.array(F.struct(state["at"].alias("start"), F.lit(order).alias("order"), F.lit(rule.kind).alias("kind"), end.alias("end")))
         return F.struct(end.alias("at"), (~state["match"]).alias("match"), F.when(state["match"] & good, F.concat(state["found"], span)).otherwise(state["found"]).alias("found"))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("match"), empty.alias("found"))
-    return F.aggregate(F.split(marked, MARK), start, add, lambda s: s["found"])
+    def add_some(state: Column, first: Column) -> Column:
+        start = F.struct(state["at"].alias("at"), F.lit(False).alias("match"), F.array().cast(f"array<{_SPAN}>").alias("found"))
+        return F.aggregate(F.slice(parts, first, AT_ONCE), start, add, lambda s: F.struct(s["at"].alias("at"), F.concat(state["found"], F.array(s["found"])).alias("found")))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{_SPAN}>>").alias("found"))
+    return F.flatten(F.aggregate(F.sequence(F.lit(1), F.size(parts), F.lit(AT_ONCE)), start, add_some, lambda s: s["found"]))
 
 
 def find_secrets(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -204,8 +217,10 @@ def find_secrets(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataF
     else:
         docs = docs.withColumn("kinds", F.array().cast("array<string>"))
     docs = docs.select("doc_id", "kinds", F.replace("text", F.lit(MARK), F.lit(OTHER)).alias("text"))
-    none = F.array().cast("array<struct<start:int,order:int,kind:string,end:int>>")
-    spans = [F.when(F.array_contains("kinds", r.kind), _spans(F.col("text"), i, r)).otherwise(none) if r.kind in indexed else _spans(F.col("text"), i, r) for i, r in enumerate(rules)]
+    # parts are columns of their own, so that they are made once for each text and rule
+    docs = docs.select("doc_id", *[(F.when(F.array_contains("kinds", r.kind), _parts(F.col("text"), r)) if r.kind in indexed else _parts(F.col("text"), r)).alias(f"parts{i}") for i, r in enumerate(rules)])
+    none = F.array().cast(f"array<{_SPAN}>")
+    spans = [F.coalesce(F.when(F.size(f"parts{i}") > 1, _spans(F.col(f"parts{i}"), i, r)), none) for i, r in enumerate(rules)]
     return docs.select("doc_id", F.sort_array(F.concat(*spans)).alias("spans"))
 
 
