@@ -609,6 +609,12 @@ def test_secrets_equal_brute_force(spark):
     assert secretscan.find_secrets(docs(spark, [])).count() == 0
 
 
+def test_secrets_of_a_text_with_very_many(spark):
+    text = "token=abcdefghijkl0 deadbeefdeadbeef " * 3_000
+    spans = secretscan.find_secrets(docs(spark, [(1, text)])).first().spans
+    assert len(spans) >= 6_000 and [(s.kind, s.start, s.end) for s in spans if s.kind == "hex"] == [("hex", 37 * i + 20, 37 * i + 36) for i in range(3_000)]
+
+
 def test_trigram_queries():
     q = secretscan.trigram_query
     assert q("[0-9a-f]{16,}") is True and q("ab") is True

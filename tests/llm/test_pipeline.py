@@ -66,6 +66,15 @@ def test_odd_rows_pass_every_stage(spark, data):
     assert cp.as_pieces(spark, docs, data).count() == len(left)
 
 
+def test_one_id_with_several_texts_loses_only_copies(spark, data):
+    rnd = random.Random(2)
+    text = lambda: " ".join(f"q{rnd.randrange(3000)}" for _ in range(200))
+    a, b = text(), text()
+    docs = _docs(spark, [(1, a), (2, a), (2, b), (2, b), (None, a), (None, None)])
+    kept = sorted(((r.doc_id, r.text) for r in cp.one_of_near_copies(spark, docs, data).collect()), key=repr)
+    assert kept == sorted([(1, a), (2, b), (2, b), (None, a), (None, None)], key=repr)
+
+
 def test_empty_documents(spark, data):
     docs = _docs(spark, []).limit(0)
     for _, stage in cp.STAGES:
