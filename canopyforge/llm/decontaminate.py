@@ -23,8 +23,8 @@ from .common import BETWEEN_WORDS, a_to_z_lower, cut, read
 WINDOW, GRAM = 13, 5
 #: Bits of the table of fingerprints: 16 for each one, within these bounds (256 KB).
 LEAST_BITS, MOST_BITS = 1 << 12, 1 << 21
-#: Most fingerprints, windows or hits that are broadcast; more are joined by a shuffle.
-MOST_BROADCAST = 100_000
+#: Most bytes of fingerprints, windows or hits that are broadcast; more are joined by a shuffle.
+MOST_BROADCAST = 16 << 20
 _NO_SPANS, _NO_ITEMS = "cast(null as array<struct<at:int,end:int>>) as spans", "cast(null as array<string>) as items"
 
 
@@ -55,9 +55,9 @@ def windows_of(benchmark: DataFrame, n: int, whole: bool) -> DataFrame:
     return each.select(F.lit(n).alias("length"), "print", text.alias("window"), "item_id")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """df, whose rows are counted, marked for a broadcast if they are few."""
-    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+def _small(df: DataFrame, size: str) -> DataFrame:
+    """df marked for a broadcast if its rows, of `size` bytes each (SQL), add up to few."""
+    return F.broadcast(df) if (df.agg(F.sum(F.expr(size))).first()[0] or 0) <= MOST_BROADCAST else df
 
 
 def _bit_table(prints: DataFrame) -> tuple[int, str]:
@@ -111,7 +111,8 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, least_share: float
     own = F.array(F.struct(F.lit(0).alias("length"), F.lit(None).cast("long").alias("print"), F.lit(0).alias("at"), F.size("words").alias("n"), F.lit(None).cast("array<string>").alias("covers")))
     held = [F.expr(f"coalesce(transform({c}, r -> named_struct('length', {n}, 'print', r.print, 'at', r.at, 'n', r.n, 'covers', r.covers)), cast(array() as array<struct<length:int,print:bigint,at:int,n:int,covers:array<string>>>))") for c, n in zip(columns, lengths)]
     rows = docs.select("doc_id", "digest", F.explode_outer(F.concat(own, *held)).alias("run")).select("doc_id", "digest", "run.*")
-    rows = cut(rows.withColumn("covers", a_to_z_lower(F.array_join("covers", " "))), "text-runs")
+    rows = rows.withColumn("covers", a_to_z_lower(F.array_join("covers", " ")))
+    rows = cut(rows.withColumn("run", F.when(F.col("length") > 0, F.md5(F.concat_ws(" ", "length", "n", "covers")))), "text-runs")
     parts_of = rows.where("length = 0").selectExpr("doc_id", "digest", "1L as copies", "n as n_words", _NO_SPANS, _NO_ITEMS)
     if wins:
         known = wins[0]
@@ -132,22 +133,21 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, least_share: float
 
 
 def _hits(runs: DataFrame, known: DataFrame) -> DataFrame:
-    """What runs (doc_id, digest, length, print, at, n, covers) hit of known (length, print, window, item_id), by document."""
+    """What runs (doc_id, digest, length, print, at, n, covers, run: a digest of the run) hit of known (length, print, window,
+    item_id), by document."""
     known = cut(known.groupBy("length", "print", "window").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items")).withColumn("of", F.md5(F.array_join("items", ","))), "windows")
     # the join of the fingerprints; a run that many documents have goes on as one
     prints = known.select("length", "print").distinct()
-    different = runs.select("length", "print", "n", "covers").distinct().join(_small(prints), ["length", "print"], "left_semi")
+    different = runs.groupBy("run", "length", "print", "n").agg(F.first("covers").alias("covers")).join(_small(prints, "16"), ["length", "print"], "left_semi")
     # a hit is extended to the windows that its run covers
-    words = F.split("covers", " ")
-    each = different.select("length", "print", "n", "covers", words.alias("words"), F.explode(F.expr("sequence(0, n - 1)")).alias("o"))
-    each = each.select("length", "print", "n", "covers", "o", F.array_join(F.expr("slice(words, o + 1, length)"), " ").alias("window"))
-    verified = each.join(_small(known.select("length", "print", "window", "of")), ["length", "print", "window"])
-    verified = verified.groupBy("length", "print", "n", "covers").agg(F.collect_set("o").alias("offsets"), F.collect_set("of").alias("sets"))
-    verified = cut(verified, "verified-runs")
-    found = runs.join(_small(verified), ["length", "print", "n", "covers"])
+    each = different.select("run", "length", "print", F.split("covers", " ").alias("words"), F.explode(F.expr("sequence(0, n - 1)")).alias("o"))
+    each = each.select("run", "length", "print", "o", F.array_join(F.expr("slice(words, o + 1, length)"), " ").alias("window"))
+    verified = each.join(_small(known.select("length", "print", "window", "of"), "64 + length(window)"), ["length", "print", "window"])
+    verified = cut(verified.groupBy("run").agg(F.collect_set("o").alias("offsets"), F.collect_set("of").alias("sets")), "verified-runs")
+    found = runs.select("doc_id", "digest", "run", "at", "length").join(_small(verified, "64 + 4 * size(offsets) + 40 * size(sets)"), "run")
     spans = found.select("doc_id", "digest", F.transform("offsets", lambda o: F.struct((F.col("at") + o).alias("at"), (F.col("at") + o + F.col("length")).alias("end"))).alias("spans"))
     items_of = known.select("of", "items").dropDuplicates(["of"])
-    items = found.select("doc_id", "digest", F.explode("sets").alias("of")).distinct().join(_small(items_of), "of")
+    items = found.select("doc_id", "digest", F.explode("sets").alias("of")).distinct().join(_small(items_of, "64 + 24 * size(items)"), "of")
     nothing = ["cast(null as bigint) as copies", "cast(null as int) as n_words"]
     return spans.selectExpr("doc_id", "digest", *nothing, "spans", _NO_ITEMS).unionByName(items.selectExpr("doc_id", "digest", *nothing, _NO_SPANS, "items"))
 
