@@ -91,3 +91,64 @@ class Grid:
 
 def bounds_of(df: DataFrame) -> DataFrame:
     return df.agg(F.min("x").alias("xmin"), F.min("y").alias("ymin"), F.max("x").alias("xmax"), F.max("y").alias("ymax"))
+
+
+#: Most different values that are gathered to find a percentile among them.
+MOST_VALUES = 100_000
+
+
+def exact_percentile(df: DataFrame, column: Column | str, q: float) -> float | None:
+    """The linear percentile of a column's values over a whole table, NULL and NaN left out; None if there are none.
+
+    An exact aggregate would hold every different value in one task. Here approximate percentiles bracket the two ranks, the rows
+    outside are counted, and the bracket shrinks until it has few different values; those are gathered with their counts.
+    """
+    v = df.select((F.col(column) if isinstance(column, str) else column).cast("double").alias("v")).where("v is not null and not isnan(v)")
+    n, lo, hi = v.agg(F.count("v"), F.min("v"), F.max("v")).first()
+    if not n:
+        return None
+    rank = q * (n - 1)
+    first, below, inside = int(rank), 0, n
+    last = min(first + 1, n - 1)
+    while lo < hi:
+        rows = v.where(F.col("v").between(lo, hi))
+        if inside <= MOST_VALUES or rows.agg(F.approx_count_distinct("v", 0.02)).first()[0] <= MOST_VALUES:
+            seen, ends = below, []
+            for r in sorted(rows.groupBy("v").count().collect()):
+                ends += [r.v] * ((seen <= first < seen + r["count"]) + (seen <= last < seen + r["count"]))
+                seen += r["count"]
+            lo, hi = ends
+            break
+        at = [max(0.0, (first - below) / inside - 0.002), min(1.0, (last - below) / inside + 0.002)]
+        a, b = rows.agg(F.percentile_approx("v", at, 10_000)).first()[0]
+        under, upto = v.agg(F.count_if(F.col("v") < a), F.count_if(F.col("v") <= b)).first()
+        a, under = (a, under) if under <= first else (lo, below)
+        b, upto = (b, upto) if upto > last else (hi, below + inside)
+        if (a, b) == (lo, hi):  # halve it instead
+            mid = lo + (hi - lo) / 2
+            upto = v.agg(F.count_if(F.col("v") <= mid)).first()[0]
+            if upto > last:
+                b = mid
+            elif upto <= first:
+                a, under, upto = mid, upto, below + inside
+            else:  # the ranks lie on both sides: the greatest below and the least above
+                lo, hi = (x for x in v.agg(F.max(F.when(F.col("v") <= mid, F.col("v"))), F.min(F.when(F.col("v") > mid, F.col("v")))).first())
+                break
+        lo, hi, below, inside = a, b, under, upto - under
+    return lo + (rank - first) * (hi - lo) if hi > lo else lo
+
+
+def numbered(df: DataFrame, by: str, name: str) -> DataFrame:
+    """df with 1, 2, ... in order of a column whose values differ, counted by ranges side by side; a window over all rows would put
+    them into one task. What is gathered is one count a range."""
+    from .storage import written
+
+    rows = written(df.repartitionByRange(by).sortWithinPartitions(by).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_at", 33)
+    counts = sorted(rows.groupBy(part.alias("part")).count().collect())
+    before, offsets = 0, []
+    for r in counts:
+        offsets.append((r.part, before))
+        before += r["count"]
+    starts = F.broadcast(df.sparkSession.createDataFrame(offsets, "_part long, _before long"))
+    return rows.withColumn("_part", part).join(starts, "_part").withColumn(name, (F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).cast("int")).drop("_at", "_part", "_before")

@@ -35,6 +35,8 @@ SENSORS = {
     "ULS": Sensor(0.75, 4, 8, 2.8, 100, 1.0, 0.18, 0.30, 1.5, 0.60, (0.05, 0.60), True, "pitfree", (0, 1, 3, 6, 10, 15), (0.5, 1.5, 0.5, 2.0)),
     "TLS": Sensor(0.35, 4, 10, 2.6, 100, 0.8, 0.10, 0.25, 2.0, 0.20, (0.03, 0.30), False, "p99", (0, 2, 5, 10, 15), (0.25, 0.5, 0.25, 1.0)),
 }
+# Settings of the membrane through classified ground.
+MEMBRANE = Sensor(0.50, 4, 6, 2.8, 60, 1.0, 0.12, 0.25, 0.0, 0.0, (0.05, 0.60), False, "", (), (0.0, 0.0, 0.0, 0.0))
 # Upper bounds of points in an occupied cell, and of points a square metre, with the scale that each stands for.
 BY_COUNT = {
     "ALS": ((10, 1.60), (25, 1.40), (60, 1.20), (160, 1.00), (350, 0.90), (inf, 0.82)),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from canopyforge.functions.points import with_cells
+from canopyforge.functions.points import exact_percentile, with_cells
 
 KEY = ["ix", "iy"]
 
@@ -37,10 +37,11 @@ def candidate_layer(points: DataFrame, cell_m: float, dz: float) -> DataFrame:
 def remove_outliers(points: DataFrame, most: float = 6.0) -> DataFrame:
     """Points whose robust z score, |z - median| / (1.4826 MAD + 1e-12), is at most most; clouds of under 10 points keep all."""
     rows = points.where(F.col("z").isNotNull())
-    mid = rows.agg(F.median("z")).scalar()
-    mad = rows.agg(F.median(F.abs(F.col("z") - mid))).scalar()
-    scored = rows.withColumn("score", F.abs(F.col("z") - mid) / (1.4826 * (mad + 1e-12)))
-    return scored.where((F.col("score") <= most) | (rows.agg(F.count("*")).scalar() < 10))
+    if rows.limit(10).count() < 10:
+        return rows.withColumn("score", F.lit(0.0))
+    mid = exact_percentile(rows, "z", 0.5)
+    mad = exact_percentile(rows, F.abs(F.col("z") - mid), 0.5)
+    return rows.withColumn("score", F.abs(F.col("z") - mid) / (1.4826 * (mad + 1e-12))).where(F.col("score") <= most)
 
 
 def density_stats(points: DataFrame, cell_m: float, area_cells: int | None = None) -> DataFrame:
@@ -103,3 +104,28 @@ def top_m(points: DataFrame, cell_m: float, m: int) -> DataFrame:
 def envelope(layers: DataFrame, greatest: bool) -> DataFrame:
     """Cell-wise greatest or least value over layers (ix, iy, value); a cell missing in some has the others' value."""
     return layers.groupBy(*KEY).agg((F.max if greatest else F.min)("value").alias("value"))
+
+
+def sampled(points: DataFrame, most: int, key: str = "point_id") -> DataFrame:
+    """At most `most` points, those with the least hashes of their key: the same in every run, whatever the partitions."""
+    return points.withColumn("_h", F.xxhash64(key)).orderBy("_h", key).limit(most).drop("_h")
+
+
+def dataset_summary(tiles: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """One row: the tiles, how many hold points (n > 0), and of those the median of each column's finite values."""
+    fine = lambda c: F.when((F.col("n") > 0) & ~F.isnan(F.col(c).cast("double")) & (F.abs(c) < float("inf")), F.col(c).cast("double"))
+    return tiles.agg(F.count("*").alias("tiles"), F.count_if(F.col("n") > 0).alias("occupied_tiles"), *[F.median(fine(c)).alias(f"median_{c}") for c in columns])
+
+
+def stage_summary(records: DataFrame) -> DataFrame:
+    """(stage, status counts, mean seconds) of records (stage, status, seconds)."""
+    status = lambda s: F.count_if(F.col("status") == s).alias(s)
+    return records.groupBy("stage").agg(F.count("*").alias("total"), status("ok"), status("skipped"), status("failed"), F.round(F.avg("seconds"), 6).alias("mean_seconds"))
+
+
+def metrics(structure: DataFrame, wanted: tuple[str, ...] = ()) -> DataFrame:
+    """The cells' metrics that are wanted, all by default; an unknown name raises."""
+    known = [c for c in structure.columns if c not in KEY]
+    if unknown := set(wanted) - set(known):
+        raise ValueError(f"unknown metrics {sorted(unknown)}; there are {known}")
+    return structure.select(*KEY, *(c for c in known if not wanted or c in wanted))

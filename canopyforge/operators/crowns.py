@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from canopyforge.functions.storage import written
+
+from .lookup import _blocks, _extent, rounds
+
 
 def inside(ring: Column, x: Column, y: Column) -> Column:
     """Is (x, y) in the ring, an array of (x, y) structs whose last joins its first? By the parity of edges to its right."""
@@ -37,34 +41,27 @@ def assign(points: DataFrame, crowns: DataFrame, cell: float, rectangles: bool =
 
 
 def nearest_crown(points: DataFrame, crowns: DataFrame, cell: float, key: str = "point_id") -> DataFrame:
-    """(key, crown_id) of the crown with the nearest centre (cx, cy), ties to the smaller id; by growing squares of cells."""
-    p = points.select(key, "x", "y", F.floor(F.col("x") / cell).cast("int").alias("px"), F.floor(F.col("y") / cell).cast("int").alias("py"))
-    c = crowns.select("crown_id", "cx", "cy", F.floor(F.col("cx") / cell).cast("int").alias("gx"), F.floor(F.col("cy") / cell).cast("int").alias("gy"))
-    ends = c.agg(F.min("gx"), F.max("gx"), F.min("gy"), F.max("gy")).first()
-    far = p.agg(F.min("px"), F.max("px"), F.min("py"), F.max("py")).first()
-    if ends[0] is None or far[0] is None:
+    """(key, crown_id) of the crown with the nearest centre (cx, cy), ties to the smaller id; by growing blocks, from `cell` on."""
+    c = crowns.select("crown_id", "cx", "cy")
+    p = points.select(key, F.col("x").alias("px"), F.col("y").alias("py"))
+    whole = _extent((p, "px", "py"), (c, "cx", "cy"))
+    if whole is None:
         return points.select(key, F.lit(None).cast("int").alias("crown_id")).limit(0)
-    whole = max(abs(a - b) for a in ends for b in far) + 1
-    reach, left, found = min(1, whole), p, None
-    while True:
-        span = F.sequence(F.lit(-reach), F.lit(reach))
-        wide = c.withColumn("dx", F.explode(span)).withColumn("dy", F.explode(span)).select("crown_id", "cx", "cy", (F.col("gx") + F.col("dx")).alias("px"), (F.col("gy") + F.col("dy")).alias("py"))
-        d2 = (F.col("x") - F.col("cx")) * (F.col("x") - F.col("cx")) + (F.col("y") - F.col("cy")) * (F.col("y") - F.col("cy"))
-        best = left.join(wide, ["px", "py"]).groupBy(key).agg(F.min(F.struct(d2.alias("d2"), "crown_id")).alias("b"))
-        done = best.where((F.sqrt("b.d2") <= reach * cell) | F.lit(reach >= whole)).select(key, F.col("b.crown_id").alias("crown_id"))
-        found = done if found is None else found.unionByName(done)
-        if reach >= whole:
-            return found
-        left = left.join(done, key, "left_anti")
-        if left.isEmpty():
-            return found
-        reach = min(whole, 4 * reach)
+
+    def search(left: DataFrame, size: float, last: bool) -> DataFrame:
+        # centres go to the nine blocks around theirs, as they are the fewer
+        near = _blocks(left, size, "px", "py").join(_blocks(c, size, "cx", "cy", True), ["bx", "by"])
+        ex, ey = F.col("px") - F.col("cx"), F.col("py") - F.col("cy")
+        best = near.groupBy(key).agg(F.min(F.struct((ex * ex + ey * ey).alias("d2"), "crown_id")).alias("b"))
+        return best.where((F.sqrt("b.d2") <= size) | F.lit(last)).select(key, F.col("b.crown_id").alias("crown_id"))
+
+    return rounds(written(p, "nearest-points"), [key], cell, whole, search, [key, "crown_id"])
 
 
 def segment(points: DataFrame, crowns: DataFrame, cell: float, least_height: float, rectangles: bool = False, key: str = "point_id") -> DataFrame:
     """points of least_height and more with their crown: the smallest that holds them, else the one with the nearest centre."""
     high = points.where(F.col("height") >= least_height)
-    got = assign(high, crowns, cell, rectangles, key)
+    got = written(assign(high, crowns, cell, rectangles, key), "crown-points")
     rest = nearest_crown(got.where("crown_id is null"), crowns, cell, key).withColumnRenamed("crown_id", "near")
     return got.join(rest, key, "left").withColumn("how", F.when(F.col("crown_id").isNotNull(), "inside").otherwise("nearest")).withColumn("crown_id", F.coalesce("crown_id", "near")).drop("near")
 

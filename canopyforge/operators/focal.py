@@ -92,3 +92,19 @@ def fill_local(cells: DataFrame, holes: DataFrame, radius: int, how: str, least:
 def fix_pits(cells: DataFrame, threshold: float, radius: int = 1) -> DataFrame:
     """Values further than threshold below the median of their window become that median."""
     return focal(cells, radius, F.median("value"), "mid").select(*KEY, F.when(F.col("value") < F.col("mid") - threshold, F.col("mid")).otherwise(F.col("value")).alias("value"))
+
+
+def mean_repeated(cells: DataFrame, ends: tuple[int, int, int, int], radius: int = 1) -> DataFrame:
+    """(ix, iy, value): the mean of every cell's window over the extent (least and greatest ix, iy), edges repeated beyond it; cells
+    without a value don't count, and windows without any have none."""
+    x0, x1, y0, y1 = ends
+
+    def reach(v: str, lo: int, hi: int) -> Column:
+        # a cell on the edge stands for those beyond it, too
+        targets = F.sequence(F.greatest(F.lit(lo), F.col(v) - radius), F.least(F.lit(hi), F.col(v) + radius))
+        times = lambda t: F.lit(1) + F.when(F.col(v) == lo, F.greatest(F.lit(0), F.lit(lo + radius) - t)).otherwise(0) + F.when(F.col(v) == hi, F.greatest(F.lit(0), t - F.lit(hi - radius))).otherwise(0)
+        return F.transform(targets, lambda t: F.struct(t.alias("at"), times(t).alias("n")))
+
+    wide = cells.where("value is not null").withColumn("a", F.explode(reach("ix", x0, x1))).withColumn("b", F.explode(reach("iy", y0, y1)))
+    n = F.col("a.n") * F.col("b.n")
+    return wide.groupBy(F.col("a.at").alias("ix"), F.col("b.at").alias("iy")).agg((F.sum(F.col("value") * n) / F.sum(n)).alias("value"))

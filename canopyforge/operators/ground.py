@@ -3,16 +3,18 @@ ground in voids and removal of false ground."""
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canopyforge.functions.points import with_cells
-from canopyforge.functions.sensors import Sensor, settings
+from canopyforge.functions.points import exact_percentile, with_cells
+from canopyforge.functions.sensors import MEMBRANE, Sensor, adapted, scale, settings
 from canopyforge.functions.storage import written
 
 from . import kernels
-from .cells import candidate_layer
+from .cells import candidate_layer, density_stats
 from .focal import dilate, robust_vote, smooth, spread
 from .lookup import bilinear
 from .regions import components
@@ -44,13 +46,42 @@ def _filled(surface: DataFrame, rounds: int) -> DataFrame:
     return made.join(holes, ["col", "row"], "left_semi").select(F.col("col").alias("ix"), F.col("row").alias("iy"), "value")
 
 
-def ground_surface(candidates: DataFrame, s: Sensor) -> DataFrame:
-    """(ix, iy, value) of the voted ground surface at s.vote_cell_m."""
-    swept = written(swept_surface(candidates, s.vote_cell_m), "swept-surface")
-    voted = robust_vote(swept, s.vote_radius, s.vote_most_z, s.vote_least_cells, s.mad_floor).select(*KEY, "value")
+def lowest_surface(points: DataFrame, cell_m: float) -> DataFrame:
+    """(ix, iy, value): the lowest z of each cell, with which terrestrial scans start."""
+    return with_cells(points, cell_m).groupBy(*KEY).agg(F.min("z").alias("value"))
+
+
+def ground_surface(candidates: DataFrame, s: Sensor, sweep: bool = True) -> DataFrame:
+    """(ix, iy, value) of the voted ground surface at s.vote_cell_m; sweep: from four shifted grids, not from one."""
+    first = swept_surface(candidates, s.vote_cell_m) if sweep else lowest_surface(candidates, s.vote_cell_m)
+    return _voted(written(first, "first-surface"), s)
+
+
+def _voted(first: DataFrame, s: Sensor) -> DataFrame:
+    voted = robust_vote(first, s.vote_radius, s.vote_most_z, s.vote_least_cells, s.mad_floor).select(*KEY, "value")
     return smooth(_filled(voted, s.fill_rounds), s.smooth_sigma)
 
 
+def membrane_seeds(points: DataFrame, cell_m: float) -> DataFrame:
+    """(ix, iy, value): the lower quartile of the ground points' z in each cell."""
+    return with_cells(points.where("classification = 2"), cell_m).groupBy(*KEY).agg(F.percentile("z", 0.25).alias("value"))
+
+
+def refine_by_membrane(points: DataFrame, res: float, demote_from: float = 0.06, least_ground: int = 20) -> DataFrame:
+    """points (x, y, z, classification) judged by a membrane through their ground: a surface voted from cells' lower quartiles. What the
+    gate around it holds becomes ground; ground above the gate and more than max(0.08, demote_from) above the membrane does not stay.
+    Clouds of fewer than least_ground ground points are left as they are."""
+    if points.where("classification = 2").limit(least_ground).count() < least_ground:
+        return points
+    s = replace(MEMBRANE, vote_cell_m=max(MEMBRANE.vote_cell_m, res), ground_threshold_m=max(0.10, demote_from))
+    surface = written(_voted(written(membrane_seeds(points, s.vote_cell_m), "membrane-seeds"), s), "membrane")
+    got = _above(points, surface, s)
+    left = F.col("z") - F.col("surface")
+    held = _gated(left, F.col("steep"), s) == 2
+    new = F.when(held, 2).when((F.col("classification") == 2) & (left > max(0.08, demote_from)), 1).otherwise(F.col("classification"))
+    return got.withColumn("classification", new.cast("int")).drop("surface", "steep")
+
+
 def steepness(surface: DataFrame, cell_m: float) -> DataFrame:
     """(ix, iy, value): the magnitude of the surface's gradient."""
     from .terrain import gradients
@@ -59,12 +90,16 @@ def steepness(surface: DataFrame, cell_m: float) -> DataFrame:
     return g.select(F.col("col").alias("ix"), F.col("row").alias("iy"), F.hypot("gx", "gy").alias("value"))
 
 
-def gate(points: DataFrame, surface: DataFrame, s: Sensor, key: str = "point_id") -> DataFrame:
+def _above(points: DataFrame, surface: DataFrame, s: Sensor) -> DataFrame:
+    """points with the surface and its steepness below them, both in one join."""
+    both = surface.select(*KEY, F.col("value").alias("surface")).join(steepness(surface, s.vote_cell_m).withColumnRenamed("value", "steep"), KEY, "full")
+    return bilinear(points, both, s.vote_cell_m, "corner", ("surface", "steep"))
+
+
+def gate(points: DataFrame, surface: DataFrame, s: Sensor) -> DataFrame:
     """points with classification 2 where they lie between twice the threshold below the surface and the threshold above; the threshold grows with
     steepness. Elsewhere, and where the surface is unknown, 1."""
-    got = bilinear(points, surface, s.vote_cell_m, "corner", key).withColumnRenamed("value", "surface")
-    got = bilinear(got, steepness(surface, s.vote_cell_m), s.vote_cell_m, "corner", key).withColumnRenamed("value", "steep")
-    return got.withColumn("classification", _gated(F.col("z") - F.col("surface"), F.col("steep"), s)).drop("surface", "steep")
+    return _above(points, surface, s).withColumn("classification", _gated(F.col("z") - F.col("surface"), F.col("steep"), s)).drop("surface", "steep")
 
 
 def _gated(residual: Column, steep: Column, s: Sensor) -> Column:
@@ -72,24 +107,33 @@ def _gated(residual: Column, steep: Column, s: Sensor) -> Column:
     return F.when((residual <= most) & (residual >= -2 * most), 2).otherwise(1).cast("int")
 
 
-def classify(points: DataFrame, sensor: str = "ALS", key: str = "point_id", s: Sensor | None = None, least_points: int = 1000, least_ground: int = 500) -> DataFrame:
-    """points (key unique, x, y, z) with classification 1 or 2.
+def classify(points: DataFrame, sensor: str = "ALS", s: Sensor | None = None, least_points: int = 1000, least_ground: int = 500) -> DataFrame:
+    """points (x, y, z) with classification 1 or 2; repeated points stay.
 
     Clouds of under least_points are all 1. If fewer than least_ground are found, those up to the twentieth of z are ground.
     """
     s = s or settings(sensor)
-    n = points.count()
-    if n < least_points:
+    if points.limit(least_points).count() < least_points:
         return points.withColumn("classification", F.lit(1))
     low = points if sensor == "TLS" else candidate_layer(points, s.cand_cell_m, s.cand_dz_m)
-    surface = written(ground_surface(low.select("x", "y", "z"), s), "ground-surface")
-    out = written(gate(points.drop("classification"), surface, s, key), "classified")
-    if out.where("classification = 2").count() < least_ground:
-        return out.withColumn("classification", F.when(F.col("z") <= points.agg(F.percentile("z", 0.05)).scalar(), 2).otherwise(1))
-    return recover_in_voids(out, surface, s, key) if s.recover_voids else out
+    surface = written(ground_surface(low.select("x", "y", "z"), s, sensor != "TLS"), "ground-surface")
+    out = written(gate(points.drop("classification"), surface, s), "classified")
+    if out.where("classification = 2").limit(least_ground).count() < least_ground:
+        return out.withColumn("classification", F.when(F.col("z") <= exact_percentile(out, "z", 0.05), 2).otherwise(1))
+    return recover_in_voids(out, surface, s) if s.recover_voids else out
+
+
+def adapted_settings(points: DataFrame, sensor: str, cell_m: float | None = None) -> Sensor:
+    """The sensor's settings scaled by how dense the cloud is: points in an occupied cell, points a square metre."""
+    s = settings(sensor)
+    cell_m = cell_m or s.vote_cell_m
+    stats = density_stats(points, cell_m).select("n_median", (F.col("n_mean") * F.col("occupied") / (F.col("cells") * cell_m * cell_m)).alias("density"), "occupancy")
+    none = F.lit(None).cast("double")
+    found = stats.select(scale(sensor, F.col("n_median"), F.col("density"), none, none, none, none).alias("k")).first()
+    return adapted(sensor, found.k if found and found.k else 1.0)
 
 
-def recover_in_voids(points: DataFrame, surface: DataFrame, s: Sensor, key: str = "point_id", cell_m: float = 2.0, buffer_m: float = 0.5, sizes: tuple[int, int] = (2, 500), least_bank: int = 6, tolerance: float = 0.18, above: float = 0.04, near: float = 0.05) -> DataFrame:
+def recover_in_voids(points: DataFrame, surface: DataFrame, s: Sensor, cell_m: float = 2.0, buffer_m: float = 0.5, sizes: tuple[int, int] = (2, 500), least_bank: int = 6, tolerance: float = 0.18, above: float = 0.04, near: float = 0.05) -> DataFrame:
     """points with ground promoted in voids: connected cells with candidates but no ground, of two to some hundred cells.
 
     The ground cells around a void are its bank, to which a plane is fitted. Cells that are vertically compact take a target, the median of
@@ -159,9 +203,11 @@ def demote_weak(points: DataFrame, cell_m: float = 10.0, count: int = 10, share:
     cells around becomes non-ground."""
     g = with_cells(points, cell_m)
     cells = written(g.where("classification = 2").groupBy(*KEY).agg(F.count("*").alias("n"), (F.max("z") - F.min("z")).alias("range"), F.median("z").alias("mid")), "weak-cells")
-    n_mid, r_mid = cells.agg(F.median("n")).scalar(), cells.agg(F.median("range")).scalar()
-    mad = cells.agg(F.median(F.abs(F.col("range") - r_mid))).scalar()
-    weak = cells.where(((F.col("n") <= count) | (F.col("n") <= share * n_mid)) & (F.col("range") > F.greatest(F.lit(range_m), r_mid + k * 1.4826 * mad)))
+    n_mid, r_mid = exact_percentile(cells, "n", 0.5), exact_percentile(cells, "range", 0.5)
+    if n_mid is None:
+        return points
+    mad = exact_percentile(cells, F.abs(F.col("range") - r_mid), 0.5)
+    weak = cells.where(((F.col("n") <= count) | (F.col("n") <= share * n_mid)) & (F.col("range") > max(range_m, r_mid + k * 1.4826 * mad)))
     named = written(components(weak.select(*KEY), True), "weak-regions")
     rim = spread(named, 1).select(*KEY, "label").distinct().join(named.select(*KEY), KEY, "left_anti").join(cells.where(F.col("n") >= ring), KEY)
     level = rim.groupBy("label").agg(F.count("*").alias("n"), F.median("mid").alias("level")).where("n >= 3")
@@ -170,15 +216,17 @@ def demote_weak(points: DataFrame, cell_m: float = 10.0, count: int = 10, share:
     return got.withColumn("classification", F.when((F.col("z") > F.col("level") + above) & (F.col("classification") == 2), 1).otherwise(F.col("classification")).cast("int")).drop("level", *KEY)
 
 
-def fix_false_ground(points: DataFrame, key: str = "point_id", res: float = 0.25, promote_to: float = 0.0, demote_from: float = 0.06) -> DataFrame:
+def fix_false_ground(points: DataFrame, res: float = 0.25, promote_to: float = 0.0, demote_from: float = 0.06, membrane: bool = True) -> DataFrame:
     """The passes that follow classification: coarse cells, weakly supported regions, then each point's height over the raster of
-    the nearest ground: non-ground up to promote_to becomes ground, ground above demote_from doesn't stay."""
+    the nearest ground: non-ground up to promote_to becomes ground, ground above demote_from doesn't stay; and the membrane through
+    what is ground then."""
     p = written(demote_weak(demote_coarse(points)), "fix-points")
     cells = with_cells(p.where("classification = 2"), res).groupBy(*KEY).agg(F.min("z").alias("value"))
-    got = bilinear(p, cells, res, "centre", key)
+    got = bilinear(p, cells, res, "centre")
     left = F.col("z") - F.col("value")
     new = F.when((F.col("classification") != 2) & (left <= promote_to), 2).when((F.col("classification") == 2) & (left > demote_from), 1).otherwise(F.col("classification"))
-    return got.withColumn("classification", new.cast("int")).drop("value")
+    out = got.withColumn("classification", new.cast("int")).drop("value")
+    return refine_by_membrane(written(out, "core-points"), res, demote_from) if membrane else out
 
 
 def grown_mask(points: DataFrame, cell_m: float, times: int = 1) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from canopyforge.functions.points import finite
+from canopyforge.functions.points import exact_percentile, finite
 from canopyforge.functions.storage import written
 
 
@@ -66,7 +66,12 @@ def statistical_outliers(points: DataFrame, k: int = 20, most: float = 3.0, reac
 
 
 def robust_z(df: DataFrame, column: str, *by: str) -> DataFrame:
-    """df with robust_z: (value - median) / (1.4826 MAD + 1e-12), by group; aggregates joined back, not windows."""
+    """df with robust_z: (value - median) / (1.4826 MAD + 1e-12), by group, or over
+    the whole table; aggregates joined back, not windows."""
+    if not by:
+        mid = exact_percentile(df, column, 0.5)
+        mad = None if mid is None else exact_percentile(df, F.abs(F.col(column) - mid), 0.5)
+        return df.withColumn("robust_z", F.lit(None).cast("double") if mid is None else (F.col(column) - mid) / (1.4826 * mad + 1e-12))
     mid = df.groupBy(*by).agg(F.median(column).alias("_mid"))
     mad = df.join(mid, list(by)).groupBy(*by).agg(F.median(F.abs(F.col(column) - F.col("_mid"))).alias("_mad"))
     return df.join(mid.join(mad, list(by)), list(by)).withColumn("robust_z", (F.col(column) - F.col("_mid")) / (1.4826 * F.col("_mad") + 1e-12)).drop("_mid", "_mad")

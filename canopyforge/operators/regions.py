@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from canopyforge.functions.points import numbered
 from canopyforge.functions.storage import written
 
 KEY = ["ix", "iy"]
@@ -73,9 +74,13 @@ def components(cells: DataFrame, diagonal: bool = True, tile: int = 1024) -> Dat
 def small_holes(valid: DataFrame, most: int = 25, diagonal: bool = True, exclude_edge: bool = True) -> DataFrame:
     """(ix, iy, label) of cells without a value inside the extent of those with one, in components of at most `most` cells;
     exclude_edge: and not touching the extent's border."""
-    ends = valid.agg(F.min("ix").alias("x0"), F.max("ix").alias("x1"), F.min("iy").alias("y0"), F.max("iy").alias("y1"))
-    whole = ends.where("x0 is not null").select("*", F.explode(F.sequence("x0", "x1")).alias("ix")).select("*", F.explode(F.sequence("y0", "y1")).alias("iy"))
-    empty = whole.join(valid.select(*KEY), KEY, "left_anti").withColumn("edge", F.col("ix").isin(F.col("x0"), F.col("x1")) | F.col("iy").isin(F.col("y0"), F.col("y1")))
+    x0, x1, y0, y1 = valid.agg(F.min("ix"), F.max("ix"), F.min("iy"), F.max("iy")).first()
+    if x0 is None:
+        return valid.select(*KEY, F.lit(None).cast("long").alias("label")).limit(0)
+    # columns of cells are dealt over all tasks
+    column = valid.sparkSession.range(x0, x1 + 1).select(F.col("id").cast("int").alias("ix"))
+    whole = column.select("ix", F.explode(F.sequence(F.lit(y0), F.lit(y1))).alias("iy"))
+    empty = whole.join(valid.select(*KEY), KEY, "left_anti").withColumn("edge", F.col("ix").isin(x0, x1) | F.col("iy").isin(y0, y1))
     empty = written(empty.select(*KEY, "edge"), "empty-cells")
     named = components(empty, diagonal).join(empty, KEY)
     size = named.groupBy("label").agg(F.count("*").alias("n"), F.max("edge").alias("edge"))
@@ -104,8 +109,32 @@ def fill_small_voids(cells: DataFrame, how: str = "nearest", most: int = 25, rad
 
 def drop_small(labels: DataFrame, least_cells: int) -> DataFrame:
     """(ix, iy, label) without labels of fewer cells, the rest numbered 1, 2, ... in their order."""
-    from pyspark.sql import Window
-
     kept = labels.groupBy("label").count().where(F.col("count") >= least_cells)
-    numbered = kept.select("label", F.row_number().over(Window.orderBy("label")).cast("int").alias("segment"))
-    return labels.join(numbered, "label").select(*KEY, "segment")
+    return labels.join(numbered(kept.select("label"), "label", "segment"), "label").select(*KEY, "segment")
+
+
+def enclosed(valid: DataFrame, diagonal: bool = False) -> DataFrame:
+    """(ix, iy) of the cells without a value that valid cells enclose, whatever their number."""
+    return small_holes(valid, (1 << 62), diagonal).select(*KEY)
+
+
+def closed(mask: DataFrame, times: int = 1) -> DataFrame:
+    """(ix, iy) of a mask closed by its four neighbours (grown, then shrunk, `times` over) with what it encloses then filled."""
+    from .focal import dilate, spread
+
+    grown = dilate(mask, times)
+    # a cell stays if all cells within the cross around it are in the grown mask
+    whole = 2 * times * (times + 1) + 1
+    kept = spread(grown, times, cross=True).groupBy(*KEY).count().where(F.col("count") == whole).select(*KEY)
+    kept = written(kept.unionByName(mask.select(*KEY)).distinct(), "closed-mask")
+    return kept.unionByName(enclosed(kept))
+
+
+def fill_enclosed(cells: DataFrame, least: float = 0.0) -> DataFrame:
+    """cells (ix, iy, value) with enclosed holes, cells without a value of at least `least`, given the greatest value around them, and
+    cells outside left as they are; cells of a hole that no valid cell touches stay as they are, too."""
+    from .focal import spread
+
+    valid = cells.where(F.col("value") >= least).select(*KEY, "value")
+    top = spread(valid, 1).groupBy(*KEY).agg(F.max("value").alias("top")).join(enclosed(valid), KEY, "left_semi")
+    return cells.select(*KEY, "value").join(top, KEY, "full").select(*KEY, F.coalesce("top", "value").alias("value"))

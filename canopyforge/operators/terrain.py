@@ -7,6 +7,8 @@ from math import cos, hypot, radians, sin
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from canopyforge.functions.points import exact_percentile
+
 KEY = ["col", "row"]
 #: Order in which equal slopes are taken: NW, N, NE, W, E, SW, S, SE.
 NEIGHBOURS = [(-1, -1), (0, -1), (1, -1), (-1, 0), (1, 0), (-1, 1), (0, 1), (1, 1)]
@@ -147,8 +149,8 @@ def channels(acc: DataFrame, res: float) -> DataFrame:
     most = max(50.0, 1000.0 / (res * res)) * res
     high = sca.where(F.col("sca") >= most)
     if high.isEmpty():
-        top = sca.agg(F.percentile("sca", 0.99)).scalar()
-        high = sca.where(F.col("sca") >= top)
+        top = exact_percentile(sca, "sca", 0.99)
+        high = sca.where(F.col("sca") >= top) if top is not None else high
     return high.select(*KEY)
 
 

@@ -139,3 +139,16 @@ def diagnosis(files: DataFrame, cell: float) -> DataFrame:
     pairs = overlaps(files, cell).agg(F.count("*")).scalar()
     share = F.col("area") / F.nullif("extent", F.lit(0.0))
     return one.select("files", "area", "extent", F.round(share, 9).alias("covered"), pairs.alias("overlapping"), (share < 0.98).alias("gaps"))
+
+
+def merge(layers: DataFrame, product: str, tiles: DataFrame | None = None) -> DataFrame:
+    """A product's tiles as one table: points clipped to their tiles' cores, rasters with the first tile's value for each cell (of each
+    variant, where the table has that column). Other products raise."""
+    if product in ("CLASSIFIED", "NORMALIZED", "TREECLOUDS"):
+        if tiles is None:
+            raise ValueError("points are clipped to the cores of tiles")
+        return clip_to_core(layers, tiles)
+    if product not in ("DEM", "DSM", "CHM", "TERRAIN", "STRUCTURE", "CHANGE"):
+        raise ValueError(f"{product} is not merged from tiles")
+    by = ["variant"] if "variant" in layers.columns else []
+    return layers.where("value is not null").groupBy(*by, "col", "row").agg(F.min_by("value", "tile").alias("value"), F.min("tile").alias("tile"))

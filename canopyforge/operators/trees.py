@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from canopyforge.functions.points import numbered
+
 from . import kernels
 from .surface import KEY, per_tile
 
@@ -50,13 +52,11 @@ def detect(canopy: DataFrame, res: float, method: str = "watershed", least_heigh
 def crown_table(crowns: DataFrame, canopy: DataFrame, peaks: DataFrame, res: float, least_area: float = 0.75) -> DataFrame:
     """One row a tree: cells, area, radius of an equal circle, greatest and mean height, peaks inside, and whether several. Crowns of
     under least_area are left out; the rest is numbered from 1 in order of names."""
-    from pyspark.sql import Window
-
     cells = crowns.join(canopy, KEY).join(peaks.select(*KEY, F.lit(1).alias("p")), KEY, "left")
     t = cells.groupBy("tree").agg(F.count("*").alias("area_px"), F.max("value").alias("max_h_m"), F.avg("value").alias("mean_h_m"), F.count("p").alias("pk_count"))
     t = t.where(F.col("area_px") >= ceil(least_area / (res * res)))
     area = F.col("area_px") * (res * res)
-    return t.select(F.row_number().over(Window.orderBy("tree")).cast("int").alias("tree_id"), "tree", "area_px", area.alias("area_m2"), F.sqrt(area / pi).alias("rad_m"), "max_h_m", "mean_h_m", "pk_count", (F.col("pk_count") > 1).alias("multi_apx"))
+    return numbered(t, "tree", "tree_id").select("tree_id", "tree", "area_px", area.alias("area_m2"), F.sqrt(area / pi).alias("rad_m"), "max_h_m", "mean_h_m", "pk_count", (F.col("pk_count") > 1).alias("multi_apx"))
 
 
 def outlines(crowns: DataFrame, res: float, ymax: float, xmin: float = 0.0) -> DataFrame:

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopyforge.functions.points import POINTS_SQL, cell, points, with_cells
-from canopyforge.functions import names, sensors
+from canopyforge.functions import names, sensors, storage
+from canopyforge.functions.points import POINTS_SQL, bounds_of, cell, points, with_cells
 from canopyforge.operators import cells, change, crowns, focal, ground, lookup, outliers, regions, surface, terrain, tiles, trees
+from canopyforge.sources import gtiff, las, layout, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -45,12 +46,12 @@ def _crowns(spark: SparkSession, sf: str) -> DataFrame:
     c = spark.read.parquet(f"{sf}/customer.parquet")
     x, y = (F.col("c_custkey") * 7 % 180) * 0.25, (F.col("c_custkey") * 11 % 176) * 0.25
     w, h = 1 + (F.col("c_custkey") % 5) * 0.5, 1 + (F.col("c_custkey") % 3) * 0.5
-    return c.where("c_custkey <= 400").select(F.col("c_custkey").cast("int").alias("crown_id"), x.alias("xmin"), y.alias("ymin"), (x + w).alias("xmax"), (y + h).alias("ymax"), (w * h).alias("area"), (x + w / 2).alias("cx"), (y + h / 2).alias("cy"))
+    return c.select(F.col("c_custkey").cast("int").alias("crown_id"), x.alias("xmin"), y.alias("ymin"), (x + w).alias("xmax"), (y + h).alias("ymax"), (w * h).alias("area"), (x + w / 2).alias("cx"), (y + h / 2).alias("cy"))
 
 
 CROWNS = """crowns as (select crown_id, x as xmin, y as ymin, x + w as xmax, y + h as ymax, w * h as area, x + w / 2 as cx, y + h / 2 as cy from (
   select c_custkey::int as crown_id, (c_custkey * 7 % 180) * 0.25e0 as x, (c_custkey * 11 % 176) * 0.25e0 as y, 1 + (c_custkey % 5) * 0.5e0 as w, 1 + (c_custkey % 3) * 0.5e0 as h
-  from customer where c_custkey <= 400) t)"""
+  from customer) t)"""
 
 
 def _epochs(spark: SparkSession, sf: str) -> DataFrame:
@@ -202,23 +203,23 @@ _CORNERS = """q as (select *, floor(x/2 - {s})::int as i, floor(y/2 - {s})::int
    from ab left join c c0 on c0.ix = i and c0.iy = j left join c c1 on c1.ix = i+1 and c1.iy = j left join c c2 on c2.ix = i and c2.iy = j+1 left join c c3 on c3.ix = i+1 and c3.iy = j+1)"""
 
 
-@_add("bilinear_corner", f"with {CELLS}, p as (select distinct x, y, z, classification from pts), {_CORNERS.format(s='0')} select x, y, z, classification, round(coalesce(v, v0), 9) as value from v")
+@_add("bilinear_corner", f"with {CELLS}, p as (select x, y, z, classification from pts), {_CORNERS.format(s='0')} select x, y, z, classification, round(coalesce(v, v0), 9) as value from v")
 def _(spark, sf):
-    return lookup.bilinear(_unique(spark, sf), _cells(spark, sf), 2.0, "corner", "key").select("x", "y", "z", "classification", F.round("value", 9).alias("value"))
+    return lookup.bilinear(points(spark, sf), _cells(spark, sf), 2.0, "corner").select("x", "y", "z", "classification", F.round("value", 9).alias("value"))
 
 
-@_add("bilinear_centre", f"with {CELLS}, p as (select distinct x, y, z, classification from pts), {_CORNERS.format(s='0.5e0')} select x, y, z, classification, round(v, 9) as value from v")
+@_add("bilinear_centre", f"with {CELLS}, p as (select x, y, z, classification from pts), {_CORNERS.format(s='0.5e0')} select x, y, z, classification, round(v, 9) as value from v")
 def _(spark, sf):
-    return lookup.bilinear(_unique(spark, sf), _cells(spark, sf), 2.0, "centre", "key").select("x", "y", "z", "classification", F.round("value", 9).alias("value"))
+    return lookup.bilinear(points(spark, sf), _cells(spark, sf), 2.0, "centre").select("x", "y", "z", "classification", F.round("value", 9).alias("value"))
 
 
 _LOW = f"{PTS}, c as (select floor(x/2)::int as ix, floor(y/2)::int as iy, min(z) as value from pts where classification = 2 group by all)"
 
 
-@_add("normalize_heights", f"with {_LOW}, p as (select distinct x, y, z, classification from pts), {_CORNERS.format(s='0.5e0')} select x, y, z, classification, round(case when classification = 2 then 0 else greatest(0, z - coalesce(v, z)) end, 9) as height from v")
+@_add("normalize_heights", f"with {_LOW}, p as (select x, y, z, classification from pts), {_CORNERS.format(s='0.5e0')} select x, y, z, classification, round(case when classification = 2 then 0 else greatest(0, z - coalesce(v, z)) end, 9) as height from v")
 def _(spark, sf):
     low = with_cells(points(spark, sf).where("classification = 2"), 2.0).groupBy("ix", "iy").agg(F.min("z").alias("value"))
-    return lookup.normalize_heights(_unique(spark, sf), low, 2.0, "key").select("x", "y", "z", "classification", F.round("height", 9).alias("height"))
+    return lookup.normalize_heights(points(spark, sf), low, 2.0).select("x", "y", "z", "classification", F.round("height", 9).alias("height"))
 
 
 @_add("idw_k8", f"""with {PTS}, g as (select distinct x, y, z from pts where classification = 2), c as (select distinct floor(x/4)::int as ix, floor(y/4)::int as iy from pts),
@@ -392,6 +393,46 @@ def _(spark, sf):
     return regions.small_holes(_cells(spark, sf).where("value >= 128"), 12, False)
 
 
+_HIGH = _HOLES.replace("value >= 128", "value >= 133")
+
+
+@_add("small_holes_of_high_cells", f"with recursive {CELLS}, {_HIGH.format(label=_LABEL.format(near=_FOUR))} select * from h")
+def _(spark, sf):
+    return regions.small_holes(_cells(spark, sf).where("value >= 133"), 12, False)
+
+
+@_add("fill_holes_of_high_cells", f"""with recursive {CELLS}, {_HIGH.format(label=_LABEL.format(near=_FOUR))}, f as (select h.ix, h.iy, avg(v.value) as value from h join v on abs(v.ix-h.ix) <= 1 and abs(v.iy-h.iy) <= 1 group by 1, 2)
+ select ix, iy, value from v union all select ix, iy, round(value, 9) from f""")
+def _(spark, sf):
+    return regions.fill_small_voids(_cells(spark, sf).where("value >= 133"), "mean", 12, 1, diagonal=False).select("ix", "iy", F.round("value", 9).alias("value"))
+
+
+_ENCLOSED = _HIGH.replace("count(*) <= 12 and ", "")
+
+
+@_add("fill_enclosed", f"""with recursive {CELLS}, {_ENCLOSED.format(label=_LABEL.format(near=_FOUR))}, f as (select h.ix, h.iy, max(v.value) as value from h join v on abs(v.ix-h.ix) <= 1 and abs(v.iy-h.iy) <= 1 group by 1, 2)
+ select ix, iy, coalesce(f.value, c.value) as value from c full join f using (ix, iy)""")
+def _(spark, sf):
+    return regions.fill_enclosed(_cells(spark, sf), 133.0)
+
+
+_CROSS = "(values (0,0),(1,0),(-1,0),(0,1),(0,-1)) n(dx, dy)"
+
+
+@_add("closed_mask", f"""with recursive {PTS}, m0 as (select floor(x/2)::int as ix, floor(y/2)::int as iy from pts group by all having max(z) >= 135), g as (select distinct (ix+dx)::int as ix, (iy+dy)::int as iy from m0, {_CROSS}),
+ v as (select ix, iy from (select ix+dx as ix, iy+dy as iy from g, {_CROSS}) group by 1, 2 having count(*) = 5 union select ix, iy from m0), x as (select min(ix) as x0, max(ix) as x1, min(iy) as y0, max(iy) as y1 from v),
+ m as (select a.ix::int as ix, b.iy::int as iy from x, unnest(range(x0, x1 + 1)) a(ix), unnest(range(y0, y1 + 1)) b(iy) where not exists (select 1 from v where v.ix = a.ix and v.iy = b.iy)),
+ {_LABEL.format(near=_FOUR)}, big as (select label from l, x group by label having not bool_or(ix in (x0, x1) or iy in (y0, y1)))
+ select ix::int as ix, iy::int as iy from v union all select ix, iy from l join big using (label)""")
+def _(spark, sf):
+    return regions.closed(_cells(spark, sf).where("value >= 135").select("ix", "iy"))
+
+
+@_add("segments_of_high_cells", f"with recursive {MASK}, {_LABEL.format(near=_FOUR)}, k as (select label, row_number() over (order by label)::int as segment from l group by label having count(*) >= 3) select ix, iy, segment from l join k using (label)")
+def _(spark, sf):
+    return regions.drop_small(regions.components(_mask(spark, sf), False, tile=8), 3)
+
+
 @_add("fill_small_voids", f"""with recursive {CELLS}, {_HOLES.format(label=_LABEL.format(near=_FOUR))}, f as (select h.ix, h.iy, median(v.value) as value from h join v on abs(v.ix-h.ix) <= 1 and abs(v.iy-h.iy) <= 1 group by 1, 2)
  select ix, iy, value from v union all select ix, iy, value from f""")
 def _(spark, sf):
@@ -552,23 +593,47 @@ def _(spark, sf):
 _POINT = ["x", "y", "z", "classification"]
 
 
-def _cloud(spark: SparkSession, sf: str) -> DataFrame:
-    return _unique(spark, sf).drop("classification")
-
-
 @_add("classify_als")
 def _(spark, sf):
-    return ground.classify(_cloud(spark, sf), "ALS", "key").select(*_POINT)
+    return ground.classify(points(spark, sf).drop("classification"), "ALS").select(*_POINT)
 
 
 @_add("classify_tls")
 def _(spark, sf):
-    return ground.classify(_cloud(spark, sf), "TLS", "key").select(*_POINT)
+    return ground.classify(points(spark, sf).drop("classification"), "TLS").select(*_POINT)
+
+
+@_add("classify_adaptive")
+def _(spark, sf):
+    p = points(spark, sf).drop("classification")
+    return ground.classify(p, "ULS", ground.adapted_settings(p, "ULS")).select(*_POINT)
 
 
 @_add("fix_false_ground")
 def _(spark, sf):
-    return ground.fix_false_ground(_unique(spark, sf), "key", 1.0).select(*_POINT)
+    return ground.fix_false_ground(points(spark, sf), 1.0).select(*_POINT)
+
+
+@_add("lowest_surface", f"with {PTS} select floor(x/0.5e0)::int as ix, floor(y/0.5e0)::int as iy, min(z) as value from pts group by 1, 2")
+def _(spark, sf):
+    return ground.lowest_surface(points(spark, sf), 0.5)
+
+
+_VOTE = """near as (select u.ix, u.iy, b.value from (select distinct a.ix + dx as ix, a.iy + dy as iy from seed a, (select unnest(range(-{r}, {r} + 1))::int as dx) x, (select unnest(range(-{r}, {r} + 1))::int as dy) y) u
+   join seed b on abs(u.ix-b.ix) <= {r} and abs(u.iy-b.iy) <= {r}), m as (select ix, iy, median(value) as mid from near group by 1, 2),
+ d as (select ix, iy, median(abs(value - mid)) as mad from near join m using (ix, iy) group by 1, 2),
+ k as (select ix, iy, value from near join m using (ix, iy) join d using (ix, iy) where abs(value - mid) / (1.4826e0 * greatest(mad, 0.05e0)) <= 2.8)"""
+
+
+@_add("membrane_vote", f"""with {PTS}, seed as (select floor(x)::int as ix, floor(y)::int as iy, quantile_cont(z, 0.25) as value from pts where classification = 2 group by 1, 2), {_VOTE.format(r=4)}
+ select ix, iy, count(*) as n, case when count(*) >= 6 then round(median(value), 9) end as value from k group by 1, 2""")
+def _(spark, sf):
+    return focal.robust_vote(ground.membrane_seeds(points(spark, sf), 1.0), 4, 2.8, 6, 0.05).select("ix", "iy", "n", F.round("value", 9).alias("value"))
+
+
+@_add("membrane_gate")
+def _(spark, sf):
+    return ground.refine_by_membrane(points(spark, sf), 1.0).select(*_POINT)
 
 
 @_add("adaptive_scale", """with t as (select s_suppkey as tile, (s_suppkey * 37 % 400)::double as c, (s_suppkey * 11 % 90)::double as d, (s_suppkey % 10) / 10.0e0 as o from supplier)
@@ -635,6 +700,161 @@ def _files(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("path", F.struct(F.col("x").alias("xmin"), F.col("y").alias("ymin"), (F.col("x") + F.col("w")).alias("xmax"), (F.col("y") + F.col("w")).alias("ymax")).alias("bounds"))
 
 
+# --- summaries, alignment, files ---------------------------------------------------------------------------------------
+
+
+@_add("structure_subset", f"with {PTS}, s as (select floor(x/4)::int as ix, floor(y/4)::int as iy, count(*) as n, max(h) as h_max from pts where h >= 2 group by 1, 2) select ix, iy, h_max from s")
+def _(spark, sf):
+    return cells.metrics(cells.structure_metrics(points(spark, sf), 4.0, 2.0, 10.0, 2.0), ("h_max",))
+
+
+@_add("mean_repeated", f"""with {CELLS}, x as (select min(ix) as x0, max(ix) as x1, min(iy) as y0, max(iy) as y1 from c), o as (select a.dx, b.dy from (values (-1),(0),(1)) a(dx), (values (-1),(0),(1)) b(dy))
+ select a.ix, a.iy, round(avg(b.value), 9) as value from c a, o, x join c b on b.ix = least(x1, greatest(x0, a.ix + dx)) and b.iy = least(y1, greatest(y0, a.iy + dy)) group by 1, 2""")
+def _(spark, sf):
+    c = _cells(spark, sf)
+    ends = c.agg(F.min("ix"), F.max("ix"), F.min("iy"), F.max("iy")).first()
+    return focal.mean_repeated(c, tuple(ends)).select("ix", "iy", F.round("value", 9).alias("value"))
+
+
+@_add("dataset_summary", f"""with {PTS}, t as (select floor(x/8)::int as tx, floor(y/8)::int as ty, count(*) as n, avg(z) as mean_z, max(h) as top from pts group by 1, 2 union all select 99, 99, 0, null, null)
+ select count(*) as tiles, count(*) filter (n > 0) as occupied_tiles, median(n::double) filter (n > 0) as median_n, round(median(mean_z) filter (n > 0), 9) as median_mean_z, median(top) filter (n > 0) as median_top from t""")
+def _(spark, sf):
+    t = points(spark, sf).groupBy(cell("x", 8.0).alias("tx"), cell("y", 8.0).alias("ty")).agg(F.count("*").alias("n"), F.avg("z").alias("mean_z"), F.max("h").alias("top"))
+    t = t.unionByName(spark.sql("select 99 as tx, 99 as ty, 0L as n, cast(null as double) as mean_z, cast(null as double) as top"))
+    out = cells.dataset_summary(t, ("n", "mean_z", "top"))
+    return out.select("tiles", "occupied_tiles", "median_n", F.round("median_mean_z", 9).alias("median_mean_z"), "median_top")
+
+
+@_add("stage_summary", """with r as (select o_orderpriority as stage, case o_orderstatus when 'F' then 'ok' when 'O' then 'skipped' else 'failed' end as status, o_totalprice as seconds from orders)
+ select stage, count(*) as total, count(*) filter (status = 'ok') as ok, count(*) filter (status = 'skipped') as skipped, count(*) filter (status = 'failed') as failed, round(avg(seconds), 4) as mean_seconds from r group by 1""")
+def _(spark, sf):
+    status = F.when(F.col("o_orderstatus") == "F", "ok").when(F.col("o_orderstatus") == "O", "skipped").otherwise("failed")
+    out = cells.stage_summary(spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderpriority").alias("stage"), status.alias("status"), F.col("o_totalprice").alias("seconds")))
+    return out.withColumn("mean_seconds", F.round("mean_seconds", 4))
+
+
+@_add("align_grids", f"""with {CELLS}, r as (select distinct floor(x/3)::int as ix, floor(y/3)::int as iy from pts), p as (select ix, iy, (ix + 0.5e0) * 3 + 0.5e0 as x, (iy + 0.5e0) * 3 - 0.25e0 as y from r),
+ q as (select *, floor(x/2 - 0.5e0)::int as i, floor(y/2 - 0.5e0)::int as j from p), ab as (select *, x/2 - 0.5e0 - i as a, y/2 - 0.5e0 - j as b from q)
+ select ab.ix, ab.iy, round((1-a)*(1-b)*c0.value + a*(1-b)*c1.value + (1-a)*b*c2.value + a*b*c3.value, 9) as value
+ from ab left join c c0 on c0.ix = i and c0.iy = j left join c c1 on c1.ix = i+1 and c1.iy = j left join c c2 on c2.ix = i and c2.iy = j+1 left join c c3 on c3.ix = i+1 and c3.iy = j+1""")
+def _(spark, sf):
+    r = with_cells(points(spark, sf), 3.0).select("ix", "iy").distinct()
+    return lookup.align(_cells(spark, sf), r, 2.0, 3.0, 0.5, -0.25).select("ix", "iy", F.round("value", 9).alias("value"))
+
+
+@_add("align_equal_grids", f"with {CELLS}, r as (select distinct ix, iy from c where ix % 2 = 0) select ix, iy, value from r join c using (ix, iy)")
+def _(spark, sf):
+    c = _cells(spark, sf)
+    return lookup.align(c, c.where("ix % 2 = 0").select("ix", "iy"), 2.0, 2.0)
+
+
+@_add("tile_merge", f"""with {PTS}, t as (select tx, ty from (select unnest(range(0, 4)) as tx) a, (select unnest(range(0, 4)) as ty) b), v as (select 'tile_' || lpad(tx::varchar, 4, '0') || '_' || lpad(ty::varchar, 4, '0') as tile, pts.* from pts join t on x >= tx*16 and x < tx*16+16 and y >= ty*16 and y < ty*16+16)
+ select tile, count(*) as n, min(z) as z_min, max(z) as z_max from v group by 1""")
+def _(spark, sf):
+    plan = tiles.plan((0.0, 0.0, 64.0, 64.0), 16.0, 2.0)
+    wide = tiles.assign(points(spark, sf), 16.0, 2.0)
+    named = wide.withColumn("tile", F.format_string("tile_%04d_%04d", "tx", "ty")).drop("tx", "ty", "is_core")
+    return tiles.merge(named, "CLASSIFIED", tiles.as_table(spark, plan)).groupBy("tile").agg(F.count("*").alias("n"), F.min("z").alias("z_min"), F.max("z").alias("z_max"))
+
+
+@_add("tile_plan", """with e as (select max(s_suppkey % 90)::double + 1 as x1, max(s_suppkey % 70)::double + 1 as y1 from supplier), n as (select *, ceil(x1/30)::int as nx, ceil(y1/30)::int as ny from e),
+ m as (select *, nx - (case when nx > 1 and x1 - (nx-1)*30 < 7.5 then 1 else 0 end) as mx, ny - (case when ny > 1 and y1 - (ny-1)*30 < 7.5 then 1 else 0 end) as my from n)
+ select 'tile_' || lpad(i::varchar, 4, '0') || '_' || lpad(j::varchar, 4, '0') as tile, i * 30.0e0 as xmin, j * 30.0e0 as ymin, case when i = mx - 1 then x1 else (i+1)*30.0e0 end as xmax, case when j = my - 1 then y1 else (j+1)*30.0e0 end as ymax
+ from m, unnest(range(0, mx)) a(i), unnest(range(0, my)) b(j)""")
+def _(spark, sf):
+    e = spark.read.parquet(f"{sf}/supplier.parquet").agg(F.max(F.col("s_suppkey") % 90), F.max(F.col("s_suppkey") % 70)).first()
+    plan = tiles.plan((0.0, 0.0, float(e[0] + 1), float(e[1] + 1)), 30.0, 2.0)
+    return tiles.as_table(spark, plan).select("tile", "core.*")
+
+
+def _las_folder(spark: SparkSession, sf: str) -> str:
+    """The points as one LAS file an epoch; their coordinates are whole multiples of the files' scale."""
+    folder = storage.local_folder(spark, "las")
+    p = points(spark, sf).select("epoch", "x", "y", "z", "classification", "return_number", "number_of_returns", F.col("epoch").alias("tree_id"))
+    las.write_points(p, folder, "epoch", ("tree_id",), 2.0**-8).collect()
+    return f"file://{folder}"
+
+
+@_add("las_round_trip", f"with {PTS} select epoch, x, y, z, classification, return_number, number_of_returns, epoch::bigint as tree_id from pts")
+def _(spark, sf):
+    got = las.read_points(spark, _las_folder(spark, sf), extra="tree_id long")
+    return got.select(names.stem(F.col("path")).cast("int").alias("epoch"), "x", "y", "z", "classification", "return_number", "number_of_returns", "tree_id")
+
+
+@_add("las_headers", f"with {PTS} select epoch, count(*) as points, min(x) as xmin, min(y) as ymin, min(z) as zmin, max(x) as xmax, max(y) as ymax, max(z) as zmax from pts group by 1")
+def _(spark, sf):
+    got = las.read_headers(spark, _las_folder(spark, sf))
+    return got.select(names.stem(F.col("path")).cast("int").alias("epoch"), "points", "xmin", "ymin", "zmin", "xmax", "ymax", "zmax")
+
+
+@_add("gtiff_round_trip", f"with {EPOCHS} select epoch, col, row, v as value from r")
+def _(spark, sf):
+    folder = storage.local_folder(spark, "tif")
+    gtiff.write(_epochs(spark, sf).select("epoch", "col", "row", F.col("v").alias("value")), folder, "epoch", 0.0, 400.0, 4.0).collect()
+    got = gtiff.read(spark, f"file://{folder}")
+    at = lambda v, c: (F.col(c) + F.round(v / F.col("res"))).cast("int")
+    return got.select(names.stem(F.col("path")).cast("int").alias("epoch"), at(F.col("xmin"), "col").alias("col"), at(F.lit(400.0) - F.col("ymax"), "row").alias("row"), "value")
+
+
+@_add("label_raster_round_trip", f"with recursive {MASK}, {_LABEL.format(near=_FOUR)}, k as (select label, row_number() over (order by label)::int as segment from l group by label) select ix, iy, segment::double as segment from l join k using (label)")
+def _(spark, sf):
+    folder = storage.local_folder(spark, "labels")
+    named = regions.drop_small(regions.components(_mask(spark, sf), False, tile=8), 1)
+    gtiff.write(named.select(F.lit("labels").alias("name"), F.col("ix").alias("col"), (F.lit(100) - F.col("iy")).alias("row"), F.col("segment").alias("value")), folder, "name", 0.0, 200.0, 2.0, True).collect()
+    got = gtiff.read(spark, f"file://{folder}").where("value <> 0")
+    return got.select((F.col("col") + F.round(F.col("xmin") / 2)).cast("int").alias("ix"), (100 - F.col("row") - F.round((200 - F.col("ymax")) / 2)).cast("int").alias("iy"), F.col("value").alias("segment"))
+
+
+@_add("features_round_trip", f"with {CROWNS} select crown_id, area, xmin, ymin, xmax, ymax from crowns")
+def _(spark, sf):
+    c = _crowns(spark, sf)
+    corner = lambda x, y: F.array(x, y)
+    ring = F.array(corner("xmin", "ymin"), corner("xmax", "ymin"), corner("xmax", "ymax"), corner("xmin", "ymax"), corner("xmin", "ymin"))
+    geometry = F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates"))
+    feature = F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct("crown_id").alias("properties"))
+    path = f"file://{storage.local_folder(spark, 'features')}"
+    vectors.write_collection(c.select(F.to_json(feature).alias("value")), path)
+    return vectors.read_polygons(spark, path).select("crown_id", "area", "xmin", "ymin", "xmax", "ymax")
+
+
+@_add("manifest_round_trip", "select 'f' || s_suppkey as tile, (s_suppkey * 7 % 40)::double as x, s_nationkey as n from supplier")
+def _(spark, sf):
+    path = f"file://{storage.local_folder(spark, 'manifest')}"
+    t = spark.read.parquet(f"{sf}/supplier.parquet").select(F.concat(F.lit("f"), "s_suppkey").alias("tile"), (F.col("s_suppkey") * 7 % 40).cast("double").alias("x"), F.col("s_nationkey").alias("n"))
+    vectors.write_manifest(t, path)
+    return vectors.read_manifest(spark, path).select("tile", "x", F.col("n").cast("int").alias("n"))
+
+
+@_add("summary_round_trip", f"with {EPOCHS}, {_CHANGE.format(on=_PAIRS['sequential'])} select e1, e2, count(*) as valid_cells, min(delta) as delta_min, max(delta) as delta_max from d group by 1, 2")
+def _(spark, sf):
+    path = f"file://{storage.local_folder(spark, 'summary')}"
+    vectors.write_summary(change.summary(_changes(spark, sf, "sequential"), 16.0), path)
+    kinds = {"e1": "int", "e2": "int", "valid_cells": "long", "delta_min": "double", "delta_max": "double"}
+    return spark.read.option("header", "true").csv(path).select(*[F.col(c).cast(t).alias(c) for c, t in kinds.items()])
+
+
+@_add("crs_fallback", """with h as (select 'f' || s_suppkey as path, case when s_suppkey % 3 = 0 then 'own' || s_suppkey end as own, s_suppkey as k from supplier),
+ o as (select k, case when k % 2 = 0 then 'src' || k end as a, case when k % 5 = 0 then 'src' || (k + 1) end as b from h) select path, coalesce(own, a, b, 'none') as crs from h join o using (k)""")
+def _(spark, sf):
+    k = spark.read.parquet(f"{sf}/supplier.parquet").select(F.col("s_suppkey").alias("k"))
+    headers = k.select(F.concat(F.lit("f"), "k").alias("path"), F.when(F.col("k") % 3 == 0, F.concat(F.lit("own"), "k")).alias("crs_wkt"), F.array(F.concat(F.lit("a"), "k"), F.concat(F.lit("b"), "k")).alias("sources"))
+    a = k.select(F.concat(F.lit("a"), "k").alias("path"), F.when(F.col("k") % 2 == 0, F.concat(F.lit("src"), "k")).alias("crs_wkt"))
+    b = k.select(F.concat(F.lit("b"), "k").alias("path"), F.when(F.col("k") % 5 == 0, F.concat(F.lit("src"), F.col("k") + 1)).alias("crs_wkt"))
+    return layout.crs_of(headers, a.unionByName(b), "none")
+
+
+@_add("point_bounds", f"with {PTS} select min(x) as xmin, min(y) as ymin, max(x) as xmax, max(y) as ymax from pts")
+def _(spark, sf):
+    return bounds_of(points(spark, sf))
+
+
+@_add("peaks_of_segments", f"""with recursive {CELLS}, m as (select ix, iy from c where value >= 133), {_LABEL.format(near=_FOUR)}, k as (select label, row_number() over (order by label)::int as segment from l group by label having count(*) >= 3),
+ f as (select a.ix, a.iy, a.value, max(b.value) as top from c a join c b on abs(a.ix-b.ix) <= 1 and abs(a.iy-b.iy) <= 1 group by all) select segment, count(*) as peaks from k join l using (label) join f using (ix, iy) where value = top and value >= 120 group by 1""")
+def _(spark, sf):
+    named = regions.drop_small(regions.components(_mask(spark, sf), False, tile=8), 3)
+    return crowns.peak_counts(named, focal.local_maxima(_cells(spark, sf), 3, 120.0))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics, candidate points and canopy percentile of every 2 m cell."""
     p = points(spark, sf_dir)

@@ -6,6 +6,8 @@ import argparse
 
 from canopyforge.functions.sensors import SENSORS
 
+from canopyforge.sources import layout
+
 from . import workflow
 
 
@@ -21,6 +23,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--dsm", choices=["min", "max", "mean", "nearest", "tin", "idw", "spikefree"], default="max")
     p.add_argument("--itd", choices=["lmf", "watershed", "yun2021"], default="watershed")
     p.add_argument("--fix", action="store_true", help="remove false ground after classification")
+    p.add_argument("--adaptive", action="store_true", help="let settings follow the cloud's density")
+    p.add_argument("--files", action="store_true", help="write LAS and GeoTIFF files beside the tables")
+    p.add_argument("--from-classified", action="store_true", help="the source is classified; only DEM and NORMALIZED are derived")
     p.add_argument("--not-recursive", action="store_true")
     p.add_argument("--overwrite", action="store_true")
     return p
@@ -33,8 +38,12 @@ def main(argv: list[str] | None = None) -> int:
     workflow.resolve(a.products)
     spark = SparkSession.builder.appName("canopyforge").getOrCreate()
     points = workflow.from_las(spark, a.source, not a.not_recursive)
-    for name, table in workflow.run(spark, points, a.sensor, a.products, a.res, a.canopy, a.fix, a.dem, a.dsm, a.itd).items():
-        table.write.mode("overwrite" if a.overwrite else "errorifexists").parquet(f"{a.target}/{name.lower()}")
+    if a.from_classified:
+        made = workflow.derive(spark, points, ["DEM", "NORMALIZED"] if a.products == ["all"] else a.products, a.res, a.dem)
+    else:
+        made = workflow.run(spark, points.drop("classification"), a.sensor, a.products, a.res, a.canopy, a.fix, a.dem, a.dsm, a.itd, adaptive=a.adaptive)
+    settings = {k: v for k, v in vars(a).items() if k not in ("target", "overwrite", "files", "products")}
+    workflow.save(spark, made, points, layout.output_root(a.source, a.target, a.sensor), a.res, settings, a.overwrite, a.files)
     return 0
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from canopyforge.functions.sensors import settings
 from canopyforge.functions.storage import written
 from canopyforge.operators import cells, change, crowns, ground, lookup, surface, terrain, trees
-from canopyforge.sources import las
+from canopyforge.sources import gtiff, las, layout
 
 # The products, and which others each is made from.
 NEEDS = {
@@ -70,28 +70,24 @@ class CanopySpec:
         return "_".join(own + [f"{k}{v:g}".replace(".", "p") if isinstance(v, float) else f"{k}{v}" for k, v in sorted(self.options.items())])
 
 
-def run(spark: SparkSession, points: DataFrame, sensor: str, products: list[str], res: float = 0.5, canopy: str = "", fix: bool = False, dem: str = "min", dsm: str = "max", itd: str = "watershed", key: str = "point_id") -> dict[str, DataFrame]:
+def run(spark: SparkSession, points: DataFrame, sensor: str, products: list[str], res: float = 0.5, canopy: str = "", fix: bool = False, dem: str = "min", dsm: str = "max", itd: str = "watershed", key: str = "point_id", adaptive: bool = False) -> dict[str, DataFrame]:
     """Each product as a DataFrame by name. Nothing is made that isn't asked for or needed; what several need is written once.
 
-    A failed product raises; there is no partial success.
+    A failed product raises; there is no partial success. adaptive: settings follow the cloud's density.
     """
     s, made = settings(sensor), {}
     wanted = resolve(products)
-    ends = points.agg(F.max("y").alias("ymax"), F.min("x").alias("xmin")).first()
-    if ends.ymax is None:
-        raise ValueError("there are no points")
-    # a grid that snaps to whole cells, so that tiles and epochs share it
-    ymax, xmin = (int(ends.ymax // res) + 1) * res, int(ends.xmin // res) * res
+    ymax, xmin = grid_of(points, res)
     for name in wanted:
         if name == "CLASSIFIED":
-            out = ground.classify(points, sensor, key)
-            made[name] = written(ground.fix_false_ground(out, key) if fix else out, "classified")
+            out = ground.classify(points, sensor, ground.adapted_settings(points, sensor) if adaptive else None)
+            made[name] = written(ground.fix_false_ground(out) if fix else out, "classified")
         elif name == "DEM":
             made[name] = written(surface.elevation_model(made["CLASSIFIED"].where("classification = 2"), res, ymax, xmin, dem), "dem")
         elif name == "NORMALIZED":
             low = made["DEM"].select(F.col("col").alias("ix"), (-F.col("row") - 1).alias("iy"), "value")
             moved = made["CLASSIFIED"].withColumns({"x0": F.col("x"), "y0": F.col("y"), "x": F.col("x") - xmin, "y": F.col("y") - ymax})
-            got = lookup.normalize_heights(moved, low, res, key).drop("x", "y", "value").withColumnsRenamed({"x0": "x", "y0": "y", "height": "h"})
+            got = lookup.normalize_heights(moved, low, res).drop("x", "y", "value").withColumnsRenamed({"x0": "x", "y0": "y", "height": "h"})
             made[name] = written(got, "normalized")
         elif name == "DSM":
             made[name] = surface.surface_model(points, res, ymax, xmin, dsm)
@@ -115,6 +111,46 @@ def run(spark: SparkSession, points: DataFrame, sensor: str, products: list[str]
     return {n: made[n] for n in wanted if n in made} | ({"CROWNS": made["CROWNS"]} if "CROWNS" in made else {})
 
 
+def grid_of(points: DataFrame, res: float) -> tuple[float, float]:
+    """(ymax, xmin) of a grid that snaps to whole cells, so that tiles and epochs share it."""
+    ends = points.agg(F.max("y").alias("ymax"), F.min("x").alias("xmin")).first()
+    if ends.ymax is None:
+        raise ValueError("there are no points")
+    return (int(ends.ymax // res) + 1) * res, int(ends.xmin // res) * res
+
+
+def derive(spark: SparkSession, classified: DataFrame, products: list[str], res: float = 0.5, dem: str = "min") -> dict[str, DataFrame]:
+    """DEM and NORMALIZED from points that are classified already; other products raise."""
+    if unknown := {p.upper() for p in products} - {"DEM", "NORMALIZED"}:
+        raise ValueError(f"{sorted(unknown)} are not derived from classified points")
+    ymax, xmin = grid_of(classified, res)
+    model = written(surface.elevation_model(classified.where("classification = 2"), res, ymax, xmin, dem), "dem")
+    out = {"DEM": model}
+    if "NORMALIZED" in {p.upper() for p in products}:
+        low = model.select(F.col("col").alias("ix"), (-F.col("row") - 1).alias("iy"), "value")
+        moved = classified.withColumns({"x0": F.col("x"), "y0": F.col("y"), "x": F.col("x") - xmin, "y": F.col("y") - ymax})
+        out["NORMALIZED"] = lookup.normalize_heights(moved, low, res).drop("x", "y", "value").withColumnsRenamed({"x0": "x", "y0": "y", "height": "h"})
+    return {p: t for p, t in out.items() if p in {q.upper() for q in products}}
+
+
+def save(spark: SparkSession, tables: dict[str, DataFrame], points: DataFrame, root: str, res: float, settings: dict, overwrite: bool = False, files: bool = False) -> dict[str, int]:
+    """Rows of each product, kept as a table under root; one that is there with the same settings is not made again. files: point
+    products as LAS and rasters as GeoTIFF files, too, one for each tile or column, into folders that executors share."""
+    ymax, xmin = grid_of(points, res)
+    out = {}
+    for name, table in tables.items():
+        kept = layout.keep(table, layout.product_folder(root, name), settings, overwrite)
+        out[name] = kept.count()
+        folder = f"{layout.product_folder(root, name)}-files".removeprefix("file://")
+        if files and {"x", "y", "z"} <= set(kept.columns):
+            las.write_points(kept.withColumn("name", F.lit(name.lower())), folder, "name").collect()
+        elif files and "col" in kept.columns:
+            for value in (c for c in kept.columns if c not in ("col", "row")):
+                rows = kept.select("col", "row", F.col(value).cast("double").alias("value"), F.lit(value).alias("name"))
+                gtiff.write(rows.where("value is not null"), folder, "name", xmin, ymax, res).collect()
+    return out
+
+
 def terrain_products(dem: DataFrame, res: float, products: tuple[str, ...] = TERRAIN, radius: int = 3) -> DataFrame:
     """(col, row, and a column for each product) of an elevation raster (col, row, value)."""
     unknown = set(products) - set(TERRAIN)

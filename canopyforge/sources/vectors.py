@@ -23,6 +23,19 @@ def read_polygons(spark: SparkSession, path: str) -> DataFrame:
     return p.select(F.coalesce(ident, F.col("i") + 1).alias("crown_id"), "ring", area.alias("area"), F.array_min(xs).alias("xmin"), F.array_min(ys).alias("ymin"), F.array_max(xs).alias("xmax"), F.array_max(ys).alias("ymax"), mean(xs).alias("cx"), mean(ys).alias("cy"))
 
 
+def write_collection(features: DataFrame, path: str) -> None:
+    """features (value: a GeoJSON feature) as feature collections, one a file, as many as partitions have features."""
+
+    def whole(batches):
+        import pyarrow as pa
+
+        held = [x for b in batches for x in b.column(0).to_pylist()]
+        if held:
+            yield pa.RecordBatch.from_pydict({"value": ['{"type":"FeatureCollection","features":[' + ",".join(held) + "]}"]})
+
+    features.select("value").mapInArrow(whole, "value string").write.mode("overwrite").text(path)
+
+
 def write_features(features: DataFrame, path: str) -> None:
     """features (value: a GeoJSON feature) as newline-delimited GeoJSON, which any number of tasks can write."""
     features.write.mode("overwrite").text(path)
