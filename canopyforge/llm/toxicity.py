@@ -178,7 +178,8 @@ def _lexicon(texts: list[list[str]], toxic: np.ndarray) -> set[str]:
 def fit(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
     """A model from texts and their labels 0/1; the texts are the bounded sample, so that this runs on the driver."""
     model = Model()
-    words = [[w.lower() for w in WORD.findall(t or "")] for t in texts]
+    same: dict[str, str] = {}  # equal words are one object, so that the sample is small in memory
+    words = [[same.setdefault(w, w) for w in map(str.lower, WORD.findall(t or ""))] for t in texts]
     keep = _different(words)
     words = [w for w, k in zip(words, keep, strict=True) if k]
     toxic = np.array([int(y == 1) for y, k in zip(labels, keep, strict=True) if k], np.int64)
