@@ -246,8 +246,8 @@ def test_outliers_equal_brute_force_whatever_the_distance(spark):
     assert outliers.statistical_outliers(pts.limit(9), 8).count() == 0
 
 
-def _small_cloud(spark, path, n=44):
-    lines = [(1 + i, 1 + i % 7, 1 + i * 53 % 199, 1 + i % 11, 1 + i * 7 % 15, "1995-01-01") for i in range(n)]
+def _small_cloud(spark, path, n=44, quantities=15):
+    lines = [(1 + i, 1 + i % 7, 1 + i * 53 % 199, 1 + i % 11, 1 + i * 7 % quantities, "1995-01-01") for i in range(n)]
     spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity int, l_shipdate string").selectExpr("* except (l_shipdate)", "cast(l_shipdate as date) l_shipdate").write.parquet(f"{path}/lineitem.parquet")
     return catalogue.points(spark, str(path)).select("x", "y", "z", "classification").toPandas()
 
@@ -260,6 +260,29 @@ def test_outlier_query_judges_all_points(spark, tmp_path):
     assert len(want) and sorted(map(tuple, got)) == sorted(map(tuple, want.tolist()))
 
 
+def test_crown_queries_use_all_crowns(spark, tmp_path):
+    """Held against all pairs, without the queries' SQL: crowns 401 to 1,000 take points, too."""
+    _small_cloud(spark, tmp_path, 400, 50)
+    k = np.arange(1, 1001)
+    spark.createDataFrame([(int(i),) for i in k], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    x0, y0, w, h = k * 7 % 180 * 0.25, k * 11 % 176 * 0.25, 1 + k % 5 * 0.5, 1 + k % 3 * 0.5
+    p = np.unique(catalogue.points(spark, str(tmp_path)).select("x", "y", "z", "h").toPandas().to_numpy(), axis=0)
+    x, y = p[:, :1], p[:, 1:2]
+    holds = (x >= x0) & (x <= x0 + w) & (y >= y0) & (y <= y0 + h)
+    smallest = np.lexsort((k, w * h))
+    inside = [next((int(k[c]) for c in smallest if row[c]), None) for row in holds]
+    near = k[np.argmin((x - x0 - w / 2) ** 2 + (y - y0 - h / 2) ** 2, axis=1)]
+    run = lambda name: sorted(map(tuple, catalogue.queries()[name](spark, str(tmp_path)).collect()), key=repr)
+    want = [(*map(float, r), c) for r, c in zip(p, inside)]
+    assert run("crown_of_point") == sorted(want, key=repr)
+    assert run("ring_contains") == sorted((r for r in want if r[0] * 16 % 4 and r[1] * 16 % 4), key=repr)
+    high = [(*r[:4], r[4] or int(n), "inside" if r[4] else "nearest") for r, n in zip(want, near) if r[3] >= 5]
+    assert run("tree_points") == sorted(high, key=repr)
+    assert {r[5] for r in high} == {"inside", "nearest"} and max(r[4] for r in high) > 400
+    left = [r for r in high if r[5] == "nearest"]
+    assert len(run("tree_point_segments")) == len(left)
+
+
 def test_tin_query_has_the_triangles_of_all_ground_points(spark, tmp_path):
     p = _small_cloud(spark, tmp_path)
     assert (p.classification == 2).all()
