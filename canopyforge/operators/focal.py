@@ -84,8 +84,9 @@ def smooth(cells: DataFrame, sigma: float) -> DataFrame:
 def fill_local(cells: DataFrame, holes: DataFrame, radius: int, how: str, least: int = 1, power: float = 2.0) -> DataFrame:
     """Values for holes (ix, iy) from the window around: mean, median, or idw with weights 1/d^power in cells."""
     near = spread(cells.select(*KEY, "value"), radius, centre=False).join(holes.select(*KEY), KEY, "left_semi")
-    d = F.sqrt((F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")).cast("double"))
-    stat = {"mean": F.avg("value"), "median": F.median("value"), "idw": F.sum(F.col("value") / F.pow(d, F.lit(power))) / F.sum(1 / F.pow(d, F.lit(power)))}[how]
+    # whole squares, whose powers are exact where a root's square isn't
+    far = F.pow((F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")).cast("double"), F.lit(power / 2))
+    stat = {"mean": F.avg("value"), "median": F.median("value"), "idw": F.sum(F.col("value") / far) / F.sum(1 / far)}[how]
     return near.groupBy(*KEY).agg(stat.alias("value"), F.count("*").alias("n")).where(F.col("n") >= least).drop("n")
 
 
