@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,30 +22,30 @@ def isolated(points: DataFrame, radius: float, least: int = 2, key: str = "point
     return points.join(crowd, key, "left").where(F.coalesce("near", F.lit(0)) < least).drop("near")
 
 
-def neighbour_distance(points: DataFrame, k: int, reach: float, key: str = "point_id") -> DataFrame:
-    """(key, n, mean_d): the mean distance to the k nearest points, whatever their distance, and how many there were: k, or all others
-    of a smaller cloud. Points without finite coordinates take no part.
+def neighbour_distance(points: DataFrame, k: int, reach: float, key: str = "point_id", axes: str = "xyz") -> DataFrame:
+    """(key, n, mean_d, all_d): the mean distance to the k nearest points, whatever their distance, how many there were (k, or all others
+    of a smaller cloud), and their distances. Points without finite coordinates take no part.
 
-    Each looks at the 27 cells around it; the first size is `reach`, or less where its cells are full. That finds the k nearest only
-    where they are within a cell's size; other points look again with twice the size, until none is left or it covers all.
+    Each looks at the 27 cells around it (9 on two axes); the first size is `reach`, or less where its cells are full. That finds the k
+    nearest only where they are within a cell's size; other points look again with twice the size, until none is left or it covers all.
     """
-    p = written(finite(points.select(key, *(F.col(c).cast("double").alias(c) for c in "xyz")), *"xyz").dropna(subset=list("xyz")), "neighbour-points")
-    ends = p.agg(F.count("*").alias("n"), F.sqrt(sum((F.max(c) - F.min(c)) ** 2 for c in "xyz")).alias("whole")).first()
+    p = written(finite(points.select(key, *(F.col(c).cast("double").alias(c) for c in axes)), *axes).dropna(subset=list(axes)), "neighbour-points")
+    ends = p.agg(F.count("*").alias("n"), F.sqrt(sum((F.max(c) - F.min(c)) ** 2 for c in axes)).alias("whole")).first()
 
     def cell(size: float) -> list[Column]:
-        return [F.floor(F.col(c) / size).cast("long").alias(f"g{c}") for c in "xyz"]
+        return [F.floor(F.col(c) / size).cast("long").alias(f"g{c}") for c in axes]
 
     held = p.select(*cell(reach)).distinct().count()
     reach = reach * min(1.0, (k * held / max(1, ends.n)) ** 0.5)
-    moves = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(m).alias("k")) for i in (-1, 0, 1) for j in (-1, 0, 1) for m in (-1, 0, 1)])
+    moves = F.array(*[F.struct(*(F.lit(v).alias(c) for c, v in zip(axes, m, strict=True))) for m in itertools.product((-1, 0, 1), repeat=len(axes))])
     left, found = p, None
     while True:
-        wide = left.select("*", *cell(reach)).withColumn("m", F.explode(moves)).select(F.col(key).alias("of"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("z").alias("z2"), (F.col("gx") + F.col("m.i")).alias("gx"), (F.col("gy") + F.col("m.j")).alias("gy"), (F.col("gz") + F.col("m.k")).alias("gz"))
-        d = F.sqrt((F.col("x") - F.col("x2")) ** 2 + (F.col("y") - F.col("y2")) ** 2 + (F.col("z") - F.col("z2")) ** 2)
-        near = p.select("*", *cell(reach)).join(wide, ["gx", "gy", "gz"]).where(F.col(key) != F.col("of")).select(F.col("of").alias(key), d.alias("d")).where(F.col("d") <= reach)
+        wide = left.select("*", *cell(reach)).withColumn("m", F.explode(moves)).select(F.col(key).alias("of"), *(F.col(c).alias(f"{c}2") for c in axes), *((F.col(f"g{c}") + F.col(f"m.{c}")).alias(f"g{c}") for c in axes))
+        d = F.sqrt(sum((F.col(c) - F.col(f"{c}2")) ** 2 for c in axes))
+        near = p.select("*", *cell(reach)).join(wide, [f"g{c}" for c in axes]).where(F.col(key) != F.col("of")).select(F.col("of").alias(key), d.alias("d")).where(F.col("d") <= reach)
         ranked = near.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy("d"))).where(F.col("r") <= k)
         last = reach > (ends.whole or 0.0)
-        done = ranked.groupBy(key).agg(F.count("*").alias("n"), F.avg("d").alias("mean_d")).where((F.col("n") >= k) | F.lit(last))
+        done = ranked.groupBy(key).agg(F.count("*").alias("n"), F.avg("d").alias("mean_d"), F.collect_list("d").alias("all_d")).where((F.col("n") >= k) | F.lit(last))
         done = written(done, "neighbour-distances")
         found = done if found is None else found.unionByName(done)
         if last:

@@ -71,16 +71,21 @@ def components(cells: DataFrame, diagonal: bool = True, tile: int = 1024) -> Dat
     return own.join(least.select(F.col("a").alias("own"), "label"), "own", "left").select(*KEY, F.coalesce("label", "own").alias("label"))
 
 
-def small_holes(valid: DataFrame, most: int = 25, diagonal: bool = True, exclude_edge: bool = True) -> DataFrame:
+def small_holes(valid: DataFrame, most: int = 25, diagonal: bool = True, exclude_edge: bool = True, frames: DataFrame | None = None) -> DataFrame:
     """(ix, iy, label) of cells without a value inside the extent of those with one, in components of at most `most` cells;
-    exclude_edge: and not touching the extent's border."""
-    x0, x1, y0, y1 = valid.agg(F.min("ix"), F.max("ix"), F.min("iy"), F.max("iy")).first()
-    if x0 is None:
-        return valid.select(*KEY, F.lit(None).cast("long").alias("label")).limit(0)
-    # columns of cells are dealt over all tasks
-    column = valid.sparkSession.range(x0, x1 + 1).select(F.col("id").cast("int").alias("ix"))
-    whole = column.select("ix", F.explode(F.sequence(F.lit(y0), F.lit(y1))).alias("iy"))
-    empty = whole.join(valid.select(*KEY), KEY, "left_anti").withColumn("edge", F.col("ix").isin(x0, x1) | F.col("iy").isin(y0, y1))
+    exclude_edge: and not touching the extent's border. frames (x0, x1, y0, y1): several extents instead, with a gap between them."""
+    if frames is None:
+        x0, x1, y0, y1 = valid.agg(F.min("ix"), F.max("ix"), F.min("iy"), F.max("iy")).first()
+        if x0 is None:
+            return valid.select(*KEY, F.lit(None).cast("long").alias("label")).limit(0)
+        # columns of cells are dealt over all tasks
+        column = valid.sparkSession.range(x0, x1 + 1).select(F.col("id").cast("int").alias("ix"))
+        column = column.select("ix", *(F.lit(v).alias(n) for n, v in (("x0", x0), ("x1", x1), ("y0", y0), ("y1", y1))))
+    else:
+        column = frames.select("*", F.explode(F.sequence("x0", "x1")).alias("ix")).repartition("ix")
+    whole = column.select("*", F.explode(F.sequence("y0", "y1")).alias("iy"))
+    edge = F.col("ix").isin(F.col("x0"), F.col("x1")) | F.col("iy").isin(F.col("y0"), F.col("y1"))
+    empty = whole.join(valid.select(*KEY), KEY, "left_anti").withColumn("edge", edge)
     empty = written(empty.select(*KEY, "edge"), "empty-cells")
     named = components(empty, diagonal).join(empty, KEY)
     size = named.groupBy("label").agg(F.count("*").alias("n"), F.max("edge").alias("edge"))
@@ -88,18 +93,18 @@ def small_holes(valid: DataFrame, most: int = 25, diagonal: bool = True, exclude
     return named.join(good.select("label"), "label").select(*KEY, "label")
 
 
-def fill_small_voids(cells: DataFrame, how: str = "nearest", most: int = 25, radius: int = 3, least: int = 1, power: float = 2.0, diagonal: bool = True, exclude_edge: bool = True) -> DataFrame:
-    """cells (ix, iy, value) with small holes filled: nearest, mean, median, idw, or hybrid (the median, and where too few cells are
-    near the nearest)."""
+def fill_small_voids(cells: DataFrame, how: str = "nearest", most: int = 25, radius: int = 3, least: int = 1, power: float = 2.0, diagonal: bool = True, exclude_edge: bool = True, frames: DataFrame | None = None) -> DataFrame:
+    """cells (ix, iy, value) with small holes filled: nearest, mean, median, idw, or hybrid (the mean, and where too few cells are
+    near the nearest). frames: as in small_holes."""
     from .focal import fill_local
     from .lookup import nearest_cell
 
     valid = cells.where("value is not null").select(*KEY, "value")
-    holes = small_holes(valid, most, diagonal, exclude_edge)
+    holes = small_holes(valid, most, diagonal, exclude_edge, frames)
     if how == "nearest":
         made = nearest_cell(holes, valid).select(*KEY, "value")
     elif how == "hybrid":
-        made = fill_local(valid, holes, radius, "median", least, power)
+        made = fill_local(valid, holes, radius, "mean", least, power)
         rest = holes.join(made, KEY, "left_anti")
         made = made.unionByName(nearest_cell(rest, valid).select(*KEY, "value"))
     else:

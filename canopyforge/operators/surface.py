@@ -168,6 +168,45 @@ def elevation_model(ground: DataFrame, res: float, ymax: float, xmin: float = 0.
     return filled.join(made, KEY, "left").select(*KEY, F.coalesce("value", "between").alias("value"))
 
 
+def edge_limit(ground: DataFrame, res: float, k: int = 6) -> float:
+    """The longest edge of triangles that count as covered by ground points: three times the ninth decile of the distances to the k nearest
+    (in the plane, points at one place left out), at least 4 cells and 1 m; that least of clouds under three points."""
+    from canopyforge.functions.points import exact_percentile
+
+    from .outliers import neighbour_distance
+
+    least = max(4 * res, 1.0)
+    near = neighbour_distance(ground.select("x", "y").withColumn("_key", F.monotonically_increasing_id()), k, least, "_key", "xy")
+    if near.limit(3).count() < 3:
+        return least
+    far = exact_percentile(near.select(F.explode("all_d").alias("d")).where("d > 0"), "d", 0.9)
+    return least if far is None else max(3 * far, least)
+
+
+def ground_mask(ground: DataFrame, res: float, ymax: float, xmin: float = 0.0, longest: float | None = None) -> DataFrame:
+    """(col, row) that ground points speak for: cells in triangles without edges over longest (by default edge_limit), closed and with
+    what they enclose, and the points' own cells grown by one. The closing loses nothing at the raster's border."""
+    from .focal import dilate
+    from .regions import closed
+
+    as_cells = [F.col("col").alias("ix"), F.col("row").alias("iy")]
+    own = dilate(_stat(ground, res, ymax, xmin, F.count("*")).select(*as_cells))
+    shape = tin(ground.withColumn("z", F.lit(0.0)), res, ymax, xmin, longest or edge_limit(ground, res), nearest_outside=False)
+    whole = own.unionByName(closed(shape.select(*as_cells))).distinct()
+    return whole.select(F.col("ix").alias("col"), F.col("iy").alias("row"))
+
+
+def fill_within(cells: DataFrame, mask: DataFrame, ground: DataFrame, res: float, ymax: float, xmin: float = 0.0, k: int = 8, power: float = 2.0) -> DataFrame:
+    """cells (col, row, value) in the mask; the mask's cells without a value get that of the k nearest ground points, weighted by distance."""
+    from .lookup import idw
+
+    there = cells.where("value is not null").select(*KEY, "value").join(mask.select(*KEY), KEY, "left_semi")
+    flipped = ground.select((F.col("x") - xmin).alias("x"), (F.lit(ymax) - F.col("y")).alias("y"), "z")
+    open_ = mask.select(*KEY).join(there, KEY, "left_anti").select(F.col("col").alias("ix"), F.col("row").alias("iy"))
+    made = idw(flipped, open_, res, k, power)
+    return there.unionByName(made.select(F.col("ix").alias("col"), F.col("iy").alias("row"), "value"))
+
+
 def surface_model(points: DataFrame, res: float, ymax: float, xmin: float = 0.0, method: str = "max", freeze: float | None = None, above: float | None = None, grow: int = 1) -> DataFrame:
     """A raster of all points: like elevation_model, or `spikefree`: triangles of the cells' highest points without edges longer than
     freeze, held under the cell's highest plus a margin. Kept within grow cells of where points are."""

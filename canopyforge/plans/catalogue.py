@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from canopyforge.functions import names, sensors, storage
 from canopyforge.functions.points import POINTS_SQL, bounds_of, cell, points, with_cells
 from canopyforge.operators import cells, change, crowns, focal, ground, lookup, outliers, regions, surface, terrain, tiles, trees
-from canopyforge.sources import gtiff, las, layout, vectors
+from canopyforge.sources import gtiff, las, layout, shapefile, vectors
+
+from . import post
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -439,6 +441,14 @@ def _(spark, sf):
     return regions.fill_small_voids(_cells(spark, sf).where("value >= 128"), "median", 12, 1, diagonal=False)
 
 
+@_add("fill_small_voids_hybrid", f"""with recursive {CELLS}, {_HIGH.format(label=_LABEL.format(near=_FOUR))},
+ f as (select h.ix, h.iy, avg(v.value) as value from h join v on abs(v.ix-h.ix) <= 1 and abs(v.iy-h.iy) <= 1 group by 1, 2 having count(*) >= 5),
+ n as (select h.ix, h.iy, v.value, row_number() over (partition by h.ix, h.iy order by (v.ix-h.ix)*(v.ix-h.ix)+(v.iy-h.iy)*(v.iy-h.iy), v.ix, v.iy) as r from h, v where not exists (select 1 from f where f.ix = h.ix and f.iy = h.iy))
+ select ix, iy, value from v union all select ix, iy, round(value, 9) from f union all select ix, iy, value from n where r = 1""")
+def _(spark, sf):
+    return regions.fill_small_voids(_cells(spark, sf).where("value >= 133"), "hybrid", 12, 1, 5, diagonal=False).select("ix", "iy", F.round("value", 9).alias("value"))
+
+
 # --- crowns ---------------------------------------------------------------------------------------------------------
 
 _PIP = f"""{PTS}, {CROWNS}, p as (select distinct x, y, z, h from pts), i as (select p.*, crown_id, row_number() over (partition by p.x, p.y, p.z, p.h order by area, crown_id) as r
@@ -507,6 +517,52 @@ def _(spark, sf):
     return surface.clip(surface._stat(points(spark, sf), 2.0, 48.0, 0.0, F.max("z")), [(-60.0, -60.0), (99.5, -60.0), (-60.0, 99.5)], 2.0, 48.0)
 
 
+@_add("edge_limit", f"""with {PTS}, g as materialized (select row_number() over () as point_id, x, y, floor(x/8)::int as bx, floor(y/8)::int as by_ from pts where classification = 2), o as (select * from (values (-1),(0),(1)) a(dx), (values (-1),(0),(1)) b(dy)),
+ n as (select a.point_id, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) as d from g a, o join g b on b.bx = a.bx + dx and b.by_ = a.by_ + dy where a.point_id <> b.point_id),
+ r as (select d from (select point_id, d, row_number() over (partition by point_id order by d) as r from n where d <= 8) where r <= 6 and d > 0)
+ select round(greatest(3 * quantile_cont(d, 0.9), 1), 9) as edge_limit from r""")
+def _(spark, sf):
+    limit = surface.edge_limit(points(spark, sf).where("classification = 2"), 0.25)
+    return spark.createDataFrame([(round(limit, 9),)], "edge_limit double")
+
+
+@_add("fill_within", f"""with {PTS}, g as (select x, y, z, floor(x)::int as col, floor(48-y)::int as row from pts where classification = 2), c as (select col, row, min(z) as value from g group by 1, 2),
+ m as (select distinct col + dx as col, row + dy as row from c, (values (0,0),(0,1),(1,0),(0,-1),(-1,0)) o(dx, dy)), n as (select * from m where not exists (select 1 from c where c.col = m.col and c.row = m.row)),
+ d as (select n.col, n.row, (x-(n.col+0.5e0))*(x-(n.col+0.5e0))+((48-y)-(n.row+0.5e0))*((48-y)-(n.row+0.5e0)) as d2, z from n, g), r as (select *, row_number() over (partition by col, row order by d2, z) as r from d)
+ select col, row, round(value, 6) as value from c union all select col, row, round(sum(z / greatest(d2, 1e-12)) / sum(1 / greatest(d2, 1e-12)), 6) as value from r where r <= 8 group by 1, 2""")
+def _(spark, sf):
+    g = points(spark, sf).where("classification = 2")
+    made = surface._stat(g, 1.0, 48.0, 0.0, F.min("z"))
+    grown = focal.dilate(made.select(F.col("col").alias("ix"), F.col("row").alias("iy"))).select(F.col("ix").alias("col"), F.col("iy").alias("row"))
+    return surface.fill_within(made, grown, g, 1.0, 48.0).select("col", "row", F.round("value", 6).alias("value"))
+
+
+@_add("ground_mask")
+def _(spark, sf):
+    return surface.ground_mask(points(spark, sf).where("classification = 2"), 1.0, 48.0)
+
+
+def _rasters(spark: SparkSession, sf: str) -> DataFrame:
+    """The epochs' greatest z in 4 m cells, as rasters of 13 by 13 cells."""
+    place = {"xmin": F.lit(0.0), "ymax": F.lit(52.0), "res": F.lit(4.0), "res_y": F.lit(4.0), "width": F.lit(13), "height": F.lit(13)}
+    return _epochs(spark, sf).select(F.col("epoch").cast("string").alias("path"), "col", "row", F.col("v").alias("value")).withColumns(place)
+
+
+@_add("rasters_resampled", f"""with {EPOCHS}, s as (select epoch, col, row, v, res, greatest(1, round(52 / res))::int as n from r, (values (6.0e0), (1.5e0)) a(res)), k as (select *, 13.0e0 / n as k from s),
+ w as (select epoch, res, n, a.c, b.r, v, (least(c + 1, (col + 1) / k) - greatest(c, col / k)) * (least(r + 1, (row + 1) / k) - greatest(r, row / k)) as part from k, unnest(range(floor(col / k)::int, ceil((col + 1) / k)::int)) a(c), unnest(range(floor(row / k)::int, ceil((row + 1) / k)::int)) b(r))
+ select epoch::varchar as path, res as resolution, c::int as col, r::int as row, n as width, round(sum(v * part) / sum(part), 6) as value from w where part > 1e-9 group by all""")
+def _(spark, sf):
+    return post.resample(_rasters(spark, sf), [6.0, 1.5]).select("path", "resolution", "col", "row", "width", F.round("value", 6).alias("value"))
+
+
+@_add("rasters_clipped", f"""with {EPOCHS}, {CROWNS}, i as (select epoch, col, row, v from r where exists (select 1 from crowns where (col + 0.5) * 4 >= xmin and (col + 0.5) * 4 < xmax and 52 - (row + 0.5) * 4 >= ymin and 52 - (row + 0.5) * 4 < ymax)),
+ b as (select epoch, min(col) as c0, max(col) as c1, min(row) as r0, max(row) as r1 from i group by 1) select epoch::varchar as path, col - c0 as col, row - r0 as row, v as value, c0 * 4.0e0 as xmin, 52 - r0 * 4.0e0 as ymax, c1 - c0 + 1 as width, r1 - r0 + 1 as height from i join b using (epoch)""")
+def _(spark, sf):
+    corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    boxes = _crowns(spark, sf).withColumn("ring", F.array(corner("xmin", "ymin"), corner("xmax", "ymin"), corner("xmax", "ymax"), corner("xmin", "ymax"), corner("xmin", "ymin")))
+    return post.clip(_rasters(spark, sf), boxes, 8.0).drop("res", "res_y")
+
+
 @_add("elevation_min")
 def _(spark, sf):
     return surface.elevation_model(points(spark, sf).where("classification = 2"), 1.0, 48.0)
@@ -817,6 +873,17 @@ def _(spark, sf):
     return vectors.read_polygons(spark, path).select("crown_id", "area", "xmin", "ymin", "xmax", "ymax")
 
 
+@_add("shapefile_round_trip", f"with {CROWNS} select crown_id, area, xmin, ymin, xmax, ymax from crowns")
+def _(spark, sf):
+    c = _crowns(spark, sf)
+    corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    ring = F.array(corner("xmin", "ymin"), corner("xmax", "ymin"), corner("xmax", "ymax"), corner("xmin", "ymax"), corner("xmin", "ymin"))
+    folder = storage.local_folder(spark, "shapes")
+    shapefile.write(c.select(F.lit("crowns").alias("name"), F.array(ring).alias("rings"), "crown_id", F.col("area").alias("area_m2")), folder, "name").collect()
+    got = vectors.read_polygons(spark, f"file://{folder}/crowns.shp")
+    return got.select("crown_id", "area", "xmin", "ymin", "xmax", "ymax")
+
+
 @_add("manifest_round_trip", "select 'f' || s_suppkey as tile, (s_suppkey * 7 % 40)::double as x, s_nationkey as n from supplier")
 def _(spark, sf):
     path = f"file://{storage.local_folder(spark, 'manifest')}"

@@ -1,20 +1,25 @@
-"""GeoJSON features, manifests and summaries as tables."""
+"""GeoJSON and shapefile features, manifests and summaries as tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import shapefile
+
 FEATURES = "features array<struct<geometry:struct<type:string,coordinates:string>,properties:map<string,string>>>"
 
 
 def read_polygons(spark: SparkSession, path: str) -> DataFrame:
     """(crown_id, ring, area, xmin, ymin, xmax, ymax, cx, cy) of the polygons' outer rings; the id is crown_id, else tree_id, else the
-    place in the file."""
-    text = spark.read.text(path, wholetext=True)
-    f = text.select(F.posexplode(F.from_json("value", FEATURES)["features"]).alias("i", "f"))
-    rings = F.from_json("f.geometry.coordinates", "array<array<array<double>>>")
-    p = f.where(F.col("f.geometry.type") == "Polygon").select("i", F.col("f.properties").alias("p"), F.transform(rings[0], lambda q: F.struct(q[0].alias("x"), q[1].alias("y"))).alias("ring"))
+    place in the file. path: of GeoJSON, or of a shapefile if it ends so."""
+    if path.lower().endswith(".shp"):
+        p = shapefile.read(spark, path).where("kind = 'Polygon'").select("i", F.col("properties").alias("p"), F.col("rings")[0].alias("ring"))
+    else:
+        text = spark.read.text(path, wholetext=True)
+        f = text.select(F.posexplode(F.from_json("value", FEATURES)["features"]).alias("i", "f"))
+        rings = F.from_json("f.geometry.coordinates", "array<array<array<double>>>")
+        p = f.where(F.col("f.geometry.type") == "Polygon").select("i", F.col("f.properties").alias("p"), F.transform(rings[0], lambda q: F.struct(q[0].alias("x"), q[1].alias("y"))).alias("ring"))
     after = F.concat(F.slice("ring", 2, F.size("ring")), F.slice("ring", 1, 1))
     area = F.abs(F.aggregate(F.arrays_zip(F.col("ring").alias("a"), after.alias("b")), F.lit(0.0), lambda s, e: s + e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"])) / 2
     xs, ys = F.transform("ring", lambda q: q["x"]), F.transform("ring", lambda q: q["y"])
