@@ -97,14 +97,20 @@ def bounds_of(df: DataFrame) -> DataFrame:
 MOST_VALUES = 100_000
 
 
-def exact_percentile(df: DataFrame, column: Column | str, q: float) -> float | None:
-    """The linear percentile of a column's values over a whole table, NULL and NaN left out; None if there are none.
+def exact_percentile(df: DataFrame, column: Column | str, q: float, weight: Column | str | None = None) -> float | None:
+    """The linear percentile of a column's values over a whole table, NULL and NaN left out; None if there are none. weight: how often
+    a row's value counts, a whole number.
 
     An exact aggregate would hold every different value in one task. Here approximate percentiles bracket the two ranks, the rows
     outside are counted, and the bracket shrinks until it has few different values; those are gathered with their counts.
     """
-    v = df.select((F.col(column) if isinstance(column, str) else column).cast("double").alias("v")).where("v is not null and not isnan(v)")
-    n, lo, hi = v.agg(F.count("v"), F.min("v"), F.max("v")).first()
+    w = F.lit(1) if weight is None else F.col(weight) if isinstance(weight, str) else weight
+    v = df.select((F.col(column) if isinstance(column, str) else column).cast("double").alias("v"), w.cast("long").alias("w")).where("v is not null and not isnan(v) and w > 0")
+
+    def many(*holds: Column) -> list[int]:
+        return [x or 0 for x in v.agg(*[F.sum(F.when(h, F.col("w"))) for h in holds]).first()]
+
+    n, lo, hi = v.agg(F.sum("w"), F.min("v"), F.max("v")).first()
     if not n:
         return None
     rank = q * (n - 1)
@@ -114,19 +120,19 @@ def exact_percentile(df: DataFrame, column: Column | str, q: float) -> float | N
         rows = v.where(F.col("v").between(lo, hi))
         if inside <= MOST_VALUES or rows.agg(F.approx_count_distinct("v", 0.02)).first()[0] <= MOST_VALUES:
             seen, ends = below, []
-            for r in sorted(rows.groupBy("v").count().collect()):
-                ends += [r.v] * ((seen <= first < seen + r["count"]) + (seen <= last < seen + r["count"]))
-                seen += r["count"]
+            for r in sorted(rows.groupBy("v").agg(F.sum("w").alias("w")).collect()):
+                ends += [r.v] * ((seen <= first < seen + r.w) + (seen <= last < seen + r.w))
+                seen += r.w
             lo, hi = ends
             break
         at = [max(0.0, (first - below) / inside - 0.002), min(1.0, (last - below) / inside + 0.002)]
         a, b = rows.agg(F.percentile_approx("v", at, 10_000)).first()[0]
-        under, upto = v.agg(F.count_if(F.col("v") < a), F.count_if(F.col("v") <= b)).first()
+        under, upto = many(F.col("v") < a, F.col("v") <= b)
         a, under = (a, under) if under <= first else (lo, below)
         b, upto = (b, upto) if upto > last else (hi, below + inside)
         if (a, b) == (lo, hi):  # halve it instead
             mid = lo + (hi - lo) / 2
-            upto = v.agg(F.count_if(F.col("v") <= mid)).first()[0]
+            upto = many(F.col("v") <= mid)[0]
             if upto > last:
                 b = mid
             elif upto <= first:

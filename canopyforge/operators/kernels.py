@@ -122,6 +122,93 @@ def outside_hull(hx: np.ndarray, hy: np.ndarray, gx: np.ndarray, gy: np.ndarray)
     return out
 
 
+def nearest(points: np.ndarray, weight: np.ndarray, wanted: np.ndarray, k: int, margin: np.ndarray, pairs: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """(d, take), a row for each wanted point: the distances of the nearest points, in order, and how often each counts among the k nearest.
+    points are distinct and count by weight, one fewer at the wanted point's own place. Nothing is taken where the k nearest don't lie within
+    the margin, unless that is infinite.
+
+    Points lie in cells, so small that few are in one; wanted points look at the cells around theirs, and again in larger cells where
+    that doesn't prove the k nearest.
+    """
+    n, axes = points.shape
+    d, take = np.full((len(wanted), k + 1), np.inf), np.zeros((len(wanted), k + 1), np.int64)
+    if not n or not len(wanted):
+        return d, take
+    lo, extent = points.min(0), max(np.ptp(points, axis=0).max(), 1e-300)
+    size = extent * min(1.0, 2 * (k / n) ** (1 / axes))
+
+    def cells(a: np.ndarray) -> np.ndarray:
+        return np.floor((a - lo) / size).astype(np.int64)
+
+    def crowd() -> float:
+        _, c = np.unique(cells(points) @ (1 << 21) ** np.arange(axes, dtype=np.int64), return_counts=True)
+        return (c.astype(float) ** 2).sum() / n
+
+    while size > extent / (1 << 19) and crowd() > 1 + 0.55 * k:
+        size = 0.8 * size
+    left = np.arange(len(wanted))
+    while len(left):
+        shape = cells(points).max(0) + 1
+        step = np.cumprod(np.concatenate([[1], shape[:0:-1]]))[::-1]  # the last axis runs fastest
+        code = cells(points) @ step
+        order = np.argsort(code, kind="stable")
+        code, xyz, w = code[order], points[order], weight[order]
+        left = left[np.argsort(cells(wanted[left]) @ step, kind="stable")]
+        own = cells(wanted[left])
+        begin, end = [], []
+        for move in np.ndindex(*(3,) * (axes - 1)):
+            at = own[:, :-1] + np.array(move) - 1
+            there = ((at >= 0) & (at < shape[:-1])).all(1)
+            base = at @ step[:-1]
+            first, past = base + np.clip(own[:, -1] - 1, 0, shape[-1]), base + np.clip(own[:, -1] + 2, 0, shape[-1])
+            begin.append(np.where(there, np.searchsorted(code, first), 0))
+            end.append(np.where(there, np.searchsorted(code, past), 0))
+        begin, end = np.column_stack(begin), np.column_stack(end)
+        count = (end - begin).sum(1)
+        by_count = np.argsort(count, kind="stable")
+        at = 0
+        while at < len(by_count):
+            # as many as fit, all padded to the most points that one of them looks at
+            upto = at + 1
+            room = min(len(by_count), at + max(1, pairs // max(1, int(count[by_count[at]]))))
+            while upto < room:
+                more = min(room, 2 * upto - at)
+                if int(count[by_count[more - 1]]) * (more - at) > pairs:
+                    break
+                upto = more
+            some = by_count[at:upto]
+            at = upto
+            wide = max(int(count[some].max()), k + 1)
+            size_of = (end[some] - begin[some]).ravel()
+            flat = np.repeat(begin[some].ravel() - np.concatenate([[0], np.cumsum(size_of)[:-1]]), size_of) + np.arange(size_of.sum())
+            mask = np.arange(wide) < count[some][:, None]
+            of = np.repeat(left[some], count[some])
+            d2 = np.full((len(some), wide), np.inf)
+            d2[mask] = sum((xyz[flat, i] - wanted[of, i]) ** 2 for i in range(axes))
+            which = np.zeros((len(some), wide), np.int64)
+            which[mask] = flat
+            if wide > k + 1:
+                best = np.argpartition(d2, k, axis=1)[:, : k + 1]
+                d2, which = np.take_along_axis(d2, best, 1), np.take_along_axis(which, best, 1)
+            best = np.argsort(d2, axis=1, kind="stable")
+            d2, which = np.take_along_axis(d2, best, 1), np.take_along_axis(which, best, 1)
+            counts = np.where(np.isfinite(d2), w[which] - (d2 == 0), 0)
+            counts = np.clip(k - (np.cumsum(counts, axis=1) - counts), 0, counts)
+            far = np.sqrt(d2)
+            rim = np.max(np.where(counts > 0, far, 0.0), axis=1)
+            sure = ((counts.sum(1) >= k) & (rim <= size * (1 - 1e-9))) | (size >= extent)
+            d[left[some]] = far
+            take[left[some]] = np.where(sure[:, None], counts, 0)
+            count[some] = np.where(sure, -1, 0)
+        # what the margin doesn't prove here, larger cells don't either
+        open_ = left[count >= 0]
+        left = open_[size < margin[open_]]
+        size = size * 1.5
+    rim = np.max(np.where(take > 0, d, 0.0), axis=1)
+    take[((take.sum(1) < k) | (rim > margin)) & np.isfinite(margin)] = 0
+    return d, take
+
+
 def nearest_index(valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row and column of the nearest True cell of every cell (Euclidean, exact); ties to the lesser column, then row."""
     h, w = valid.shape

@@ -173,13 +173,15 @@ def edge_limit(ground: DataFrame, res: float, k: int = 6) -> float:
     (in the plane, points at one place left out), at least 4 cells and 1 m; that least of clouds under three points."""
     from canopyforge.functions.points import exact_percentile
 
-    from .outliers import neighbour_distance
+    from .outliers import place_distances, places_of
 
     least = max(4 * res, 1.0)
-    near = neighbour_distance(ground.select("x", "y").withColumn("_key", F.monotonically_increasing_id()), k, least, "_key", "xy")
-    if near.limit(3).count() < 3:
+    near = place_distances(places_of(ground, "xy"), k, least, "xy")
+    if (near.agg(F.sum("m")).first()[0] or 0) < 3:
         return least
-    far = exact_percentile(near.select(F.explode("all_d").alias("d")).where("d > 0"), "d", 0.9)
+    # distances are few different ones, or else a sum for each is no more than the distances themselves
+    each = near.select("m", F.explode("all_d").alias("d")).where("d > 0").groupBy("d").agg(F.sum("m").alias("n"))
+    far = exact_percentile(written(each, "edge-distances"), "d", 0.9, "n")
     return least if far is None else max(3 * far, least)
 
 

@@ -116,3 +116,18 @@ def test_neighbours_on_two_axes_equal_all_pairs(spark):
     d = np.sort(np.hypot(*(xy[:, None] - xy[None]).transpose(2, 0, 1)), axis=1)[:, 1:5]
     for r in outliers.neighbour_distance(df, 4, 0.5, axes="xy").collect():
         assert np.allclose(sorted(r.all_d), d[r.point_id])
+
+
+def test_edge_limit_counts_points_at_one_place_without_pairing_them(spark):
+    """20,000 points at one place would be 400 million pairs; they are one place that counts as often."""
+    import numpy as np
+
+    places = [(float(x) * 3, float(y) * 2, 1 + (x + y) % 3) for x in range(6) for y in range(5)] + [(7.5, 5.0, 20_000)]
+    df = spark.createDataFrame(places, "x double, y double, m int").selectExpr("explode(sequence(1, m)) i", "x", "y")
+    xy, m = np.array([p[:2] for p in places]), np.array([p[2] for p in places])
+    far = np.hypot(*(xy[:, None] - xy[None]).transpose(2, 0, 1))
+    near = [np.sort(np.repeat(d, m - (np.arange(len(m)) == i)))[:6] for i, d in enumerate(far)]
+    d = np.concatenate([np.tile(n[n > 0], k) for n, k in zip(near, m, strict=True)])
+    assert np.isclose(surface.edge_limit(df, 0.25), max(3 * np.quantile(d, 0.9), 1.0))
+    made = outliers.place_distances(outliers.places_of(df, "xy"), 6, 1.0, "xy").collect()
+    assert sum(r.m for r in made) == m.sum() and all(len(r.all_d) == r.n == 6 for r in made)
