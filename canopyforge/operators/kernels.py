@@ -57,7 +57,13 @@ def tin_raster(x: np.ndarray, y: np.ndarray, z: np.ndarray, gx: np.ndarray, gy:
     triangles overlap the greatest; NaN outside. proven is set where a triangle lies whose circle no point of bounds (xmin, ymin, xmax, ymax)
     outside seen can be in."""
     out = np.full((len(gy), len(gx)), np.nan)
-    for a, b, c in delaunay(x, y).tolist():
+    tri = delaunay(x, y)
+    tx, ty = x[tri], y[tri]
+    c_at = np.searchsorted(gx, tx.min(1) - 1e-8), np.searchsorted(gx, tx.max(1) + 1e-8, side="right")
+    r_at = np.searchsorted(-gy, -ty.max(1) - 1e-8), np.searchsorted(-gy, -ty.min(1) + 1e-8, side="right")
+    # of dense points, few triangles have a crossing in their box
+    some = (c_at[0] < c_at[1]) & (r_at[0] < r_at[1])
+    for (a, b, c), c0, c1, r0, r1 in zip(tri[some].tolist(), *(v[some].tolist() for v in (*c_at, *r_at)), strict=True):
         xs, ys = x[[a, b, c]], y[[a, b, c]]
         short = longest is None or max(hypot(xs[i] - xs[j], ys[i] - ys[j]) for i, j in ((0, 1), (1, 2), (2, 0))) <= longest
         if not short and proven is None:
@@ -65,10 +71,6 @@ def tin_raster(x: np.ndarray, y: np.ndarray, z: np.ndarray, gx: np.ndarray, gy:
         det = (ys[1] - ys[2]) * (xs[0] - xs[2]) + (xs[2] - xs[1]) * (ys[0] - ys[2])
         if abs(det) < 1e-12:
             continue
-        c0, c1 = np.searchsorted(gx, xs.min() - 1e-8), np.searchsorted(gx, xs.max() + 1e-8, side="right")
-        r0, r1 = np.searchsorted(-gy, -ys.max() - 1e-8), np.searchsorted(-gy, -ys.min() + 1e-8, side="right")
-        if c0 >= c1 or r0 >= r1:
-            continue
         px, py = gx[None, c0:c1], gy[r0:r1, None]
         w0 = ((ys[1] - ys[2]) * (px - xs[2]) + (xs[2] - xs[1]) * (py - ys[2])) / det
         w1 = ((ys[2] - ys[0]) * (px - xs[2]) + (xs[0] - xs[2]) * (py - ys[2])) / det

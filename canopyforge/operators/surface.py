@@ -19,6 +19,9 @@ from . import kernels
 
 KEY = ["col", "row"]
 
+#: Points that a tile is triangulated from at most, if it has more cells than LEAST_TILE a side.
+MOST_POINTS, LEAST_TILE = 100_000, 4
+
 
 def _halo(v: str, tile: int, halo: int) -> Column:
     return F.explode(F.sequence(F.floor((F.col(v) - halo) / tile).cast("int"), F.floor((F.col(v) + halo) / tile).cast("int")))
@@ -67,12 +70,17 @@ def tin(points: DataFrame, res: float, ymax: float, xmin: float = 0.0, longest:
 
     Tiles see points within halo cells. A tile is done where the circles of the triangles on its cells, and the nearest points of cells
     outside the cloud's hull, lie within what it sees; others look again with twice the halo, until none is left or they see all points.
+    Tiles that would hold more than MOST_POINTS are made smaller.
     """
-    p = points.select(F.floor((F.col("x") - xmin) / res).cast("int").alias("col"), F.floor((F.lit(ymax) - F.col("y")) / res).cast("int").alias("row"), *(F.col(c).cast("double").alias(c) for c in "xyz"))
+    p = points.groupBy(*(F.col(c).cast("double").alias(c) for c in "xy")).agg(F.max(F.when(~F.isnan(F.col("z").cast("double")), F.col("z").cast("double"))).alias("z"))
+    p = p.select(F.floor((F.col("x") - xmin) / res).cast("int").alias("col"), F.floor((F.lit(ymax) - F.col("y")) / res).cast("int").alias("row"), *"xyz")
     p = written(p, "tin-points")
     ends = p.agg(*(f(c).alias(f"{c}{i}") for c in ("col", "row", "x", "y") for i, f in enumerate((F.min, F.max)))).first()
     if ends.col0 is None:
         return p.select("col", "row", F.col("z").alias("value")).limit(0)
+    while tile > LEAST_TILE and p.groupBy(F.floor(F.col("col") / tile), F.floor(F.col("row") / tile)).count().agg(F.max("count")).first()[0] > MOST_POINTS:
+        tile = tile // 2
+        halo = min(halo, max(1, tile // 8))
     c_min, c_max, r_min, r_max = ends.col0, ends.col1, ends.row0, ends.row1
     bounds = (ends.x0, ends.y0, ends.x1, ends.y1)
     across, down = (c_min // tile, c_max // tile), (r_min // tile, r_max // tile)

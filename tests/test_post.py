@@ -131,3 +131,17 @@ def test_edge_limit_counts_points_at_one_place_without_pairing_them(spark):
     assert np.isclose(surface.edge_limit(df, 0.25), max(3 * np.quantile(d, 0.9), 1.0))
     made = outliers.place_distances(outliers.places_of(df, "xy"), 6, 1.0, "xy").collect()
     assert sum(r.m for r in made) == m.sum() and all(len(r.all_d) == r.n == 6 for r in made)
+
+
+def test_ground_mask_triangulates_places_in_tiles_of_few(spark, monkeypatch):
+    import numpy as np
+
+    xy = np.random.default_rng(4).random((300, 2)) * [30, 20]
+    df = spark.createDataFrame([(float(x), float(y), 1.0) for x, y in xy], "x double, y double, z double")
+    one = {tuple(r) for r in surface.ground_mask(df, 1.0, 20.0).collect()}
+    sizes, written = [], surface.written
+    monkeypatch.setattr(surface, "written", lambda d, name: sizes.append((name, (w := written(d, name)).count())) or w)
+    monkeypatch.setattr(surface, "MOST_POINTS", 20, raising=False)
+    many = {tuple(r) for r in surface.ground_mask(df.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(50)))), 1.0, 20.0, longest=surface.edge_limit(df, 1.0)).collect()}
+    # a repeated point is one place, before anything is written; longest is given, as repeats change it
+    assert ("tin-points", 300) in sizes and len(many ^ one) == 0
