@@ -23,47 +23,83 @@ def inside(ring: Column, x: Column, y: Column) -> Column:
     return F.aggregate(edges, F.lit(0), lambda n, e: n + cross(e)) % 2 == 1
 
 
-def assign(points: DataFrame, crowns: DataFrame, cell: float, rectangles: bool = False, key: str = "point_id") -> DataFrame:
-    """points with crown_id of the smallest crown that holds them (ties: the smaller id), NULL if none does.
+#: Crowns that a block holds on average at most, if blocks can be smaller.
+MOST_CROWNS = 64
 
-    crowns: (crown_id, area, xmin, ymin, xmax, ymax, and ring unless rectangles). Both sides are dealt to cells; a crown goes to all
-    cells that its box meets, a point to one, so that the join is by cell and the exact test is for the few left.
-    """
+
+def _places(points: DataFrame) -> DataFrame:
+    """(x, y): points at one place have one crown."""
+    return points.select("x", "y").where("x is not null and y is not null").distinct()
+
+
+def _at_places(places: DataFrame, crowns: DataFrame, cell: float, rectangles: bool) -> DataFrame:
+    """(x, y, crown_id) of the places that a crown holds: the smallest, of equal ones that of the smaller id."""
+    # of crowns of one shape, only the first can be the smallest
+    shape = ["area", "xmin", "ymin", "xmax", "ymax", *([] if rectangles else ["ring"])]
+    only = written(crowns.groupBy(*shape).agg(F.min("crown_id").alias("crown_id")), "crown-shapes")
     gx = F.explode(F.sequence(F.floor(F.col("xmin") / cell), F.floor(F.col("xmax") / cell)))
     gy = F.explode(F.sequence(F.floor(F.col("ymin") / cell), F.floor(F.col("ymax") / cell)))
-    boxes = crowns.withColumn("gx", gx).withColumn("gy", gy)
-    p = points.select(key, "x", "y", F.floor(F.col("x") / cell).alias("gx"), F.floor(F.col("y") / cell).alias("gy"))
-    hit = p.join(boxes, ["gx", "gy"]).where((F.col("x") >= F.col("xmin")) & (F.col("x") <= F.col("xmax")) & (F.col("y") >= F.col("ymin")) & (F.col("y") <= F.col("ymax")))
+    boxes = only.withColumn("gx", gx).withColumn("gy", gy)
+    p = places.select("x", "y", F.floor(F.col("x") / cell).alias("gx"), F.floor(F.col("y") / cell).alias("gy"))
+    hit = p.join(boxes.hint("merge"), ["gx", "gy"]).where((F.col("x") >= F.col("xmin")) & (F.col("x") <= F.col("xmax")) & (F.col("y") >= F.col("ymin")) & (F.col("y") <= F.col("ymax")))
     if not rectangles:
         hit = hit.where(inside(F.col("ring"), F.col("x"), F.col("y")))
-    first = hit.groupBy(key).agg(F.min(F.struct("area", "crown_id")).alias("best")).select(key, F.col("best.crown_id").alias("crown_id"))
-    return points.join(first, key, "left")
+    return hit.groupBy("x", "y").agg(F.min(F.struct("area", "crown_id")).alias("best")).select("x", "y", F.col("best.crown_id").alias("crown_id"))
+
+
+def assign(points: DataFrame, crowns: DataFrame, cell: float, rectangles: bool = False) -> DataFrame:
+    """points with crown_id of the smallest crown that holds them (ties: the smaller id), NULL if none does.
+
+    crowns: (crown_id, area, xmin, ymin, xmax, ymax, and ring unless rectangles). The points' places and the crowns are dealt to cells; a
+    crown goes to all cells that its box meets, a place to one, so that the join is by cell and the exact test is for the few left.
+    Points get their place's crown.
+    """
+    first = written(_at_places(_places(points), crowns, cell, rectangles), "crown-places")
+    return points.join(first.hint("merge"), ["x", "y"], "left").select(*points.columns, "crown_id")
 
 
 def nearest_crown(points: DataFrame, crowns: DataFrame, cell: float, key: str = "point_id") -> DataFrame:
     """(key, crown_id) of the crown with the nearest centre (cx, cy), ties to the smaller id; by growing blocks, from `cell` on."""
-    c = crowns.select("crown_id", "cx", "cy")
-    p = points.select(key, F.col("x").alias("px"), F.col("y").alias("py"))
+    near = _nearest_at(_places(points), crowns, cell)
+    if near is None:
+        return points.select(key, F.lit(None).cast("int").alias("crown_id")).limit(0)
+    return points.select(key, "x", "y").join(near.hint("merge"), ["x", "y"]).select(key, "crown_id")
+
+
+def _nearest_at(places: DataFrame, crowns: DataFrame, cell: float) -> DataFrame | None:
+    """(x, y, crown_id) of places, by the nearest centre; None without places or crowns."""
+    # of crowns with one centre, only the first can be the nearest
+    c = written(crowns.groupBy("cx", "cy").agg(F.min("crown_id").alias("crown_id")), "crown-centres")
+    p = written(places.select(F.col("x").alias("px"), F.col("y").alias("py")), "nearest-places")
     whole = _extent((p, "px", "py"), (c, "cx", "cy"))
     if whole is None:
-        return points.select(key, F.lit(None).cast("int").alias("crown_id")).limit(0)
+        return None
+    n = c.count()
+    while n > MOST_CROWNS * _blocks(c, cell, "cx", "cy").select("bx", "by").distinct().count():
+        cell = cell / 2
 
     def search(left: DataFrame, size: float, last: bool) -> DataFrame:
         # centres go to the nine blocks around theirs, as they are the fewer
-        near = _blocks(left, size, "px", "py").join(_blocks(c, size, "cx", "cy", True), ["bx", "by"])
+        near = _blocks(left, size, "px", "py").join(_blocks(c, size, "cx", "cy", True).hint("merge"), ["bx", "by"])
         ex, ey = F.col("px") - F.col("cx"), F.col("py") - F.col("cy")
-        best = near.groupBy(key).agg(F.min(F.struct((ex * ex + ey * ey).alias("d2"), "crown_id")).alias("b"))
-        return best.where((F.sqrt("b.d2") <= size) | F.lit(last)).select(key, F.col("b.crown_id").alias("crown_id"))
+        best = near.groupBy("px", "py").agg(F.min(F.struct((ex * ex + ey * ey).alias("d2"), "crown_id")).alias("b"))
+        return best.where((F.sqrt("b.d2") <= size) | F.lit(last)).select("px", "py", F.col("b.crown_id").alias("crown_id"))
 
-    return rounds(written(p, "nearest-points"), [key], cell, whole, search, [key, "crown_id"])
+    return rounds(p, ["px", "py"], cell, whole, search, ["px", "py", "crown_id"]).withColumnsRenamed({"px": "x", "py": "y"})
 
 
-def segment(points: DataFrame, crowns: DataFrame, cell: float, least_height: float, rectangles: bool = False, key: str = "point_id") -> DataFrame:
+def segment(points: DataFrame, crowns: DataFrame, cell: float, least_height: float, rectangles: bool = False) -> DataFrame:
     """points of least_height and more with their crown: the smallest that holds them, else the one with the nearest centre."""
     high = points.where(F.col("height") >= least_height)
-    got = written(assign(high, crowns, cell, rectangles, key), "crown-points")
-    rest = nearest_crown(got.where("crown_id is null"), crowns, cell, key).withColumnRenamed("crown_id", "near")
-    return got.join(rest, key, "left").withColumn("how", F.when(F.col("crown_id").isNotNull(), "inside").otherwise("nearest")).withColumn("crown_id", F.coalesce("crown_id", "near")).drop("near")
+    places = _places(high)
+    at = written(places.join(_at_places(places, crowns, cell, rectangles).hint("merge"), ["x", "y"], "left"), "crown-places")
+    near = _nearest_at(at.where("crown_id is null").select("x", "y"), crowns, cell)
+    how = F.when(F.col("crown_id").isNotNull(), "inside").otherwise("nearest")
+    at = at.withColumn("how", how)
+    if near is not None:
+        at = at.where("how = 'inside'").unionByName(near.withColumn("how", F.lit("nearest")))
+    got = high.join(at.hint("merge"), ["x", "y"], "left")
+    return got.select(*points.columns, "crown_id", F.coalesce("how", F.lit("nearest")).alias("how"))
 
 
 def residual_segments(points: DataFrame, cell: float, by: str = "crown_id") -> DataFrame:

@@ -456,19 +456,19 @@ _PIP = f"""{PTS}, {CROWNS}, p as (select distinct x, y, z, h from pts), i as (se
 
 
 def _tree_points(spark: SparkSession, sf: str) -> DataFrame:
-    p = points(spark, sf).select("x", "y", "z", F.col("h").alias("height")).distinct()
-    return p.withColumn("key", F.struct("x", "y", "z", "height"))
+    """Points, to be made distinct once they have a crown: that is by place, and so takes no further shuffle."""
+    return points(spark, sf).select("x", "y", "z", F.col("h").alias("height"))
 
 
 @_add("crown_of_point", f"with {_PIP} select x, y, z, h as height, crown_id from i where r = 1")
 def _(spark, sf):
-    return crowns.assign(_tree_points(spark, sf), _crowns(spark, sf), 4.0, True, "key").select("x", "y", "z", "height", "crown_id")
+    return crowns.assign(_tree_points(spark, sf), _crowns(spark, sf), 4.0, True).select("x", "y", "z", "height", "crown_id").distinct()
 
 
 @_add("tree_points", f"""with {_PIP}, o as (select x, y, z, h, crown_id from i where r = 1 and h >= 5), far as (select o.x, o.y, o.z, o.h, c.crown_id as near, row_number() over (partition by o.x, o.y, o.z, o.h order by (x-cx)*(x-cx)+(y-cy)*(y-cy), c.crown_id) as r from o, crowns c where o.crown_id is null)
  select o.x, o.y, o.z, o.h as height, coalesce(crown_id, near) as crown_id, case when crown_id is not null then 'inside' else 'nearest' end as how from o left join far on o.x = far.x and o.y = far.y and o.z = far.z and o.h = far.h and r = 1""")
 def _(spark, sf):
-    return crowns.segment(_tree_points(spark, sf), _crowns(spark, sf), 4.0, 5.0, True, "key").select("x", "y", "z", "height", "crown_id", "how")
+    return crowns.segment(_tree_points(spark, sf), _crowns(spark, sf), 4.0, 5.0, True).select("x", "y", "z", "height", "crown_id", "how").distinct()
 
 
 @_add("ring_contains", f"with {_PIP} select x, y, z, h as height, crown_id from i where r = 1 and x * 16 % 4 <> 0 and y * 16 % 4 <> 0")
@@ -477,7 +477,7 @@ def _(spark, sf):
     c, xy = _crowns(spark, sf), lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
     c = c.withColumn("ring", F.array(xy("xmin", "ymin"), xy("xmax", "ymin"), xy("xmax", "ymax"), xy("xmin", "ymax")))
     p = _tree_points(spark, sf).where((F.col("x") * 16 % 4 != 0) & (F.col("y") * 16 % 4 != 0))
-    return crowns.assign(p, c, 4.0, False, "key").select("x", "y", "z", "height", "crown_id")
+    return crowns.assign(p, c, 4.0, False).select("x", "y", "z", "height", "crown_id").distinct()
 
 # --- surfaces -------------------------------------------------------------------------------------------------------
 
@@ -618,8 +618,8 @@ def _(spark, sf):
 
 @_add("tree_point_segments")
 def _(spark, sf):
-    p = crowns.segment(_tree_points(spark, sf), _crowns(spark, sf), 4.0, 5.0, True, "key").where("how = 'nearest'")
-    return crowns.residual_segments(p.drop("key"), 0.5)
+    p = crowns.segment(_tree_points(spark, sf), _crowns(spark, sf), 4.0, 5.0, True).where("how = 'nearest'").distinct()
+    return crowns.residual_segments(p, 0.5)
 
 
 # --- ground ---------------------------------------------------------------------------------------------------------
@@ -723,8 +723,7 @@ def _(spark, sf):
 
 @_add("statistical_outliers")
 def _(spark, sf):
-    p = points(spark, sf).select("x", "y", "z").distinct().withColumn("key", F.struct("x", "y", "z"))
-    return outliers.statistical_outliers(p, 8, 2.0, 4.0, "key").select("x", "y", "z")
+    return outliers.statistical_outliers(points(spark, sf).select("x", "y", "z").distinct().withColumn("key", F.struct("x", "y", "z")), 8, 2.0, 4.0, "key").select("x", "y", "z")
 
 
 @_add("robust_z", f"""with {PTS}, t as (select floor(x/4)::int as ix, floor(y/4)::int as iy, z from pts), m as (select ix, iy, median(z) as mid from t group by 1, 2), d as (select ix, iy, median(abs(z - mid)) as mad from t join m using (ix, iy) group by 1, 2)

@@ -83,7 +83,7 @@ def clip(rasters: DataFrame, polygons: DataFrame, cell: float) -> DataFrame:
     """
     key = F.struct("path", "col", "row")
     centres = rasters.select(key.alias("key"), (F.col("xmin") + (F.col("col") + 0.5) * F.col("res")).alias("x"), (F.col("ymax") - (F.col("row") + 0.5) * F.col("res_y")).alias("y"))
-    inside = crowns.assign(centres, polygons, cell, key="key").where("crown_id is not null").select("key.*")
+    inside = crowns.assign(centres, polygons, cell).where("crown_id is not null").select("key.*")
     left = written(rasters.join(inside, ["path", "col", "row"], "left_semi"), "clipped-cells")
     ends = left.groupBy("path").agg(F.min("col").alias("c0"), F.max("col").alias("c1"), F.min("row").alias("r0"), F.max("row").alias("r1"))
     moved = {"xmin": F.col("xmin") + F.col("c0") * F.col("res"), "ymax": F.col("ymax") - F.col("r0") * F.col("res_y"), "width": F.col("c1") - F.col("c0") + 1, "height": F.col("r1") - F.col("r0") + 1}

@@ -328,3 +328,27 @@ def test_tin_over_tiles_and_gaps_equals_one_tile(spark):
         many, one = ({(r.col, r.row): r.value for r in surface.tin(pts, 1.0, 40.0, tile=t, halo=2, **options).collect()} for t in (8, 64))
         assert many.keys() == one.keys() and all(math.isclose(many[p], one[p], abs_tol=1e-6) for p in one)
         assert options or len(one) == 2400
+
+
+def _copies(spark, monkeypatch):
+    """(points, crowns, sizes of what is written): 40 points at each of 9 places, 50 copies of each of 2 crowns."""
+    from canopyforge.operators import crowns
+
+    sizes, written = {}, crowns.written
+    monkeypatch.setattr(crowns, "written", lambda df, name: (w := written(df, name), sizes.update({name: w.count()}))[0])
+    p = spark.createDataFrame([(i, float(i % 3) * 4 + 1, float(i % 9 // 3) * 4 + 1, float(3 + i // 9)) for i in range(360)], "point_id long, x double, y double, height double")
+    shapes = ((0.0, 0.0, 2.0, 2.0), (4.5, 4.5, 8.5, 8.5))
+    rows = [(i, *shapes[i % 2], (shapes[i % 2][2] - shapes[i % 2][0]) ** 2, *(sum(shapes[i % 2][j::2]) / 2 for j in (0, 1))) for i in range(100, 0, -1)]
+    c = spark.createDataFrame(rows, "crown_id int, xmin double, ymin double, xmax double, ymax double, area double, cx double, cy double")
+    return p, c, sizes
+
+
+def test_points_at_one_place_and_crowns_of_one_centre_meet_once(spark, monkeypatch):
+    p, c, sizes = _copies(spark, monkeypatch)
+    got = crowns.segment(p, c, 4.0, 5.0, True).collect()
+    first = {(1.0, 1.0): 2, (5.0, 5.0): 1}
+    centre = {2: (1.0, 1.0), 1: (6.5, 6.5)}
+    assert len(got) == 342 and sizes == {"crown-shapes": 2, "crown-places": 9, "crown-centres": 2, "nearest-places": 7}
+    for r in got:
+        near = min(centre, key=lambda k: ((r.x - centre[k][0]) ** 2 + (r.y - centre[k][1]) ** 2, k))
+        assert (r.crown_id, r.how) == ((first[r.x, r.y], "inside") if (r.x, r.y) in first else (near, "nearest"))
