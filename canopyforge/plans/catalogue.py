@@ -619,7 +619,7 @@ def _(spark, sf):
 @_add("tree_point_segments")
 def _(spark, sf):
     p = crowns.segment(_tree_points(spark, sf), _crowns(spark, sf), 4.0, 5.0, True).where("how = 'nearest'").distinct()
-    return crowns.residual_segments(p, 0.5)
+    return crowns.residual_segments(storage.written(p, "nearest-points"), 0.5)
 
 
 # --- ground ---------------------------------------------------------------------------------------------------------

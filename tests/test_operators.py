@@ -352,3 +352,15 @@ def test_points_at_one_place_and_crowns_of_one_centre_meet_once(spark, monkeypat
     for r in got:
         near = min(centre, key=lambda k: ((r.x - centre[k][0]) ** 2 + (r.y - centre[k][1]) ** 2, k))
         assert (r.crown_id, r.how) == ((first[r.x, r.y], "inside") if (r.x, r.y) in first else (near, "nearest"))
+
+
+def test_segments_are_made_of_points_found_once(spark, tmp_path, monkeypatch):
+    from canopyforge.functions import storage
+
+    _small_cloud(spark, tmp_path, 400, 50)
+    spark.createDataFrame([(i,) for i in range(1, 1001)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    want = {tuple(r)[:5] for r in catalogue.queries()["tree_points"](spark, str(tmp_path)).where("how = 'nearest'").collect()}
+    sizes, written = {}, storage.written
+    monkeypatch.setattr(storage, "written", lambda df, name: (w := written(df, name), sizes.update({name: w.count()}))[0])
+    got = catalogue.queries()["tree_point_segments"](spark, str(tmp_path)).collect()
+    assert sizes == {"nearest-points": len(want)} and {(r.x, r.y, r.z, r.height, r.crown_id) for r in got} == want
