@@ -27,6 +27,8 @@ def isolated(points: DataFrame, radius: float, least: int = 2, key: str = "point
 
 #: About how many places a tile of the neighbour search holds, and how many at most where tiles can be smaller.
 TILE_PLACES, MOST_PLACES = 40_000, 300_000
+#: Most rows that are broadcast; more are joined by a shuffle, whatever their size on disk.
+MOST_BROADCAST = 50_000
 
 
 def place_distances(places: DataFrame, k: int, reach: float, axes: str = "xyz", listed: bool = True) -> DataFrame:
@@ -113,15 +115,20 @@ def neighbour_distance(points: DataFrame, k: int, reach: float, key: str = "poin
     return p.join(made.hint("merge"), list(axes)).select(key, "n", "mean_d", "all_d")
 
 
-def statistical_outliers(points: DataFrame, k: int = 20, most: float = 3.0, reach: float = 5.0, key: str = "point_id") -> DataFrame:
+def statistical_outliers(points: DataFrame, k: int = 20, most: float = 3.0, reach: float = 5.0) -> DataFrame:
     """points whose mean distance to the k nearest is more than `most` standard deviations (of a sample) above the mean of all, and those
     without finite coordinates; none of clouds of up to k + 1 points. reach: where the search starts."""
-    d = neighbour_distance(points, k, reach, key)
-    n, mean, sd = d.agg(F.count("*"), F.avg("mean_d"), F.stddev_samp("mean_d")).first()
-    if n <= k + 1:
+    d = place_distances(places_of(points, "xyz"), k, reach, listed=False)
+    n, total = d.agg(F.sum("m"), F.sum(F.col("m") * F.col("mean_d"))).first()
+    if (n or 0) <= k + 1:
         return points.limit(0)
-    fine = d.where((F.col("mean_d") - mean <= most * sd) | F.lit(sd == 0)).select(key)
-    return points.join(fine, key, "left_anti")
+    mean = total / n
+    sd = (d.agg(F.sum(F.col("m") * (F.col("mean_d") - mean) ** 2)).first()[0] / (n - 1)) ** 0.5
+    far = written(d.where((F.col("mean_d") - mean > most * sd) & F.lit(sd > 0)).select(*(F.col(c).alias(f"_{c}") for c in "xyz")), "outlier-places")
+    far = F.broadcast(far) if far.count() <= MOST_BROADCAST else far.hint("merge")
+    at = [F.col(c).cast("double") for c in "xyz"]
+    odd = functools.reduce(lambda a, b: a | b, [v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")) for v in at])
+    return points.join(far, [v == F.col(f"_{c}") for v, c in zip(at, "xyz", strict=True)], "left_semi").unionByName(points.where(odd))
 
 
 def robust_z(df: DataFrame, column: str, *by: str) -> DataFrame:

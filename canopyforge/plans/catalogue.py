@@ -723,7 +723,7 @@ def _(spark, sf):
 
 @_add("statistical_outliers")
 def _(spark, sf):
-    return outliers.statistical_outliers(points(spark, sf).select("x", "y", "z").distinct().withColumn("key", F.struct("x", "y", "z")), 8, 2.0, 4.0, "key").select("x", "y", "z")
+    return outliers.statistical_outliers(points(spark, sf).select("x", "y", "z").distinct(), 8, 2.0, 4.0)
 
 
 @_add("robust_z", f"""with {PTS}, t as (select floor(x/4)::int as ix, floor(y/4)::int as iy, z from pts), m as (select ix, iy, median(z) as mid from t group by 1, 2), d as (select ix, iy, median(abs(z - mid)) as mad from t join m using (ix, iy) group by 1, 2)

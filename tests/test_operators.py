@@ -364,3 +364,17 @@ def test_segments_are_made_of_points_found_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(storage, "written", lambda df, name: (w := written(df, name), sizes.update({name: w.count()}))[0])
     got = catalogue.queries()["tree_point_segments"](spark, str(tmp_path)).collect()
     assert sizes == {"nearest-points": len(want)} and {(r.x, r.y, r.z, r.height, r.crown_id) for r in got} == want
+
+
+def test_outliers_of_a_dense_cloud_take_few_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    xyz = rng.random((3000, 3)) * 8
+    rows = [(i, *map(float, p)) for i, p in enumerate([*xyz, *xyz[:40], [20.0, 4.0, 4.0], [float("nan"), 1.0, 1.0]])]
+    pts = spark.createDataFrame(rows, "point_id long, x double, y double, z double")
+    rounds, written = [], outliers.written
+    monkeypatch.setattr(outliers, "written", lambda df, name: rounds.append(name) or written(df, name))
+    got = {r.point_id for r in outliers.statistical_outliers(pts, 8, 2.0, 4.0).collect()}
+    all_ = np.array([r[1:] for r in rows[:-1]])
+    mean = np.sort(np.linalg.norm(all_[:, None] - all_[None], axis=2), 1)[:, 1:9].mean(1)
+    assert got == set(np.nonzero(mean - mean.mean() > 2 * mean.std(ddof=1))[0].tolist()) | {len(all_)}
+    assert rounds.count("neighbour-distances") <= 5
