@@ -378,3 +378,10 @@ def test_outliers_of_a_dense_cloud_take_few_rounds(spark, monkeypatch):
     mean = np.sort(np.linalg.norm(all_[:, None] - all_[None], axis=2), 1)[:, 1:9].mean(1)
     assert got == set(np.nonzero(mean - mean.mean() > 2 * mean.std(ddof=1))[0].tolist()) | {len(all_)}
     assert rounds.count("neighbour-distances") <= 5
+
+
+def test_crown_of_point_tests_a_place_and_a_shape_once(spark, monkeypatch):
+    p, c, sizes = _copies(spark, monkeypatch)
+    got = crowns.assign(p, c, 4.0, True).collect()
+    assert len(got) == 360 and sizes == {"crown-shapes": 2, "crown-places": 2}
+    assert {(r.x, r.y, r.crown_id) for r in got if r.crown_id} == {(1.0, 1.0, 2), (5.0, 5.0, 1)}
