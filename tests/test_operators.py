@@ -385,3 +385,13 @@ def test_crown_of_point_tests_a_place_and_a_shape_once(spark, monkeypatch):
     got = crowns.assign(p, c, 4.0, True).collect()
     assert len(got) == 360 and sizes == {"crown-shapes": 2, "crown-places": 2}
     assert {(r.x, r.y, r.crown_id) for r in got if r.crown_id} == {(1.0, 1.0, 2), (5.0, 5.0, 1)}
+
+
+def test_ring_contains_tests_a_place_and_a_ring_once(spark, monkeypatch):
+    p, c, sizes = _copies(spark, monkeypatch)
+    xy = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    c = c.withColumn("ring", F.array(xy("xmin", "ymin"), xy("xmax", "ymin"), xy("xmax", "ymax"), xy("xmin", "ymin")))
+    got = crowns.assign(p.withColumn("x", F.col("x") + 0.25), c, 4.0).collect()
+    # triangles: below the diagonal of each box
+    assert len(got) == 360 and sizes == {"crown-shapes": 2, "crown-places": 2}
+    assert {(r.x, r.y, r.crown_id) for r in got if r.crown_id} == {(1.25, 1.0, 2), (5.25, 5.0, 1)}
