@@ -29,6 +29,22 @@ def test_equals_sql(spark, duck, data, same, name):
     same(registry.queries()[name](spark, data), duck, registry.oracle_sql()[name])
 
 
+def files_of_few_rows(spark, tmp_path, monkeypatch, make):
+    """How many files make(documents, benchmark) and the result take in all, of 60 documents and items dealt over 40 partitions."""
+    rows = [(i, f"{' '.join(f'w{i % 20}x{j}' for j in range(30))} end{i // 20}") for i in range(60)]
+    items = spark.createDataFrame([(i, rows[i][1]) for i in range(0, 60, 7)], "item_id long, text string")
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}/shared")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(old, ("40", "false")):
+            spark.conf.set(k, v)
+        make(docs(spark, rows).repartition(40), items).write.parquet(f"{tmp_path}/out")
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    return {d: len(list(d.glob("part-*"))) for d in [tmp_path / "out", *(tmp_path / "shared").iterdir()]}
+
+
 # --- op 1 -----------------------------------------------------------------------------------------------------------
 
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -466,6 +482,13 @@ def test_links_give_all_components(spark, monkeypatch, most):
     assert {i: found.get(i, i) for i, _ in fps} == groups(fps)
 
 
+@pytest.mark.parametrize("most", [3000, 5])
+def test_near_duplicates_write_few_rows_as_few_files(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(simhash, "MOST", most)
+    found = files_of_few_rows(spark, tmp_path, monkeypatch, lambda d, _: simhash.near_duplicates(d))
+    assert len(found) > 4 and max(found.values()) <= common.LEAST_PARTS
+
+
 def test_near_duplicates_of_odd_rows(spark):
     got = sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicates(docs(spark, ODD)).collect()), key=repr)
     want = [(1, 1), (2, 1), (3, 1), (5, 5), (5, 5), (6, 5)]
