@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BETWEEN_WORDS, a_to_z_lower, cut, read
+from .common import BETWEEN_WORDS, DOCUMENTS_A_PART, a_to_z_lower, cut, in_parts, read
 
 WINDOW, GRAM = 13, 5
 #: Bits of the table of fingerprints: 16 for each one, within these bounds (256 KB).
@@ -97,10 +97,11 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, least_share: float
     a null doc_id is kept. Benchmark rows without words or without item_id have no windows; repeated item_ids count once. An
     empty benchmark hits nothing. Other columns of either table are not looked at.
     """
-    parts = 1 / least_share
-    sizes = benchmark.where(F.col("item_id").isNotNull()).select(F.least(F.size(raw_words(F.col("text"))), F.lit(WINDOW)).alias("n"))
-    lengths = sorted(r.n for r in sizes.where("n > 0").distinct().collect())  # 13 at most
-    docs = documents.select("doc_id", digest_of(F.col("text")).alias("digest"), raw_words(F.col("text")).alias("words"))
+    parts, n_docs = 1 / least_share, documents.count()
+    sizes = benchmark.where(F.col("item_id").isNotNull()).select(F.size(raw_words(F.col("text"))).alias("words")).where("words > 0")
+    sizes = {r.n: r.words for r in sizes.groupBy(F.least("words", F.lit(WINDOW)).alias("n")).agg(F.sum("words").alias("words")).collect()}
+    lengths, n_windows = sorted(sizes), sum(sizes.values())  # 13 lengths and a window a word at most
+    docs = in_parts(documents, n_docs, DOCUMENTS_A_PART).select("doc_id", digest_of(F.col("text")).alias("digest"), raw_words(F.col("text")).alias("words"))
     columns, wins = [], []
     for n in lengths:
         wins.append(windows_of(benchmark, n, whole=n < WINDOW))
@@ -118,7 +119,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, least_share: float
         known = wins[0]
         for w in wins[1:]:
             known = known.unionByName(w)
-        parts_of = parts_of.unionByName(_hits(rows.where("length > 0"), known))
+        parts_of = parts_of.unionByName(_hits(rows.where("length > 0"), known, n_windows))
     out = parts_of.groupBy("doc_id", "digest").agg(
         F.sum("copies").alias("copies"), F.max("n_words").alias("n_words"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
@@ -129,13 +130,15 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, least_share: float
         lambda a: a["n"],
     )
     out = out.select("doc_id", "digest", F.col("n_words").cast("long"), covered.cast("long").alias("n_hit"), "items", F.explode(F.expr("sequence(1L, copies)")).alias("copy"))
+    out = in_parts(out, n_docs, DOCUMENTS_A_PART)
     return out.select("doc_id", "digest", "n_words", "n_hit", "items", ((F.col("n_hit") > 0) & (F.lit(round(parts)) * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
-def _hits(runs: DataFrame, known: DataFrame) -> DataFrame:
-    """What runs (doc_id, digest, length, print, at, n, covers, run: a digest of the run) hit of known (length, print, window,
-    item_id), by document."""
-    known = cut(known.groupBy("length", "print", "window").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items")).withColumn("of", F.md5(F.array_join("items", ","))), "windows")
+def _hits(runs: DataFrame, known: DataFrame, n_windows: int) -> DataFrame:
+    """What runs (doc_id, digest, length, print, at, n, covers, run: a digest of the run) hit of the n_windows rows of known (length,
+    print, window, item_id), by document."""
+    known = known.groupBy("length", "print", "window").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    known = cut(known.withColumn("of", F.md5(F.array_join("items", ","))), "windows", n_windows)
     # the join of the fingerprints; a run that many documents have goes on as one
     prints = known.select("length", "print").distinct()
     different = runs.groupBy("run", "length", "print", "n").agg(F.first("covers").alias("covers")).join(_small(prints, "16"), ["length", "print"], "left_semi")
@@ -143,7 +146,7 @@ def _hits(runs: DataFrame, known: DataFrame) -> DataFrame:
     each = different.select("run", "length", "print", F.split("covers", " ").alias("words"), F.explode(F.expr("sequence(0, n - 1)")).alias("o"))
     each = each.select("run", "length", "print", "o", F.array_join(F.expr("slice(words, o + 1, length)"), " ").alias("window"))
     verified = each.join(_small(known.select("length", "print", "window", "of"), "64 + length(window)"), ["length", "print", "window"])
-    verified = cut(verified.groupBy("run").agg(F.collect_set("o").alias("offsets"), F.collect_set("of").alias("sets")), "verified-runs")
+    verified = cut(verified.groupBy("run").agg(F.collect_set("o").alias("offsets"), F.collect_set("of").alias("sets")), "verified-runs", runs.count())
     found = runs.select("doc_id", "digest", "run", "at", "length").join(_small(verified, "64 + 4 * size(offsets) + 40 * size(sets)"), "run")
     spans = found.select("doc_id", "digest", F.transform("offsets", lambda o: F.struct((F.col("at") + o).alias("at"), (F.col("at") + o + F.col("length")).alias("end"))).alias("spans"))
     items_of = known.select("of", "items").dropDuplicates(["of"])

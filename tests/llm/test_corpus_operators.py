@@ -47,6 +47,12 @@ def files_of_few_rows(spark, tmp_path, monkeypatch, make):
 
 # --- op 1 -----------------------------------------------------------------------------------------------------------
 
+
+def test_decontaminate_writes_few_rows_as_few_files(spark, tmp_path, monkeypatch):
+    found = files_of_few_rows(spark, tmp_path, monkeypatch, decontaminate.decontaminate)
+    assert len(found) == 4 and max(found.values()) <= common.LEAST_PARTS
+
+
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
