@@ -456,7 +456,7 @@ _PIP = f"""{PTS}, {CROWNS}, p as (select distinct x, y, z, h from pts), i as (se
 
 
 def _tree_points(spark: SparkSession, sf: str) -> DataFrame:
-    """Points, to be made distinct once they have a crown: that is by place, and so takes no further shuffle."""
+    """Points, to be made distinct once they have a crown. That is a second shuffle, by row: at one place there may be very many."""
     return points(spark, sf).select("x", "y", "z", F.col("h").alias("height"))
 
 
